@@ -28,8 +28,8 @@ VIEWS: dict[str, str] = {
                arg_min(px, row(l_orderkey, l_linenumber, l_partkey, l_suppkey, q, px)) AS open,
                max(px) AS high, min(px) AS low,
                arg_max(px, row(l_orderkey, l_linenumber, l_partkey, l_suppkey, q, px)) AS close,
-               sum(q) AS volume, round(sum(px * q) / sum(q), 6) AS vwap,
-               round(100 * sum(CASE WHEN l_returnflag = 'R' THEN q ELSE 0.0 END) / sum(q), 6) AS short_raw
+               sum(q) AS volume, sum(CAST(round(px * 10000) AS BIGINT) * CAST(q AS BIGINT))::DOUBLE / (sum(q) * 10000.0) AS vwap,
+               100 * sum(CASE WHEN l_returnflag = 'R' THEN q ELSE 0.0 END) / sum(q) AS short_raw
         FROM m_ticks GROUP BY symbol, date""",
     "m_cal": """
         SELECT date, row_number() OVER (ORDER BY date) - 1 AS t
@@ -59,8 +59,8 @@ VIEWS: dict[str, str] = {
     "m_financials": """
         SELECT n_name AS symbol, make_date(year(l_shipdate), 6, 30) AS fiscal_year_end,
                round(sum(l_extendedprice), 2) AS total_revenue,
-               round(sum(l_extendedprice * l_discount), 2) AS net_income,
-               round(sum(l_extendedprice * l_tax), 2) AS free_cashflow,
+               round(sum(l_extendedprice * l_discount), 4) AS net_income,
+               round(sum(l_extendedprice * l_tax), 4) AS free_cashflow,
                sum(l_quantity) * 1000 AS stockholders_equity
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
         GROUP BY 1, 2""",
@@ -68,12 +68,12 @@ VIEWS: dict[str, str] = {
         SELECT n_name AS symbol, max(CAST(l_shipdate AS DATE)) AS date,
                round(sum(l_extendedprice) / nullif(sum(l_extendedprice * l_discount), 0), 6) AS trailing_pe,
                round(sum(l_extendedprice * l_discount) / (sum(l_quantity) * 1000), 6) AS return_on_equity,
-               round(avg(l_tax), 6) AS dividend_yield,
+               sum(CAST(round(l_tax * 100) AS BIGINT))::DOUBLE / (count(*) * 100.0::DOUBLE) AS dividend_yield,
                round(sum(l_extendedprice * l_tax) / (sum(l_quantity) * 100), 6) AS debt_to_equity
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
         GROUP BY n_name, date_trunc('quarter', l_shipdate)""",
     "m_series": """
-        SELECT event_type AS id, CAST(ts AS DATE) AS date, round(avg(value), 6) AS price
+        SELECT event_type AS id, CAST(ts AS DATE) AS date, sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / (count(*) * 100.0::DOUBLE) AS price
         FROM events GROUP BY 1, 2""",
     "m_options": """
         SELECT 'P' || l_partkey || 'O' || substr('ABCD', CAST(l_partkey % 4 + 1 AS INT), 1) AS option_symbol,
@@ -86,7 +86,7 @@ VIEWS: dict[str, str] = {
         JOIN part ON l_partkey = p_partkey""",
     "m_option_bars": """
         SELECT 'P' || l_partkey || 'O' || substr('ABCD', CAST(l_partkey % 4 + 1 AS INT), 1) AS symbol,
-               date, round(0.05 * sum(px * q) / sum(q), 6) AS close
+               date, 0.05::DOUBLE * (sum(CAST(round(px * 10000) AS BIGINT) * CAST(q AS BIGINT))::DOUBLE / (sum(q) * 10000.0)) AS close
         FROM m_ticks GROUP BY l_partkey, date""",
     "m_panel": """
         SELECT symbol, date, open, high, low, vwap AS close, volume,

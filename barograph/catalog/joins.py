@@ -59,13 +59,13 @@ def _(m):
 
 @query("joi_07", """
     WITH pts AS (SELECT symbol, CAST(d AS DATE) AS boundary FROM (SELECT DISTINCT symbol FROM m_bars)
-                 CROSS JOIN range(DATE '1995-01-31', DATE '2001-12-31', INTERVAL 1 MONTH) r(d))
+                 CROSS JOIN range(DATE '1995-02-01', DATE '2001-12-31', INTERVAL 1 MONTH) r(d))
     SELECT p.symbol, p.boundary, arg_max(b.close, b.date) AS close, max(b.date) AS close_date
     FROM pts p JOIN m_close b ON b.symbol = p.symbol AND b.date <= p.boundary AND b.date >= p.boundary - 10
     GROUP BY 1, 2""")
 def _(m):
     points = m.symbols.select("symbol", F.explode(F.sequence(
-        F.to_date(F.lit("1995-01-31")), F.to_date(F.lit("2001-12-30")), F.expr("INTERVAL 1 MONTH"))).alias("boundary"))
+        F.to_date(F.lit("1995-02-01")), F.to_date(F.lit("2001-12-01")), F.expr("INTERVAL 1 MONTH"))).alias("boundary"))
     return asof.backward_within(points, closes(m), "symbol", "boundary", "date", "close", 10)
 
 
@@ -116,11 +116,11 @@ def _(m):
         "symbol", "date", "close", F.coalesce("short", F.lit(0.0)).alias("shorts_pct"))
 
 
-@query("joi_12", """SELECT b.symbol, b.date, round(b.close - i.close, 6) AS excess FROM m_close b LEFT JOIN m_index i USING (date)""")
+@query("joi_12", """SELECT b.symbol, b.date, round(b.close / i.close - 1, 6) AS excess FROM m_close b LEFT JOIN m_index i USING (date)""")
 def _(m):
     index = m.index.select("date", F.col("close").alias("index_close"))  # one row per day
     return closes(m).join(F.broadcast(index), "date", "left").select(
-        "symbol", "date", r6(F.col("close") - F.col("index_close"), "excess"))
+        "symbol", "date", r6(F.col("close") / F.col("index_close") - 1, "excess"))
 
 
 @query("joi_13", """
@@ -160,7 +160,7 @@ def _(m):
 def _(m):
     """Interval containment: fiscal years do not overlap, so the containing year is a
     function of the event date and the range join becomes an equi-join."""
-    years = m.symbols.select("symbol", F.explode(F.sequence(F.lit(1996), F.lit(2001))).cast("long").alias("fy_year"))
+    years = m.symbols.select("symbol", F.explode(F.sequence(F.lit(1996).cast("long"), F.lit(2001).cast("long"))).alias("fy_year"))
     fy = (F.year("date") + F.when(F.month("date") >= 7, 1).otherwise(0)).cast("long")
     hit = m.events.select("symbol", fy.alias("fy_year")).distinct().withColumn("hit", F.lit(True))
     return years.join(hit, ["symbol", "fy_year"], "left").select(

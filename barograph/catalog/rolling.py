@@ -93,14 +93,16 @@ def _(m):
 
 
 def slope_sql(x: str, w: int) -> str:
+    """On a full window the slot offsets are known, so the slope is a fixed weighting."""
     win = f"(PARTITION BY symbol ORDER BY t RANGE BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
-    return (f"CASE WHEN count({x}) OVER {win} = {w} "
-            f"THEN regr_slope({x}, t::DOUBLE) OVER {win} * {(w - 1) / 2} END")
+    mid, spread = (w + 1) / 2, w * (w * w - 1) / 12
+    return (f"CASE WHEN count({x}) OVER {win} = {w} THEN list_sum(list_transform("
+            f"list({x} ORDER BY t) OVER {win}, lambda v, i: v * (i - {mid}::DOUBLE))) / {spread}::DOUBLE * {(w - 1) / 2}::DOUBLE END")
 
 
-@query("win_10", f"SELECT symbol, date, round({slope_sql('close', 5)}, 4) AS slope FROM m_panel")
+@query("win_10", f"SELECT symbol, date, round({slope_sql('ln(close)', 5)}, 6) AS slope FROM m_panel")
 def _(m):
-    return m.panel.select("symbol", "date", r6(R.slope_strict("close", 5), "slope", 4))
+    return m.panel.select("symbol", "date", r6(R.slope_strict(F.log("close"), 5), "slope"))
 
 
 @query("win_11", f"""SELECT symbol, date, round(CASE WHEN t >= 5 THEN sum(coalesce(returns, 0.0)) OVER {_W5} END, 6) AS momentum

@@ -64,15 +64,15 @@ class Market:
     def bars(self) -> DataFrame:
         """Daily bars. All aggregates combine map-side; one exchange on (symbol, date)."""
         order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q", "px")
+        sold = F.sum(F.when(F.col("l_returnflag") == "R", F.col("q")).otherwise(0.0))
         return self.ticks.groupBy("symbol", "date").agg(
             F.min_by("px", order).alias("open"),
             F.max("px").alias("high"),
             F.min("px").alias("low"),
             F.max_by("px", order).alias("close"),
             F.sum("q").alias("volume"),
-            F.round(F.sum(F.col("px") * F.col("q")) / F.sum("q"), 6).alias("vwap"),
-            F.round(100 * F.sum(F.when(F.col("l_returnflag") == "R", F.col("q")).otherwise(0.0))
-                    / F.sum("q"), 6).alias("short_raw"),
+            volume_weighted().alias("vwap"),
+            (100 * sold / F.sum("q")).alias("short_raw"),
         )
 
     @cached_property
@@ -163,8 +163,8 @@ class Market:
             "symbol", F.year("l_shipdate").alias("year")
         ).agg(
             F.round(F.sum(price), 2).alias("total_revenue"),
-            F.round(F.sum(price * discount), 2).alias("net_income"),
-            F.round(F.sum(price * tax), 2).alias("free_cashflow"),
+            F.round(F.sum(price * discount), 4).alias("net_income"),
+            F.round(F.sum(price * tax), 4).alias("free_cashflow"),
             (F.sum("l_quantity") * 1000).alias("stockholders_equity"),
         ).select(
             "symbol", F.make_date("year", F.lit(6), F.lit(30)).alias("fiscal_year_end"),
@@ -180,7 +180,7 @@ class Market:
             F.max(F.col("l_shipdate").cast("date")).alias("date"),
             F.round(F.try_divide(F.sum(price), F.sum(price * discount)), 6).alias("trailing_pe"),
             F.round(F.sum(price * discount) / (F.sum("l_quantity") * 1000), 6).alias("return_on_equity"),
-            F.round(F.avg(tax), 6).alias("dividend_yield"),
+            (F.sum(F.round(tax * 100).cast("long")) / (F.count(F.lit(1)) * 100.0)).alias("dividend_yield"),
             F.round(F.sum(price * tax) / (F.sum("l_quantity") * 100), 6).alias("debt_to_equity"),
         ).drop("quarter")
 
@@ -188,7 +188,7 @@ class Market:
     def series(self) -> DataFrame:
         return self.table("events").groupBy(
             F.col("event_type").alias("id"), F.col("ts").cast("date").alias("date")
-        ).agg(F.round(F.avg("value"), 6).alias("price"))
+        ).agg((F.sum(F.round(F.col("value") * 100).cast("long")) / (F.count(F.lit(1)) * 100.0)).alias("price"))
 
     @cached_property
     def options(self) -> DataFrame:
@@ -215,7 +215,7 @@ class Market:
     @cached_property
     def option_bars(self) -> DataFrame:
         return self.ticks.groupBy("l_partkey", "date").agg(
-            F.round(0.05 * F.sum(F.col("px") * F.col("q")) / F.sum("q"), 6).alias("close")
+            (0.05 * volume_weighted()).alias("close")
         ).select(option_symbol(F.col("l_partkey")).alias("symbol"), "date", "close")
 
     @cached_property
@@ -237,6 +237,13 @@ class Market:
         )
 
 
+def volume_weighted() -> Column:
+    """Volume-weighted price from integer sums (ten-thousandths times lots), hence the same
+    to the last bit whatever the order in which partial sums are merged."""
+    value = F.round(F.col("px") * 10000).cast("long") * F.col("q").cast("long")
+    return F.sum(value) / (F.sum("q") * 10000.0)
+
+
 def option_symbol(part_key: Column) -> Column:
     letter = F.substring(F.lit("ABCD"), (part_key % 4 + 1).cast("int"), F.lit(1))
     return F.concat(F.lit("P"), part_key.cast("string"), F.lit("O"), letter)
