@@ -12,13 +12,13 @@ from barograph.functions import dates as D
 from barograph.functions import scalars as S
 from barograph.operators import rolling as R
 
-view("m_traded", "SELECT symbol, date, round(close * volume * 137, 2) AS v FROM m_close")
+view("m_traded", "SELECT symbol, date, close * volume * 137 AS v FROM m_close")
 
 
 @query("fun_01", """SELECT symbol, date, printf('%d', CAST(round_even(v / pow(10.0, 3 * k), 0) AS BIGINT)) || ['', ' Thousand', ' Million', ' Billion', ' Trillion'][k + 1] AS text
        FROM (SELECT *, CAST(greatest(0, least(4, CASE WHEN v = 0 THEN 0 ELSE floor(log10(abs(v)) / 3) END)) AS INT) AS k FROM m_traded)""")
 def _(m):
-    v = F.round(F.col("close") * F.col("volume") * 137, 2)
+    v = F.col("close") * F.col("volume") * 137
     return closes(m).select("symbol", "date", S.millify(v).alias("text"))
 
 
@@ -77,10 +77,10 @@ def _(m):
     return m.calendar.select("date", D.last_complete_fiscal_year(F.col("date")).cast("int").alias("fy"))
 
 
-@query("fun_08", "SELECT symbol, date, round(greatest(6.0, 0.0008 * v), 4) AS fee FROM m_traded")
+@query("fun_08", "SELECT symbol, date, greatest(6.0::DOUBLE, 0.0008::DOUBLE * v) AS fee FROM m_traded")
 def _(m):
-    v = F.round(F.col("close") * F.col("volume") * 137, 2)
-    return closes(m).select("symbol", "date", r6(S.fee(v), "fee", 4))
+    v = F.col("close") * F.col("volume") * 137
+    return closes(m).select("symbol", "date", S.fee(v).alias("fee"))
 
 
 @query("fun_09", """SELECT symbol, date, CAST(greatest(0, least(floor((1000 - 6.0) / p), floor(1000 / (p * (1 + 0.0008::DOUBLE))))) AS BIGINT) AS shares
@@ -98,16 +98,16 @@ view("m_money", """SELECT option_symbol, date, cp, greatest(0, expiry - date)::D
        FROM m_wfeat_base""")
 
 
-@query("fun_10", """SELECT option_symbol, date, dte, round(moneyness, 6) AS moneyness, round(intrinsic, 4) AS intrinsic,
-       round(greatest(0.0, w_close - intrinsic), 4) AS premium, round(CASE WHEN u_close > 0.001 THEN greatest(0.0, w_close - intrinsic) / u_close END, 6) AS premium_ratio
+@query("fun_10", """SELECT option_symbol, date, dte, round(moneyness, 6) AS moneyness, intrinsic,
+       greatest(0.0, w_close - intrinsic) AS premium, round(CASE WHEN u_close > 0.001 THEN greatest(0.0, w_close - intrinsic) / u_close END, 6) AS premium_ratio
        FROM m_money""")
 def _(m):
     from barograph.plans.warrants import value_features
 
     base = aligned(m).join(m.options.drop("share_symbol"), "option_symbol").withColumn("call_put", S.call_put(F.col("note"))).withColumnRenamed("exercise", "strike")
     return value_features(base).select(
-        "option_symbol", "date", "dte", r6("moneyness", "moneyness"), r6("intrinsic", "intrinsic", 4),
-        r6("premium", "premium", 4), r6("premium_ratio", "premium_ratio"))
+        "option_symbol", "date", "dte", r6("moneyness", "moneyness"), "intrinsic",
+        "premium", r6("premium_ratio", "premium_ratio"))
 
 
 @query("fun_11", "SELECT symbol, date, round(CASE WHEN NOT head THEN w_ret END, 6) AS w_ret, round(CASE WHEN NOT head THEN u_ret END, 6) AS u_ret FROM m_wu")
@@ -129,13 +129,13 @@ def _(m):
     return closes(m).select("symbol", "date", S.repair_index(F.col("close"), F.col("symbol"), "NATION_5", 900, 3000).alias("close"))
 
 
-@query("fun_14", "SELECT symbol, date, round(0.25 * low + 0.5 * close + 0.25 * high, 6) AS expected FROM (SELECT symbol, date, low + 0.00001 AS low, close, high FROM m_close)")
+@query("fun_14", "SELECT symbol, date, 0.25::DOUBLE * low + 0.5::DOUBLE * close + 0.25::DOUBLE * high AS expected FROM (SELECT symbol, date, low + 0.00001::DOUBLE AS low, close, high FROM m_close)")
 def _(m):
     scenarios = F.array(
         F.struct(F.lit(0.25).alias("probability"), (F.col("low") + 0.00001).alias("midpoint")),
         F.struct(F.lit(0.5).alias("probability"), F.col("close").alias("midpoint")),
         F.struct(F.lit(0.25).alias("probability"), F.col("high").alias("midpoint")))
-    return closes(m).select("symbol", "date", r6(S.expected_value(scenarios), "expected"))
+    return closes(m).select("symbol", "date", S.expected_value(scenarios).alias("expected"))
 
 
 @query("fun_15", "SELECT p_partkey, round(p_retailprice / 1.13::DOUBLE, 2) AS net FROM part")

@@ -1 +1,167 @@
-"""Section under construction."""
+"""WAR: warrant pairs, features, signals and their evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barograph.catalog.base import query, view
+from barograph.catalog.filters import closes
+from barograph.catalog.rolling import r6, sum_skip_sql, z_skip_sql
+from barograph.catalog.sqlstats import corr_t_sql, t_tail_sql
+from barograph.plans import warrants as W
+from barograph.sources.market import CUT
+
+view("m_pairs", """
+    SELECT * EXCLUDE (n) FROM (
+      SELECT l.symbol AS option_symbol, o.share_symbol, l.date,
+             CASE WHEN o.expiry >= as_of THEN o.expiry ELSE w.last_live END AS expiry, o.exercise AS strike,
+             CASE WHEN contains(upper(coalesce(o.note, 'C')), 'C') THEN 'C' WHEN contains(upper(coalesce(o.note, 'C')), 'P') THEN 'P' ELSE 'C' END AS call_put,
+             l.close AS w_close, b.close AS u_close, b.volume AS u_volume, coalesce(s.short, 0.0) AS shorts_pct,
+             count(*) OVER (PARTITION BY l.symbol) AS n
+      FROM (SELECT * FROM m_option_bars WHERE close > 0.001) l
+      JOIN (SELECT symbol, count(*) AS k, max(date) AS last_live FROM m_option_bars WHERE close > 0.001 GROUP BY symbol HAVING count(*) >= 20) w ON w.symbol = l.symbol
+      JOIN m_options o ON o.option_symbol = l.symbol
+      JOIN (SELECT symbol FROM m_close GROUP BY symbol HAVING count(*) >= 30 AND median(close * volume) >= 1000) u ON u.symbol = o.share_symbol
+      JOIN m_close b ON b.symbol = o.share_symbol AND b.date = l.date
+      LEFT JOIN m_shorts s ON s.symbol = o.share_symbol AND s.date = l.date CROSS JOIN m_asof) WHERE n >= {common}""".replace("{common}", "12"))
+_O = "PARTITION BY option_symbol ORDER BY date"
+view("m_wv", """
+    SELECT *, greatest(0.0, w_close - intrinsic) AS premium, CASE WHEN u_close > 0.001 THEN greatest(0.0, w_close - intrinsic) / u_close END AS premium_ratio
+    FROM (SELECT *, greatest(0, expiry - date)::DOUBLE AS dte,
+      CASE WHEN call_put = 'C' THEN u_close / greatest(strike, 1e-6) WHEN u_close > 0 THEN strike / u_close END AS moneyness,
+      greatest(0.0, CASE WHEN call_put = 'C' THEN u_close - strike ELSE strike - u_close END) AS intrinsic FROM m_pairs)""")
+view("m_wf", f"""
+    SELECT * EXCLUDE (ratio), CASE WHEN count(ratio) OVER t >= 5 AND row_number() OVER ({_O}) >= 11 THEN avg(ratio) OVER t END AS actual_delta,
+      min(w_close) OVER f = max(w_close) OVER f AND row_number() OVER ({_O}) >= 6 AS stale
+    FROM (SELECT *, CASE WHEN abs(u_ret) > 5e-4 THEN w_ret / u_ret END AS ratio FROM (
+      SELECT *, CASE WHEN lag(w_close) OVER w IS NOT NULL THEN greatest(-1.0, least(1.0, ln(w_close / greatest(lag(w_close) OVER w, 1e-6)))) END AS w_ret,
+        CASE WHEN lag(u_close) OVER w IS NOT NULL THEN greatest(-0.5, least(0.5, ln(u_close / greatest(lag(u_close) OVER w, 1e-6)))) END AS u_ret
+      FROM m_wv WINDOW w AS ({_O})))
+    WINDOW t AS ({_O} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), f AS ({_O} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
+
+
+def _z(x, w):
+    return z_skip_sql(x, w, "option_symbol", "date")
+
+
+view("m_ws", f"""
+    SELECT * EXCLUDE (pr, m5, m20, gap, hv, iv, ivr, z5, z20, pc, um, dd, ii),
+      CASE WHEN NOT stale THEN pc END AS premium_compression, CASE WHEN NOT stale THEN um END AS underlying_momentum,
+      CASE WHEN NOT stale THEN dd END AS delta_drift, CASE WHEN NOT stale THEN ii END AS implied_vol
+    FROM (SELECT *, -({_z('pr', 12)}) AS pc,
+        CASE WHEN dte >= 15 AND (z5 IS NOT NULL OR z20 IS NOT NULL) THEN 0.6 * coalesce(z5, 0.0) + 0.4 * coalesce(z20, 0.0) END AS um,
+        {_z('gap', 10)} AS dd, {_z('ivr', 12)} AS ii
+      FROM (SELECT *, CASE WHEN dte >= 30 AND dte <= 270 AND moneyness BETWEEN 0.85 AND 1.15 THEN hv / iv END AS ivr,
+              {_z('m5', 12)} AS z5, {_z('m20', 12)} AS z20
+        FROM (SELECT *, CASE WHEN dte >= 20 AND moneyness BETWEEN 0.6 AND 1.4 THEN premium_ratio END AS pr,
+                {sum_skip_sql('u_ret', 5, 'option_symbol')} AS m5, {sum_skip_sql('u_ret', 20, 'option_symbol')} AS m20,
+                CASE WHEN dte >= 15 AND moneyness BETWEEN 0.8 AND 1.2
+                     THEN greatest(0.05, least(0.95, 0.5 + 0.5 * (moneyness - 1.0))) - actual_delta END AS gap,
+                CASE WHEN count(u_ret) OVER h >= 6 AND row_number() OVER ({_O}) >= 11 THEN stddev_samp(u_ret) OVER h * sqrt(252) END AS hv,
+                greatest(0.01, least(5.0, premium_ratio / sqrt(greatest(dte / 365.0, 1.0 / 365.0)) * sqrt(2 * pi()))) AS iv
+              FROM m_wf WINDOW h AS ({_O} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))))""")
+
+
+def pairs(m):
+    """At least 12 common dates, because the derived warrants trade rarely."""
+    return W.pairs(m.options, m.option_bars, closes(m), m.shorts, m.as_of(), min_common=12)
+
+
+def features(m):
+    return W.features(pairs(m))
+
+
+def scored(m):
+    # The derived warrants have about thirty rows each, so the windows are shortened.
+    return W.signals(features(m), long_window=12, drift_window=10, vol_rows=10, vol_least=6)
+
+
+@query("war_01", "SELECT option_symbol, share_symbol, date, expiry, strike, call_put, w_close, u_close, u_volume, shorts_pct FROM m_pairs")
+def _(m):
+    return pairs(m)
+
+
+@query("war_02", """SELECT option_symbol, date, dte, round(moneyness, 6) AS moneyness, intrinsic, premium, round(premium_ratio, 6) AS premium_ratio,
+       round(w_ret, 6) AS w_ret, round(u_ret, 6) AS u_ret, round(actual_delta, 4) AS actual_delta, stale FROM m_wf""")
+def _(m):
+    return features(m).select(
+        "option_symbol", "date", "dte", r6("moneyness", "moneyness"), "intrinsic", "premium", r6("premium_ratio", "premium_ratio"),
+        r6("w_ret", "w_ret"), r6("u_ret", "u_ret"), r6("actual_delta", "actual_delta", 4), "stale")
+
+
+for _k, _s in enumerate(W.SIGNALS, 3):
+    @query(f"war_{_k:02d}", f"SELECT option_symbol, date, round({_s}, 4) AS {_s} FROM m_ws")
+    def _(m, s=_s):
+        return scored(m).select("option_symbol", "date", r6(s, s, 4))
+
+
+@query("war_07", "SELECT option_symbol, date, stale, " + ", ".join(f"round({s}, 4) AS {s}" for s in W.SIGNALS) + " FROM m_ws")
+def _(m):
+    return scored(m).select("option_symbol", "date", "stale", *[r6(s, s, 4) for s in W.SIGNALS])
+
+
+@query("war_08", """
+    SELECT option_symbol, share_symbol, call_put, date, dte, round(composite, 4) AS composite FROM (
+      SELECT *, list_avg(list_transform(list_filter([round(premium_compression, 3), round(underlying_momentum, 3), round(delta_drift, 3), round(implied_vol, 3)],
+             lambda x: x IS NOT NULL), lambda x: 1 / (1 + exp(-x / 1.5)))) AS composite
+      FROM (SELECT * FROM m_ws WHERE NOT stale QUALIFY row_number() OVER (PARTITION BY option_symbol ORDER BY date DESC) = 1) WHERE dte >= 15)
+    WHERE composite IS NOT NULL""")
+def _(m):
+    return W.recommendations(scored(m)).select(
+        "option_symbol", "share_symbol", "call_put", "date", "dte", r6("composite", "composite", 4)).orderBy(
+        F.col("composite").desc(), "option_symbol")
+
+
+@query("fil_10", """
+    SELECT option_symbol, share_symbol, call_put, dte, round(moneyness, 6) AS moneyness FROM
+      (SELECT * FROM m_wf WHERE NOT stale QUALIFY row_number() OVER (PARTITION BY option_symbol ORDER BY date DESC) = 1)
+    WHERE call_put = 'C' AND dte BETWEEN 15 AND 400 ORDER BY dte DESC, option_symbol LIMIT 50""")
+def _(m):
+    latest = features(m).where(~F.col("stale")).groupBy("option_symbol").agg(
+        F.max_by(F.struct("share_symbol", "call_put", "dte", "moneyness"), "date").alias("r")).select("option_symbol", "r.*")
+    return latest.where((F.col("call_put") == "C") & F.col("dte").between(15, 400)).select(
+        "option_symbol", "share_symbol", "call_put", "dte", r6("moneyness", "moneyness")).orderBy(
+        F.col("dte").desc(), "option_symbol").limit(50)
+
+
+_LONG = "UNION ALL".join(f"""
+    SELECT option_symbol, date, t, dte, '{s}' AS signal, {s} AS score, f3, f5, f10, g10 FROM x WHERE {s} IS NOT NULL """ for s in W.SIGNALS)
+_X = f"""x AS (SELECT *, row_number() OVER ({_O}) - 1 AS t,
+    CASE WHEN count(*) OVER a3 = 3 THEN coalesce(sum(w_ret) OVER a3, 0) END AS f3, CASE WHEN count(*) OVER a5 = 5 THEN coalesce(sum(w_ret) OVER a5, 0) END AS f5,
+    CASE WHEN count(*) OVER a10 = 10 THEN coalesce(sum(w_ret) OVER a10, 0) END AS f10,
+    CASE WHEN count(*) OVER a10 = 10 AND count(w_ret) OVER a10 >= 5 THEN sum(w_ret) OVER a10 END AS g10
+    FROM m_ws WINDOW a3 AS ({_O} ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), a5 AS ({_O} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING),
+    a10 AS ({_O} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING))"""
+view("m_wlong", f"WITH {_X} {_LONG}")
+_IC = """
+    SELECT signal, horizon, count(*) AS n, corr(rs, rf) AS ic, stddev_samp(score) AS spread FROM (
+      SELECT signal, horizon, score, rank() OVER (PARTITION BY signal, horizon ORDER BY score) + (count(*) OVER (PARTITION BY signal, horizon, score) - 1) / 2.0 AS rs,
+             rank() OVER (PARTITION BY signal, horizon ORDER BY fwd) + (count(*) OVER (PARTITION BY signal, horizon, fwd) - 1) / 2.0 AS rf
+      FROM (SELECT signal, round(score, 8) AS score, date, unnest(['fwd_3', 'fwd_5', 'fwd_10']) AS horizon, unnest([round(f3, 8), round(f5, 8), round(f10, 8)]) AS fwd FROM m_wlong)
+      WHERE fwd IS NOT NULL AND date < DATE '2000-07-01') GROUP BY signal, horizon HAVING count(*) >= 20"""
+
+
+@query("war_09", f"""SELECT signal, horizon, n, round(ic, 4) AS ic, round(ic / (spread / sqrt(n) + 1e-10), 3) AS ic_ir, round(p, 4) AS p_value
+       FROM ({t_tail_sql(_IC, corr_t_sql('ic', 'n'), 'n - 2', 'p')})""")
+def _(m):
+    return W.pooled_ic(scored(m), CUT).select(
+        "signal", "horizon", "n", r6("ic", "ic", 4), r6("ic_ir", "ic_ir", 3), r6("p_value", "p_value", 4))
+
+
+@query("war_10", """WITH RECURSIVE c AS (SELECT signal, option_symbol, t, t + 11 AS until, g10 AS gross FROM m_wlong
+        WHERE date >= DATE '1998-01-01' AND score >= 0.5 AND dte >= 15 AND g10 IS NOT NULL),
+    nx AS (SELECT a.signal, a.option_symbol, a.t, a.gross, b.t AS nt FROM c a ASOF LEFT JOIN c b
+           ON a.signal = b.signal AND a.option_symbol = b.option_symbol AND b.t >= a.until),
+    walk AS (SELECT signal, option_symbol, arg_min(gross, t) AS gross, arg_min(nt, t) AS nt, min(t) AS t FROM nx GROUP BY 1, 2
+             UNION ALL SELECT n.signal, n.option_symbol, n.gross, n.nt, n.t FROM walk w JOIN nx n
+             ON n.signal = w.signal AND n.option_symbol = w.option_symbol AND n.t = w.nt)
+    SELECT signal, option_symbol, count(*) AS n_trades, round(avg(CASE WHEN gross > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(gross), 6) AS avg_gross,
+           round(avg(gross - 0.03), 6) AS avg_net, round(CASE WHEN count(*) > 1 THEN avg(gross - 0.03) / (stddev_samp(gross - 0.03) + 1e-10) ELSE 0 END, 4) AS sharpe
+    FROM walk GROUP BY signal, option_symbol""")
+def _(m):
+    """Cut moved to 1998 so that the sparse warrants leave enough rows behind it."""
+    import datetime as dt
+
+    stats = W.trade_stats(W.pair_trades(scored(m), dt.date(1998, 1, 1)), "signal", "option_symbol")
+    return stats.select("signal", "option_symbol", "n_trades", r6("hit_rate", "hit_rate"), r6("avg_gross", "avg_gross"),
+                        r6("avg_net", "avg_net"), r6("sharpe", "sharpe", 4))

@@ -12,19 +12,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PER_OCTAVE = 64
-_LOWEST = -100_000
+_SHIFT = 100_000
+_TOP = 1_000_000
 
 
-def log_bucket(value: Column) -> Column:
-    """Monotone bucket of a non-negative double, 64 per factor of two (so at most about
-    140 000 buckets over the whole double range)."""
-    return F.when(value <= 0, F.lit(_LOWEST)).otherwise(F.floor(F.log2(value) * _PER_OCTAVE).cast("int"))
+def ordered_bucket(value: Column) -> Column:
+    """Monotone bucket of a double: 64 per factor of two on either side of zero, so a few
+    hundred buckets for usual data and under 300 000 over the whole double range."""
+    size = F.floor(F.log2(F.abs(value)) * _PER_OCTAVE).cast("int") + _SHIFT
+    return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size)
+
+
+def with_average_rank(df: DataFrame, value: str, by, out: str) -> DataFrame:
+    """Adds the tie-averaged rank of ``value`` inside each ``by`` group of any size.
+
+    Equal values always share a bucket, so ties are resolved locally.
+    """
+    by = list(by)
+    bucket = f"_b_{out}"
+    rows = df.withColumn(bucket, ordered_bucket(F.col(value)))
+    sizes = rows.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, bucket, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, bucket).orderBy(value)
+    local = F.rank().over(inside) + (F.count(F.lit(1)).over(inside.rangeBetween(0, 0)) - 1) / 2.0
+    return rows.withColumn("_local", local).join(offsets, [*by, bucket]).withColumn(
+        out, F.col("_before") + F.col("_local")).drop(bucket, "_local", "_before")
 
 
 def with_global_rank(df: DataFrame, value: str, tie, out: str = "rank", total: str = "total", by=()) -> DataFrame:
-    """Adds the 1-based ordinal rank of ``value`` (>= 0) and the row count, per ``by`` group."""
+    """Adds the 1-based ordinal rank of ``value`` and the row count, per ``by`` group."""
     by = list(by)
-    rows = df.withColumn("_b", log_bucket(F.col(value)))
+    rows = df.withColumn("_b", ordered_bucket(F.col(value)))
     sizes = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*by)
     offsets = sizes.select(
@@ -55,8 +74,8 @@ def adjust_fdr(df: DataFrame, p: str, by=(), out: str = "fdr_p", spread=()) -> D
     """
     by = list(by)
     rows = df.withColumn("_p", F.coalesce(F.least(F.col(p), F.lit(1.0)), F.lit(1.0)))
-    top = (1 + F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(256))).cast("int")
-    rows = rows.withColumn("_b", F.when(F.col("_p") >= 1, top).otherwise(log_bucket(F.col("_p"))))
+    top = (_TOP + F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(256))).cast("int")
+    rows = rows.withColumn("_b", F.when(F.col("_p") >= 1, top).otherwise(ordered_bucket(F.col("_p"))))
     sizes = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*by)
     offsets = sizes.select(

@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barograph.functions import scalars as S
+from barograph.functions.stats import correlation_t, with_t_tail
 from barograph.operators import rolling as R
+from barograph.operators.ledger import non_overlapping
+from barograph.operators.ranking import with_average_rank
 
 # Signal names in report order.
 SIGNALS = ("premium_compression", "underlying_momentum", "delta_drift", "implied_vol")
@@ -85,8 +88,9 @@ def _within(value: Column, moneyness: tuple | None, dte: tuple) -> Column:
     return F.when(keep, value)
 
 
-def signals(feat: DataFrame) -> DataFrame:
-    """Four scores per row; null on stale rows."""
+def signals(feat: DataFrame, long_window: int = 60, drift_window: int = 30, vol_rows: int = 30,
+            vol_least: int = 20) -> DataFrame:
+    """Four scores per row; null on stale rows. Windows count rows of the pair."""
     def z(col, window):
         return R.zscore_skipping(col, window, _BY, _ORDER)
 
@@ -98,16 +102,16 @@ def signals(feat: DataFrame) -> DataFrame:
         "_m5": R.sum_skipping("u_ret", 5, _BY, _ORDER),
         "_m20": R.sum_skipping("u_ret", 20, _BY, _ORDER),
         "_gap": _within(theory - F.col("actual_delta"), (0.8, 1.2), (15,)),
-        "_hv": R.historical_volatility("u_ret", by=_BY, order=_ORDER),
+        "_hv": R.historical_volatility("u_ret", vol_rows, vol_least, _BY, _ORDER),
     }).withColumn("_ivr", _within(F.col("_hv") / iv, (0.85, 1.15), (30, 270)))
-    staged = staged.withColumns({"_z5": z("_m5", 60), "_z20": z("_m20", 60)})
+    staged = staged.withColumns({"_z5": z("_m5", long_window), "_z20": z("_m20", long_window)})
     momentum = F.when(F.col("_z5").isNotNull() | F.col("_z20").isNotNull(),
                       0.6 * F.coalesce("_z5", F.lit(0.0)) + 0.4 * F.coalesce("_z20", F.lit(0.0)))
     scored = staged.withColumns({
-        "premium_compression": -z("_pr", 60),
+        "premium_compression": -z("_pr", long_window),
         "underlying_momentum": _within(momentum, None, (15,)),
-        "delta_drift": z("_gap", 30),
-        "implied_vol": z("_ivr", 60),
+        "delta_drift": z("_gap", drift_window),
+        "implied_vol": z("_ivr", long_window),
     })
     fresh = scored.withColumns({name: F.when(~F.col("stale"), F.col(name)) for name in SIGNALS})
     return fresh.drop("_pr", "_m5", "_m20", "_gap", "_hv", "_ivr", "_z5", "_z20")
@@ -129,11 +133,50 @@ def unpivot_signals(scored: DataFrame, *carry: str) -> DataFrame:
     return scored.unpivot([_BY, "date", *carry], list(SIGNALS), "signal", "score")
 
 
-def forward_sum(horizon: int, least: int | None = None) -> Column:
-    """Sum of the next ``horizon`` warrant returns; null beyond the end of the history."""
+def forward_sum(horizon: int, least: int = 0) -> Column:
+    """Sum of the next ``horizon`` warrant returns; null where the history ends earlier."""
+    ahead = R.series(_BY, _ORDER).rowsBetween(1, horizon)
+    complete = F.count(F.lit(1)).over(ahead) == horizon
+    return F.when(complete & (F.count("w_ret").over(ahead) >= least), F.coalesce(F.sum("w_ret").over(ahead), F.lit(0.0)))
+
+
+def pooled_ic(scored: DataFrame, cut, horizons=(3, 5, 10), least: int = 20) -> DataFrame:
+    """Spearman IC of each signal and horizon, pooled over all training rows.
+
+    The pooled groups grow with the data, hence the bucketed ranks. Values equal to eight
+    decimals tie, so that a rank never hangs on the last bit of a sum.
+    """
+    wide = scored.withColumns({f"fwd_{h}": forward_sum(h) for h in horizons}).where(F.col("date") < F.lit(cut))
+    by_signal = unpivot_signals(wide, *[f"fwd_{h}" for h in horizons]).where(F.col("score").isNotNull())
+    long = by_signal.unpivot([_BY, "date", "signal", "score"], [f"fwd_{h}" for h in horizons], "horizon", "fwd").where(
+        F.col("fwd").isNotNull())
+    long = long.withColumns({"score": F.round("score", 8), "fwd": F.round("fwd", 8)})
+    keys = ["signal", "horizon"]
+    ranked = with_average_rank(with_average_rank(long, "score", keys, "rank_score"), "fwd", keys, "rank_fwd")
+    stats_ = ranked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.corr("rank_score", "rank_fwd").alias("ic"), F.stddev_samp("score").alias("spread"))
+    kept = stats_.where(F.col("n") >= least)
+    with_p = with_t_tail(kept, correlation_t(F.col("ic"), F.col("n")), F.col("n") - 2, "p_value")
+    return with_p.withColumn("ic_ir", F.col("ic") / (F.col("spread") / F.sqrt("n") + 1e-10)).drop("spread")
+
+
+def pair_trades(scored: DataFrame, cut, entry: float = 0.5, hold: int = 10, cost: float = 0.03,
+                least_dte: int = 15) -> DataFrame:
+    """Non-overlapping trades of each (signal, warrant) after the cut."""
     w = R.series(_BY, _ORDER)
-    ahead = w.rowsBetween(1, horizon)
-    complete = F.lead("w_ret", horizon).over(w).isNotNull() | (
-        F.count(F.lit(1)).over(ahead) == horizon)
-    enough = F.count("w_ret").over(ahead) >= (horizon // 2 if least is None else least)
-    return F.when(complete & enough, F.sum("w_ret").over(ahead))
+    wide = scored.withColumns({
+        "gross": forward_sum(hold, hold // 2), "t": F.row_number().over(w).cast("long") - 1,
+    })
+    cands = unpivot_signals(wide, "gross", "t", "dte").where(
+        (F.col("date") >= F.lit(cut)) & (F.col("score") >= entry) & (F.col("dte") >= least_dte) & F.col("gross").isNotNull())
+    cands = cands.withColumn("until", F.col("t") + hold + 1)
+    taken = non_overlapping(cands, ["signal", _BY], "t", "until", ["date"])
+    return taken.withColumn("net", F.col("gross") - cost)
+
+
+def trade_stats(trades: DataFrame, *keys: str) -> DataFrame:
+    n = F.count(F.lit(1))
+    return trades.groupBy(*keys).agg(
+        n.alias("n_trades"), F.avg(F.when(F.col("gross") > 0, 1.0).otherwise(0.0)).alias("hit_rate"),
+        F.avg("gross").alias("avg_gross"), F.avg("net").alias("avg_net"),
+        F.when(n > 1, F.avg("net") / (F.stddev_samp("net") + 1e-10)).otherwise(0.0).alias("sharpe"))
