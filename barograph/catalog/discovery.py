@@ -1 +1,116 @@
-"""Section under construction."""
+"""DIS-01..05, TOP-07, TOP-09, AGG-17: information coefficients, sweep, FDR and factors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barograph.catalog.base import query, view
+from barograph.catalog.rolling import features, r6
+from barograph.catalog.sqlstats import fdr_sql, t_tail_sql
+from barograph.operators import rolling as R
+from barograph.operators.ranking import adjust_fdr
+from barograph.plans import discovery as X
+from barograph.plans import signals as G
+
+_DIG = 6  # features are rounded before ranking, so ties do not hang on the last bit
+
+
+def ic_sql(values: list[str], lags: int) -> str:
+    names = ", ".join(f"'{v}'" for v in values)
+    cells = ", ".join(f"round({v}, {_DIG})" for v in values)
+    return f"""
+      SELECT feature, CAST(k AS INTEGER) AS lag, date, count(*) AS n, corr(rx, ry) AS ic FROM (
+        SELECT feature, k, date, row_number() OVER (PARTITION BY feature, k, date ORDER BY value, symbol) AS rx,
+               row_number() OVER (PARTITION BY feature, k, date ORDER BY ahead, symbol) AS ry
+        FROM (SELECT x.symbol, x.date, x.feature, x.value, k, f.fwd AS ahead FROM
+               (SELECT symbol, date, t, unnest([{names}]) AS feature, unnest([{cells}]) AS value FROM m_bank) x
+              JOIN range(1, {lags + 1}) r(k) ON TRUE JOIN m_fwd1 f ON f.symbol = x.symbol AND f.t = x.t + k
+              WHERE x.value IS NOT NULL AND f.fwd IS NOT NULL)) GROUP BY feature, k, date HAVING count(*) >= 10"""
+
+
+view("m_fwd1", "SELECT a.symbol, a.t, round(b.close / a.close - 1, 9) AS fwd FROM m_panel a JOIN m_panel b ON b.symbol = a.symbol AND b.t = a.t + 1")
+
+
+def swept(m):
+    """Feature bank with the one-slot forward return."""
+    bank = G.feature_bank(features(m).withColumn("fwd1", F.round(R.forward_return("close", 1), 9)))
+    return bank
+
+
+def bank_with_forward(m):
+    feat = features(m)
+    forward = feat.select("symbol", "t", F.round(R.forward_return("close", 1), 9).alias("fwd1"))
+    bank = G.feature_bank(feat).join(forward, ["symbol", "t"])
+    return bank.withColumns({c: F.round(c, _DIG) for c in G.BANK})
+
+
+@query("dis_01", f"SELECT feature, lag, date, n, round(ic, 6) AS ic FROM ({ic_sql(['hl_spread', 'volume_z20'], 2)})")
+def _(m):
+    return X.ic_series(bank_with_forward(m), ["hl_spread", "volume_z20"], "fwd1", 2).select(
+        "feature", "lag", "date", "n", r6("ic", "ic"))
+
+
+def stats_sql(inner: str) -> str:
+    body = f"""SELECT feature, lag, CASE WHEN c >= 5 THEN m END AS mean_ic, CASE WHEN c >= 5 THEN s END AS std_ic, CASE WHEN c >= 5 THEN m / (s + 1e-10) END AS ic_ir,
+        CASE WHEN c >= 5 THEN m / (s / sqrt(c) + 1e-10) END AS t_stat, CASE WHEN c >= 5 THEN c ELSE 0 END AS n
+        FROM (SELECT feature, lag, avg(ic) AS m, stddev_samp(ic) AS s, count(ic) AS c FROM ({inner}) GROUP BY feature, lag)"""
+    return f"SELECT * EXCLUDE (part, p), coalesce(p, 1.0) AS p_value FROM ({t_tail_sql(body, 't_stat', 'n - 1', 'p')})"
+
+
+_STATS = ("mean_ic", "std_ic", "ic_ir", "t_stat", "p_value")
+
+
+@query("dis_02", f"SELECT feature, lag, n, {', '.join(f'round({c}, 6) AS {c}' for c in _STATS)} FROM ({stats_sql(ic_sql(['hl_spread', 'volume_z20'], 2))})")
+def _(m):
+    series = X.ic_series(bank_with_forward(m), ["hl_spread", "volume_z20"], "fwd1", 2)
+    return X.ic_stats(series, "feature", "lag").select("feature", "lag", "n", *[r6(c, c) for c in _STATS])
+
+
+view("m_sweep", f"SELECT *, fdr_p <= 0.05 AS significant FROM ({fdr_sql(stats_sql(ic_sql(list(G.BANK), 20)), 'p_value', 'fdr_p')})")
+
+
+def sweep(m, lags=20):
+    return X.ic_sweep(bank_with_forward(m), list(G.BANK), "fwd1", lags)
+
+
+@query("dis_03", f"SELECT feature, lag, n, significant, {', '.join(f'round({c}, 6) AS {c}' for c in (*_STATS, 'fdr_p'))} FROM m_sweep")
+def _(m):
+    return sweep(m).select("feature", "lag", "n", "significant", *[r6(c, c) for c in (*_STATS, "fdr_p")])
+
+
+_P = "SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN least(value / 1000, 1.0) * (event_id % 97) / 97 END AS p FROM events"
+
+
+@query("dis_04", f"SELECT event_id, round(p, 9) AS p, round(fdr_p, 9) AS fdr_p, fdr_p <= 0.05 AS reject FROM ({fdr_sql(_P, 'p', 'fdr_p')})")
+def _(m):
+    p = F.when(F.col("event_id") % 11 != 0, F.least(F.col("value") / 1000, F.lit(1.0)) * (F.col("event_id") % 97) / 97)
+    tests = m.table("events").select("event_id", p.alias("p"))
+    return adjust_fdr(tests, "p", spread=["event_id"]).select(
+        "event_id", r6("p", "p", 9), r6("fdr_p", "fdr_p", 9), (F.col("fdr_p") <= 0.05).alias("reject"))
+
+
+def factors(m, k=5):
+    names = [r["symbol"] for r in m.nations.select(F.col("n_name").alias("symbol")).orderBy("symbol").collect()]  # 25 names
+    return X.principal_factors(R.with_step_features(m.panel), names, k)
+
+
+@query("dis_05")
+def _(m):
+    _, _, explained, loadings = factors(m)
+    return loadings.join(explained, "factor").select("symbol", "factor", r6("loading", "loading"), r6("explained", "explained"))
+
+
+@query("agg_17")
+def _(m):
+    return X.industry_loadings(factors(m)[3], m.symbols).select("industry", r6("mean_abs", "mean_abs"))
+
+
+@query("top_07", "SELECT feature, lag FROM m_sweep WHERE significant ORDER BY abs(ic_ir) DESC, feature, lag LIMIT 20")
+def _(m):
+    return X.top_significant(sweep(m))
+
+
+@query("top_09", """SELECT feature, CAST(arg_max(lag, row(abs(ic_ir), -lag)) AS INTEGER) AS best_lag, round(arg_max(ic_ir, row(abs(ic_ir), -lag)), 6) AS best_ic_ir,
+       count(*) FILTER (significant) AS n_significant FROM m_sweep GROUP BY feature""")
+def _(m):
+    return X.best_lags(sweep(m)).select("feature", "best_lag", r6("best_ic_ir", "best_ic_ir"), "n_significant")

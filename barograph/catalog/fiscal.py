@@ -86,11 +86,11 @@ def _(m):
     return run(m).select("symbol", "industry", r6("cap", "market_cap", 2), "direction", "n_years", r6("r", "r"), r6("p_value", "p_value"), r6("fdr_p", "fdr_p"))
 
 
-@query("fil_08", """SELECT symbol, industry, round(r, 6) AS r, n_years FROM m_fyrun WHERE (r >= 0.2 OR r <= -0.2) AND n_years >= 4 AND fdr_p <= 1.0
-       AND cap BETWEEN 1e6 AND 5e7 AND industry IN ('ASIA', 'EUROPE', 'AFRICA') AND direction = 'negative'""")
+@query("fil_08", """SELECT symbol, industry, round(r, 6) AS r, n_years FROM m_fyrun WHERE (r >= 0.1 OR r <= -0.1) AND n_years >= 4 AND fdr_p <= 1.0
+       AND cap BETWEEN 1e6 AND 5e7 AND industry IN ('ASIA', 'EUROPE', 'AFRICA') AND direction = 'positive'""")
 def _(m):
-    wanted = ((F.col("r") >= 0.2) | (F.col("r") <= -0.2)) & (F.col("n_years") >= 4) & (F.col("fdr_p") <= 1.0)
-    wanted = wanted & F.col("cap").between(1e6, 5e7) & F.col("industry").isin("ASIA", "EUROPE", "AFRICA") & (F.col("direction") == "negative")
+    wanted = ((F.col("r") >= 0.1) | (F.col("r") <= -0.1)) & (F.col("n_years") >= 4) & (F.col("fdr_p") <= 1.0)
+    wanted = wanted & F.col("cap").between(1e6, 5e7) & F.col("industry").isin("ASIA", "EUROPE", "AFRICA") & (F.col("direction") == "positive")
     return run(m).where(wanted).select("symbol", "industry", r6("r", "r"), "n_years")
 
 
@@ -143,7 +143,7 @@ def _(m):
 
 @query("fyr_08", """SELECT symbol, fy, round(q13_return, 6) AS q13_return, round(q4_return, 6) AS q4_return, round(slope, 5) AS slope,
        round(intercept, 5) AS intercept, round(slope * q13_return + intercept, 5) AS fitted
-       FROM m_fyr JOIN (SELECT symbol, regr_slope(q4_return, q13_return) AS slope, regr_intercept(q4_return, q13_return) AS intercept
+       FROM m_fyr JOIN (SELECT symbol, regr_slope(q4_return, q13_return) AS slope, CASE WHEN count(*) >= 2 THEN regr_intercept(q4_return, q13_return) END AS intercept
                         FROM m_fyr WHERE NOT excluded GROUP BY symbol) USING (symbol) WHERE NOT excluded""")
 def _(m):
     return Y.details(records(m)).select("symbol", "fy", r6("q13_return", "q13_return"), r6("q4_return", "q4_return"),

@@ -35,43 +35,56 @@ def _fraction(a: Column, b: Column, x: Column, terms: Column) -> Column:
     return F.aggregate(F.sequence(terms, F.lit(1), F.lit(-1)), F.lit(1.0), outward)
 
 
-def with_incomplete_beta(df: DataFrame, x: Column, y: Column, a: Column, b: Column, out: str) -> DataFrame:
-    """Adds I_x(a, b); ``y`` is 1 - x, passed separately to keep its precision."""
-    swap = x > (a + 1) / (a + b + 2)
-    staged = df.withColumns({
-        "_swap": swap, "_x": F.when(swap, y).otherwise(x), "_y": F.when(swap, x).otherwise(y),
-        "_a": F.when(swap, b).otherwise(a), "_b": F.when(swap, a).otherwise(b),
-    })
-    staged = staged.withColumns({
-        "_n": F.ceil(40 + 4 * F.sqrt(F.greatest("_a", "_b"))).cast("int"),
-        "_front": F.exp(ln_gamma(F.col("_a") + F.col("_b")) - ln_gamma(F.col("_a")) - ln_gamma(F.col("_b"))
-                        + F.col("_a") * F.log("_x") + F.col("_b") * F.log("_y")) / F.col("_a"),
-    })
-    cf = _fraction(F.col("_a"), F.col("_b"), F.col("_x"), F.col("_n"))
-    part = F.when(F.col("_x") <= 0, 0.0).otherwise(F.col("_front") / cf)
-    value = F.when(F.col("_x").isNull(), F.lit(None).cast("double")).otherwise(
-        F.when(F.col("_swap"), 1 - part).otherwise(part))
-    return staged.withColumn(out, value).drop("_swap", "_x", "_y", "_a", "_b", "_n", "_front")
+def let(bind, **values: Column) -> Column:
+    """Binds columns once and hands them to ``bind`` by name.
+
+    Without it an expression used n times is written out n times whenever the optimizer
+    moves a predicate below it, which grows exponentially along a chain of steps.
+    """
+    one = F.array(F.struct(*[c.alias(k) for k, c in values.items()]))
+    return F.element_at(F.transform(one, bind), 1)
+
+
+def incomplete_beta(x: Column, y: Column, a: Column, b: Column) -> Column:
+    """I_x(a, b); ``y`` is 1 - x, passed separately to keep its precision. Null when x is."""
+    def orient(v):
+        swap = v["x"] > (v["a"] + 1) / (v["a"] + v["b"] + 2)
+        return let(
+            evaluate, swap=swap, x=F.when(swap, v["y"]).otherwise(v["x"]), y=F.when(swap, v["x"]).otherwise(v["y"]),
+            a=F.when(swap, v["b"]).otherwise(v["a"]), b=F.when(swap, v["a"]).otherwise(v["b"]))
+
+    def evaluate(v):
+        front = F.exp(ln_gamma(v["a"] + v["b"]) - ln_gamma(v["a"]) - ln_gamma(v["b"])
+                      + v["a"] * F.log(v["x"]) + v["b"] * F.log(v["y"])) / v["a"]
+        terms = F.ceil(40 + 4 * F.sqrt(F.greatest(v["a"], v["b"]))).cast("int")
+        part = F.when(v["x"] <= 0, 0.0).otherwise(front / _fraction(v["a"], v["b"], v["x"], terms))
+        return F.when(v["x"].isNotNull(), F.when(v["swap"], 1 - part).otherwise(part))
+
+    return let(orient, x=x, y=y, a=a, b=b)
+
+
+def t_tail(t: Column, dof: Column) -> Column:
+    """Two-sided Student-t tail probability; null without t or degrees of freedom."""
+    def tail(v):
+        square = v["t"] * v["t"]
+        usable = v["t"].isNotNull() & (v["n"] > 0)
+        value = incomplete_beta(v["n"] / (v["n"] + square), square / (v["n"] + square), v["n"] / 2, F.lit(0.5))
+        return F.when(usable, value)
+
+    return let(tail, t=t, n=dof.cast("double"))
+
+
+def binomial_tail(k: Column, n: Column) -> Column:
+    """P(X >= k) for X ~ Binomial(n, 1/2)."""
+    def tail(v):
+        return F.when(v["k"] <= 0, 1.0).otherwise(
+            incomplete_beta(F.lit(0.5), F.lit(0.5), v["k"], v["n"] - v["k"] + 1))
+
+    return let(tail, k=k.cast("double"), n=n.cast("double"))
 
 
 def with_t_tail(df: DataFrame, t: Column, dof: Column, out: str) -> DataFrame:
-    """Adds the two-sided Student-t tail probability of ``t``."""
-    dof = dof.cast("double")
-    square = t * t
-    usable = t.isNotNull() & (dof > 0)
-    none = F.lit(None).cast("double")
-    return with_incomplete_beta(
-        df, F.when(usable, dof / (dof + square)).otherwise(none),
-        F.when(usable, square / (dof + square)).otherwise(none),
-        F.when(usable, dof / 2).otherwise(F.lit(1.0)), F.lit(0.5), out)
-
-
-def with_binomial_tail(df: DataFrame, k: Column, n: Column, out: str) -> DataFrame:
-    """Adds P(X >= k) for X ~ Binomial(n, 1/2)."""
-    k, n = k.cast("double"), n.cast("double")
-    inner = with_incomplete_beta(
-        df, F.lit(0.5), F.lit(0.5), F.greatest(k, F.lit(1.0)), n - F.greatest(k, F.lit(1.0)) + 1, "_tail")
-    return inner.withColumn(out, F.when(k <= 0, 1.0).otherwise(F.col("_tail"))).drop("_tail")
+    return df.withColumn(out, t_tail(t, dof))
 
 
 def correlation_t(r: Column, n: Column) -> Column:

@@ -19,8 +19,10 @@ _TOP = 1_000_000
 def ordered_bucket(value: Column) -> Column:
     """Monotone bucket of a double: 64 per factor of two on either side of zero, so a few
     hundred buckets for usual data and under 300 000 over the whole double range."""
-    size = F.floor(F.log2(F.abs(value)) * _PER_OCTAVE).cast("int") + _SHIFT
-    return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size)
+    octave = F.coalesce(F.log2(F.abs(value)), F.lit(0.0))  # never null: no filter is inferred from it
+    size = F.floor(octave * _PER_OCTAVE).cast("int") + _SHIFT
+    signed = F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size)
+    return F.coalesce(signed, F.lit(0))
 
 
 def with_average_rank(df: DataFrame, value: str, by, out: str) -> DataFrame:
