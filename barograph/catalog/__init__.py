@@ -16,7 +16,7 @@ from barograph.sources.market import Market
 
 SECTIONS = (
     "sources", "filters", "joins", "aggregates", "rolling", "topk", "setops", "scalars",
-    "merges", "streams", "signals", "discovery", "fiscal", "warrants", "ledgers", "special",
+    "merges", "streams", "signals", "discovery", "leadlag", "fiscal", "warrants", "ledgers", "special",
 )
 
 

@@ -66,7 +66,9 @@ def _(m):
     return X.ic_stats(series, "feature", "lag").select("feature", "lag", "n", *[r6(c, c) for c in _STATS])
 
 
-view("m_sweep", f"SELECT *, fdr_p <= 0.05 AS significant FROM ({fdr_sql(stats_sql(ic_sql(list(G.BANK), 20)), 'p_value', 'fdr_p')})")
+_GRID = f"""SELECT g.feature, CAST(g.lag AS INTEGER) AS lag, s.mean_ic, s.std_ic, s.ic_ir, s.t_stat, coalesce(s.n, 0) AS n, coalesce(s.p_value, 1.0) AS p_value
+    FROM (SELECT unnest([{', '.join(f"'{c}'" for c in G.BANK)}]) AS feature, k AS lag FROM range(1, 21) r(k)) g LEFT JOIN ({stats_sql(ic_sql(list(G.BANK), 20))}) s ON s.feature = g.feature AND s.lag = g.lag"""
+view("m_sweep", f"SELECT *, fdr_p <= 0.05 AS significant FROM ({fdr_sql(_GRID, 'p_value', 'fdr_p')})")
 
 
 def sweep(m, lags=20):
@@ -105,12 +107,12 @@ def _(m):
     return X.industry_loadings(factors(m)[3], m.symbols).select("industry", r6("mean_abs", "mean_abs"))
 
 
-@query("top_07", "SELECT feature, lag FROM m_sweep WHERE significant ORDER BY abs(ic_ir) DESC, feature, lag LIMIT 20")
+@query("top_07", "SELECT feature, lag FROM m_sweep WHERE fdr_p <= 0.2 ORDER BY abs(ic_ir) DESC, feature, lag LIMIT 20")
 def _(m):
-    return X.top_significant(sweep(m))
+    return X.top_significant(X.ic_sweep(bank_with_forward(m), list(G.BANK), "fwd1", 20, alpha=0.2))
 
 
-@query("top_09", """SELECT feature, CAST(arg_max(lag, row(abs(ic_ir), -lag)) AS INTEGER) AS best_lag, round(arg_max(ic_ir, row(abs(ic_ir), -lag)), 6) AS best_ic_ir,
+@query("top_09", """SELECT feature, CAST(arg_max(lag, row(abs(ic_ir), -lag)) FILTER (ic_ir IS NOT NULL) AS INTEGER) AS best_lag, round(arg_max(ic_ir, row(abs(ic_ir), -lag)) FILTER (ic_ir IS NOT NULL), 6) AS best_ic_ir,
        count(*) FILTER (significant) AS n_significant FROM m_sweep GROUP BY feature""")
 def _(m):
     return X.best_lags(sweep(m)).select("feature", "best_lag", r6("best_ic_ir", "best_ic_ir"), "n_significant")

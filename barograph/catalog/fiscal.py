@@ -143,7 +143,7 @@ def _(m):
 
 @query("fyr_08", """SELECT symbol, fy, round(q13_return, 6) AS q13_return, round(q4_return, 6) AS q4_return, round(slope, 5) AS slope,
        round(intercept, 5) AS intercept, round(slope * q13_return + intercept, 5) AS fitted
-       FROM m_fyr JOIN (SELECT symbol, regr_slope(q4_return, q13_return) AS slope, CASE WHEN count(*) >= 2 THEN regr_intercept(q4_return, q13_return) END AS intercept
+       FROM m_fyr JOIN (SELECT symbol, CASE WHEN count(*) >= 2 THEN regr_slope(q4_return, q13_return) END AS slope, CASE WHEN count(*) >= 2 THEN regr_intercept(q4_return, q13_return) END AS intercept
                         FROM m_fyr WHERE NOT excluded GROUP BY symbol) USING (symbol) WHERE NOT excluded""")
 def _(m):
     return Y.details(records(m)).select("symbol", "fy", r6("q13_return", "q13_return"), r6("q4_return", "q4_return"),

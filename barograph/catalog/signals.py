@@ -85,9 +85,9 @@ def factors(m, bars=None):
     return G.factor_bank(closes(m) if bars is None else bars, m.shorts, snapshot)
 
 
-@query("sig_06", "SELECT symbol, date, " + ", ".join(f"round({c}, 4) AS {c}" for c in ALL_FACTORS) + " FROM m_factor")
+@query("sig_06", "SELECT symbol, date, " + ", ".join(f"round({c}, 6) AS {c}" for c in ALL_FACTORS) + " FROM m_factor")
 def _(m):
-    return factors(m).select("symbol", "date", *[r6(c, c, 4) for c in ALL_FACTORS])
+    return factors(m).select("symbol", "date", *[r6(c, c) for c in ALL_FACTORS])
 
 
 @query("sig_07", """SELECT v.symbol, v.date, round(v.score, 4) AS score, s.name, s.industry FROM m_sig_volume v LEFT JOIN m_symbols s USING (symbol)
@@ -116,8 +116,8 @@ def _(m):
 
 @query("sig_10", """
     WITH c AS (SELECT CASE event_type WHEN 'click' THEN 'AFRICA' WHEN 'error' THEN 'AMERICA' WHEN 'purchase' THEN 'ASIA' WHEN 'signup' THEN 'EUROPE' ELSE 'MIDDLE EAST' END AS industry,
-                      DATE '2001-10-01' + (CAST(ts AS DATE) - DATE '2024-01-01') AS date, event_type FROM (SELECT DISTINCT event_type, CAST(ts AS DATE) AS ts FROM events)),
-    p AS (SELECT id, DATE '2001-10-01' + (date - DATE '2024-01-01') AS date, price / lag(price, 5) OVER (PARTITION BY id ORDER BY date) - 1 AS m FROM m_series),
+                      DATE '2001-10-01' + CAST(CAST(ts AS DATE) - DATE '2024-01-01' AS INT) AS date, event_type FROM (SELECT DISTINCT event_type, CAST(ts AS DATE) AS ts FROM events)),
+    p AS (SELECT id, DATE '2001-10-01' + CAST(date - DATE '2024-01-01' AS INT) AS date, price / lag(price, 5) OVER (PARTITION BY id ORDER BY date) - 1 AS m FROM m_series),
     i AS (SELECT DISTINCT industry, event_type FROM c)
     """ + rank_sql("SELECT b.symbol, b.date, b.t, p.m AS raw FROM m_panel b JOIN m_symbols s USING (symbol) JOIN i ON i.industry = s.industry JOIN p ON p.id = i.event_type AND p.date = b.date WHERE p.m IS NOT NULL", "raw").replace("SELECT symbol, date, t, CASE", "SELECT symbol, date, CASE", 1))
 def _(m):

@@ -57,9 +57,16 @@ def ic_stats(series: DataFrame, *keys: str) -> DataFrame:
     return staged.withColumn("p_value", F.coalesce(t_tail(F.col("t_stat"), F.col("n") - 1), F.lit(1.0)))
 
 
+def test_grid(spark, features: list[str], lags: int) -> DataFrame:
+    """Every (feature, lag) test; as many rows as tests, whatever the data."""
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
+    return names.select("feature", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"))
+
+
 def ic_sweep(panel: DataFrame, features: list[str], forward: str, lags: int = 20, alpha: float = 0.05) -> DataFrame:
     """All features at all lags in one job, FDR over the whole sweep, strongest |IR| first."""
-    stats_ = ic_stats(ic_series(panel, features, forward, lags), "feature", "lag")
+    found = ic_stats(ic_series(panel, features, forward, lags), "feature", "lag")
+    stats_ = test_grid(panel.sparkSession, features, lags).join(found, ["feature", "lag"], "left").fillna(1.0, ["p_value"]).fillna(0, ["n"])
     adjusted = adjust_fdr(stats_, "p_value", spread=["feature", "lag"])
     return adjusted.withColumn("significant", F.col("fdr_p") <= alpha).orderBy(F.abs("ic_ir").desc_nulls_last(), "feature", "lag")
 
@@ -69,7 +76,7 @@ def top_significant(sweep: DataFrame, n: int = 20) -> DataFrame:
 
 
 def best_lags(sweep: DataFrame) -> DataFrame:
-    best = F.struct(F.abs("ic_ir").alias("s"), (-F.col("lag")).alias("l"), F.col("ic_ir"))
+    best = F.when(F.col("ic_ir").isNotNull(), F.struct(F.abs("ic_ir").alias("s"), (-F.col("lag")).alias("l"), F.col("ic_ir")))
     return sweep.groupBy("feature").agg(F.max(best).alias("b"), F.count_if("significant").alias("n_significant")).select(
         "feature", (-F.col("b.l")).alias("best_lag"), F.col("b.ic_ir").alias("best_ic_ir"), "n_significant")
 
