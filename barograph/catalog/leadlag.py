@@ -39,8 +39,8 @@ def ccf_sql(src: str, extra: str = "") -> str:
     ea, eg = (f", a.{extra}" if extra else ""), (f", {extra}" if extra else "")
     join = f" AND s.{extra} = p.{extra}" if extra else ""
     return f"""
-      SELECT industry{eg}, leader, follower, CAST(lag_days AS INTEGER) AS lag_days, n, CASE WHEN n >= 30 THEN round(CASE WHEN (n * sxx - sx * sx) * (n * syy - sy * sy) > 0
-          THEN greatest(-1.0, least(1.0, (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)))) ELSE 0.0 END, 8) ELSE 0.0 END AS r
+      SELECT industry{eg}, leader, follower, CAST(lag_days AS INTEGER) AS lag_days, n, CASE WHEN n >= 30 THEN CASE WHEN (n * sxx - sx * sx) * (n * syy - sy * sy) > 0
+          THEN greatest(-1.0, least(1.0, (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)))) ELSE 0.0 END ELSE 0.0 END AS r
       FROM (SELECT p.industry{', p.' + extra if extra else ''}, p.leader, p.follower, p.k AS lag_days, p.slots - p.k AS n, coalesce(sxy, 0.0) AS sxy,
               s.sx - coalesce(list_sum(list_transform(list_filter(s.v, lambda z: z.t >= p.slots - p.k), lambda z: z.x)), 0.0) AS sx,
               s.sxx - coalesce(list_sum(list_transform(list_filter(s.v, lambda z: z.t >= p.slots - p.k), lambda z: z.x * z.x)), 0.0) AS sxx,

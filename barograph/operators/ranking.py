@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barograph.session import cut_lineage
+
 _PER_OCTAVE = 64
 _SHIFT = 100_000
 _TOP = 1_000_000
@@ -75,6 +77,9 @@ def adjust_fdr(df: DataFrame, p: str, by=(), out: str = "fdr_p", spread=()) -> D
     tests make that value a hot one, they are spread over many buckets by ``spread``.
     """
     by = list(by)
+    # Three passes follow; materialising the tests once spares recomputing them and makes
+    # every pass see the very same p-values.
+    df = cut_lineage(df)
     rows = df.withColumn("_p", F.coalesce(F.least(F.col(p), F.lit(1.0)), F.lit(1.0)))
     top = (_TOP + F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(256))).cast("int")
     rows = rows.withColumn("_b", F.when(F.col("_p") >= 1, top).otherwise(ordered_bucket(F.col("_p"))))

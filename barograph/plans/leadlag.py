@@ -111,7 +111,7 @@ def ccf(returns: DataFrame, by: list[str], max_lag: int = MAX_LAG, block: int =
         F.first("slots").alias("slots"), *[F.sum(c).alias(c) for c in ("sxy", "sx", "sxx", "sy", "syy")])
     n = F.col("slots") - F.col("lag_days")
     r = pearson_from_sums(n, *[F.col(c) for c in ("sx", "sy", "sxx", "syy", "sxy")])
-    return sums.select(*by, "leader", "follower", "lag_days", n.alias("n"), F.when(n >= MIN_OVERLAP, F.round(r, 8)).otherwise(0.0).alias("r"))
+    return sums.select(*by, "leader", "follower", "lag_days", n.alias("n"), F.when(n >= MIN_OVERLAP, r).otherwise(0.0).alias("r"))
 
 
 def with_p(pairs: DataFrame) -> DataFrame:
