@@ -22,6 +22,7 @@ from barograph.operators import ledger as L
 from barograph.plans import backtests as B
 from barograph.plans import discovery as X
 from barograph.plans import signals as G
+from barograph.session import cut_lineage
 from barograph.sources.market import CUT
 
 # Thresholds at the scale of the derived pairs; same shape as the built-in catalogue.
@@ -71,12 +72,12 @@ def greedy_sql(src: str, key: list[str], order: str, carry: str = "*") -> str:
     """Walk along 'next candidate that starts at or after this one ends' pointers."""
     k = ", ".join(key)
     on = " AND ".join(f"a.{c} = b.{c}" for c in key)
-    return f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY buy_t, {order}) AS rn FROM {src}),
-      heads AS (SELECT {k}, buy_t, min(rn) AS rn FROM o GROUP BY {k}, buy_t),
-      ptr AS (SELECT {', '.join('a.' + c for c in key)}, a.rn, CASE WHEN a.sell_t <= a.buy_t THEN a.rn + 1 ELSE b.rn END AS nxt
+    return f"""WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY buy_t, {order}) AS seq FROM {src}),
+      heads AS MATERIALIZED (SELECT {k}, buy_t, min(seq) AS seq FROM o GROUP BY {k}, buy_t),
+      ptr AS MATERIALIZED (SELECT {', '.join('a.' + c for c in key)}, a.seq, CASE WHEN a.sell_t <= a.buy_t THEN a.seq + 1 ELSE b.seq END AS nxt
               FROM o a ASOF LEFT JOIN heads b ON {on} AND b.buy_t >= a.sell_t),
-      walk AS (SELECT {k}, rn, nxt FROM ptr WHERE rn = 1 UNION ALL SELECT {', '.join('b.' + c for c in key)}, b.rn, b.nxt FROM walk a JOIN ptr b ON {on} AND b.rn = a.nxt)
-      SELECT o.* EXCLUDE (rn) FROM o JOIN walk USING ({k}, rn)"""
+      walk AS (SELECT {k}, seq, nxt FROM ptr WHERE seq = 1 UNION ALL SELECT {', '.join('b.' + c for c in key)}, b.seq, b.nxt FROM walk a JOIN ptr b ON {on} AND b.seq = a.nxt)
+      SELECT o.* EXCLUDE (seq) FROM o JOIN walk USING ({k}, seq)"""
 
 
 view("m_sized", economics_sql("m_cand"))
@@ -85,7 +86,8 @@ view("m_ledger", "SELECT * FROM m_sized WHERE NOT no_overlap UNION ALL SELECT *
 
 
 def pairs(m):
-    return both(m).where(F.col("leader") != F.col("follower"))
+    """The stored pair table that the strategies read (written once, then reused)."""
+    return cut_lineage(both(m).where(F.col("leader") != F.col("follower")))
 
 
 def panel(m):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barograph.functions import scalars as S
 from barograph.operators.ranking import running_total_by_day
+from barograph.session import cut_lineage
 
 
 def non_overlapping(candidates: DataFrame, key: list[str], begin: str, end: str, order: list[str]) -> DataFrame:
@@ -19,6 +20,7 @@ def non_overlapping(candidates: DataFrame, key: list[str], begin: str, end: str,
     (bounded by the calendar, however many candidates share it), the fold runs over those,
     and the taken candidates are found by an equi-join.
     """
+    candidates = cut_lineage(candidates)  # read twice: for the slots and for the final join
     position = F.struct(*order)
     lasting = F.when(F.col(end) > F.col(begin), position)
     slots = candidates.groupBy(*key, begin).agg(

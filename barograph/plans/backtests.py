@@ -14,6 +14,7 @@ from barograph.operators import rolling as R
 from barograph.operators.crosssection import average_rank
 from barograph.operators.filters import with_bad_price_flag
 from barograph.plans import discovery as X
+from barograph.session import cut_lineage
 
 # Grid of the parameter sweep.
 TRAIN_R_GRID = (0.80, 0.82, 0.84, 0.86, 0.88, 0.90, 0.92, 0.94, 0.96)
@@ -104,7 +105,7 @@ def pair_candidates(pairs: DataFrame, panel: DataFrame, max_lag: int) -> DataFra
 
 def pair_ledger(candidates: DataFrame) -> DataFrame:
     """Economics of all trades; strategies without overlap keep disjoint holdings per follower."""
-    sized = L.economics(candidates)
+    sized = cut_lineage(L.economics(candidates))
     free = sized.where(~F.col("no_overlap"))
     kept = L.non_overlapping(sized.where("no_overlap"), ["config", "follower"], "buy_t", "sell_t", ["leader", "lag_days"])
     return free.unionByName(kept)
