@@ -1 +1,216 @@
-"""Section under construction."""
+"""SRC, UDX-05: loaders applied to text that Spark derives from the given tables."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from barograph.catalog.base import query, view
+from barograph.catalog.filters import closes
+from barograph.catalog.rolling import r6
+from barograph.operators.filters import split, with_history
+from barograph.sources import files as S
+from barograph.sources import pages as P
+from barograph.sources.market import CUT
+
+
+@query("src_01", """SELECT symbol, date, open, high, low, close, volume FROM m_bars WHERE date < DATE '2000-07-01'
+       AND symbol IN (SELECT symbol FROM m_bars WHERE date < DATE '2000-07-01' GROUP BY symbol HAVING count(*) >= 1000)""")
+def _(m):
+    return with_history(split(m.bars, "train", CUT), 1000).select("symbol", "date", "open", "high", "low", "close", "volume")
+
+
+@query("src_02", "SELECT symbol, date, short FROM m_shorts WHERE date >= DATE '2000-07-01'")
+def _(m):
+    return split(m.shorts, "backtest", CUT).select("symbol", "date", "short")
+
+
+@query("src_03", "SELECT symbol, name, industry, shares, current FROM m_symbols")
+def _(m):
+    return m.symbols.select("symbol", "name", "industry", "shares", "current")
+
+
+def price_lines(m):
+    return m.bars.select("symbol", F.concat_ws(",", "symbol", F.date_format("date", "yyyyMMdd"), "open", "high", "low", "close", "volume").alias("value"))
+
+
+_BARS = "SELECT symbol, date, open, high, low, close, volume FROM m_bars"
+
+
+@query("src_04", _BARS)
+def _(m):
+    return S.price_rows(price_lines(m).select("value"))
+
+
+@query("src_05", "SELECT symbol, name, industry FROM m_symbols")
+def _(m):
+    listed = m.symbols.select(F.concat(F.lit('"'), "name", F.lit(', Ltd",'), "symbol", F.lit(","), "industry").alias("value"))
+    titles = m.table("region").select(F.explode(F.array(
+        F.concat(F.lit("List as at "), "r_name"), F.lit(""), F.lit("Company name,ASX code,GICS industry group"))).alias("value"))
+    rows = S.company_rows(titles.unionByName(listed))
+    return rows.withColumn("name", F.regexp_replace("name", ", Ltd$", ""))
+
+
+@query("src_06", """SELECT symbol, round(trailing_pe * 1000 / dividend_yield, 4) AS shares FROM (SELECT symbol, round(trailing_pe, 2) AS trailing_pe, round(dividend_yield, 4) AS dividend_yield, date FROM m_fundamentals)
+       WHERE date = (SELECT max(date) FROM m_fundamentals) AND dividend_yield <> 0""")
+def _(m):
+    cap = F.format_number(F.round("trailing_pe", 2) * 1000, 2)
+    lines = m.fundamentals.select(
+        F.concat(F.lit("valuation-"), F.date_format("date", "yyyy-MM-dd"), F.lit(".csv")).alias("file"),
+        F.concat(F.lit("ASX:"), "symbol", F.lit(',"$'), cap, F.lit('",'), F.round("dividend_yield", 4)).alias("value"))
+    return S.shares_from_snapshots(lines).select("symbol", r6("shares", "shares", 4))
+
+
+@query("src_07", "SELECT symbol, date, round(short * 100, 2) AS short FROM m_shorts WHERE round(short * 100, 2) <> 0 AND date <> DATE '1998-03-03' AND isodow(date) < 6")
+def _(m):
+    """One matrix file per year, with descriptor lines, blanks and thousands separators."""
+    year = F.year("date").cast("string")
+    scaled = F.round(F.col("short") * 100, 2)
+    cell = F.when(F.weekday("date") >= 5, "").when(scaled == 0, "-").otherwise(F.concat(F.lit('"'), F.format_number(scaled, 2), F.lit('"')))
+    days = m.shorts.select("date").distinct().select(year.alias("file"), "date")
+    # one matrix line per file and symbol: at most one cell pair per report day of the year
+    filled = days.join(m.shorts.select(year.alias("file"), "symbol").distinct(), "file").join(
+        m.shorts.select("symbol", "date", cell.alias("cell")), ["symbol", "date"], "left")
+    body = filled.groupBy("file", "symbol").agg(F.sort_array(F.collect_list(F.struct("date", F.coalesce("cell", F.lit("")).alias("cell")))).alias("v")).select(
+        "file", F.concat(F.lit('"Name, of '), "symbol", F.lit('",'), "symbol", F.lit(",ORDINARY"),
+                         F.concat_ws("", F.transform("v", lambda x: F.concat(F.lit(","), x["cell"], F.lit(",1"))))).alias("value"))
+    head = days.groupBy("file").agg(F.sort_array(F.collect_list("date")).alias("d")).select(
+        "file", F.explode(F.array(
+            F.lit(",,Trade Date,,"), F.concat(F.lit(",,"), F.array_join(F.transform("d", lambda x: F.date_format(x, "yyyy-MM-dd")), ",,"), F.lit(",,")),
+            F.lit(",,Reported Short Positions,% held,"), F.lit("Product,Product Code,Reported Short Positions,%"))).alias("value"))
+    bad = m.spark.range(1).select(F.to_date(F.lit("1998-03-03")).alias("date"))
+    return S.short_matrix(head.unionByName(body), bad)
+
+
+@query("src_08", _BARS)
+def _(m):
+    heads = m.calendar.select(F.lit("symbol,date,open,high,low,close,volume").alias("value"))
+    return S.yearly_price_rows(price_lines(m).select("value").unionByName(heads))
+
+
+@query("src_09", """SELECT symbol, date, open, high, low, CASE WHEN volume < 10 THEN 0.0 ELSE close END AS close, volume FROM m_bars""")
+def _(m):
+    """One JSON quote list per day."""
+    quote = F.struct(F.concat("symbol", F.lit(" ")).alias("symbolCode"), "open", "high", "low",
+                     F.when(F.col("volume") >= 10, F.col("close")).alias("close"), "volume")
+    blank = F.struct(F.lit("  ").alias("symbolCode"), *[F.lit(1.0).alias(c) for c in ("open", "high", "low", "close", "volume")])
+    payload = m.bars.groupBy(F.col("date").alias("day")).agg(F.to_json(F.concat(F.collect_list(quote), F.array(blank))).alias("value"))
+    return S.quote_rows(payload)
+
+
+@query("src_10", "SELECT symbol, date, open, high, low, close, volume FROM m_bars WHERE volume >= 10")
+def _(m):
+    def attr(name, value):
+        return F.concat(F.lit(f' {name}="'), value, F.lit('"'))
+
+    volume = F.when(F.col("volume") >= 10, F.col("volume")).otherwise(0.0)
+    quote = F.concat(F.lit("<QUOTE"), attr("Symbol", F.col("symbol")), *[attr(c.capitalize(), F.col(c)) for c in ("open", "high", "low", "close")],
+                     attr("Volume", volume), F.lit("/>"))
+    payload = m.bars.groupBy(F.col("date").alias("day")).agg(
+        F.concat(F.lit('<RESULT Message="Success">'), F.concat_ws("", F.collect_list(quote)), F.lit("</RESULT>")).alias("value"))
+    return S.xml_quote_rows(payload)
+
+
+@query("src_11", "SELECT CASE id WHEN 'click' THEN 'LEAD' WHEN 'error' THEN 'COPPER' WHEN 'view' THEN 'ZINC' END AS id, date, price FROM m_series WHERE id IN ('click', 'error', 'view')")
+def _(m):
+    metals = F.map_from_entries(F.collect_list(F.struct("id", "price")))
+    stamp = F.create_map(F.lit("metal"), F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("T03:27:06.264Z")))
+    payload = m.series.groupBy("date").agg(metals.alias("metals")).select(
+        F.to_json(F.struct(F.lit("success").alias("status"), "metals", stamp.alias("timestamps"))).alias("value"))
+    return S.metal_rows(payload, {"click": "LEAD", "error": "COPPER", "view": "ZINC"})
+
+
+@query("src_12", """SELECT symbol, fiscal_year_end, total_revenue, net_income, free_cashflow, stockholders_equity, CASE WHEN year(fiscal_year_end) % 2 = 0 THEN net_income * 2 ELSE net_income * 3 END AS operating_income FROM m_financials""")
+def _(m):
+    even = F.year("fiscal_year_end") % 2 == 0
+    wide = m.financials.select("symbol", "fiscal_year_end", F.col("total_revenue").alias("Total Revenue"), F.col("net_income").alias("Net Income"),
+                               F.col("free_cashflow").alias("Free Cash Flow"), F.col("stockholders_equity").alias("Common Stock Equity"),
+                               F.when(even, F.col("net_income") * 2).alias("Operating Income"), (F.col("net_income") * 3).alias("Total Operating Income As Reported"))
+    long = wide.unpivot(["symbol", "fiscal_year_end"], [c for c in wide.columns if c not in ("symbol", "fiscal_year_end")], "label", "value")
+    return S.statement_rows(long).select("symbol", "fiscal_year_end", "total_revenue", "net_income", "free_cashflow", "stockholders_equity", "operating_income")
+
+
+@query("src_13", "SELECT date, symbol, open, high, low, close, volume FROM m_bars WHERE symbol IN ('NATION_1', 'NATION_2', 'NATION_3')")
+def _(m):
+    names = ["NATION_1", "NATION_2", "NATION_3"]
+    wide = m.bars.where(F.col("symbol").isin(*names)).groupBy("date").pivot("symbol", names).agg(
+        *[F.max(c).alias(c) for c in ("open", "high", "low", "close", "volume")])
+    return S.stacked_rows(wide, names)
+
+
+@query("src_14", "SELECT event_id AS symbol, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k, value, NULL::BIGINT AS label FROM events")
+def _(m):
+    rows = m.table("events").select(F.col("event_id").alias("symbol"), F.concat(
+        F.lit('{"label":"n/a","value":'), "value", F.lit(","), F.expr("substring(props, 2)")).alias("value"))
+    return S.metric_rows(rows, {"k": "bigint", "value": "double", "label": "bigint"})
+
+
+@query("src_17", """
+    WITH w AS (SELECT CAST(o_custkey AS VARCHAR) AS symbol, max(CAST(o_orderdate AS DATE)) FILTER (o_orderstatus = 'F') AS earnings, max(CAST(o_orderdate AS DATE)) FILTER (o_orderstatus = 'O') AS earnings_call,
+           max(CAST(o_orderdate AS DATE)) FILTER (o_orderstatus = 'P') AS ex_dividend, o_custkey % 2 = 0 AS is_estimate FROM orders GROUP BY o_custkey)
+    SELECT symbol, earnings AS event_date, 'earnings' AS event_type, symbol || ' Results' AS title, is_estimate FROM w WHERE earnings >= DATE '2000-01-01'
+    UNION ALL SELECT symbol, earnings_call, 'earnings_call', symbol || ' Earnings Call', is_estimate FROM w WHERE earnings_call >= DATE '2000-01-01'
+    UNION ALL SELECT symbol, ex_dividend, 'ex_dividend', symbol || ' Ex-Dividend', FALSE FROM w WHERE ex_dividend >= DATE '2000-01-01'""")
+def _(m):
+    day = F.col("o_orderdate").cast("date")
+    info = m.table("orders").groupBy("o_custkey").agg(*[
+        F.max(F.when(F.col("o_orderstatus") == s, day)).alias(n) for s, n in (("F", "earnings"), ("O", "earnings_call"), ("P", "ex_dividend"))])
+    info = info.select(F.col("o_custkey").cast("string").alias("symbol"), "earnings", "earnings_call", "ex_dividend", (F.col("o_custkey") % 2 == 0).alias("is_estimate"))
+    return S.event_rows(info, F.lit(dt.date(2000, 1, 1)))
+
+
+@query("src_18", """SELECT symbol, date, close, CASE WHEN close < 44 THEN 0.0 ELSE close END AS volume FROM m_option_bars WHERE close >= 40 AND close <= 60""")
+def _(m):
+    close = F.when(F.col("close") < 40, F.lit(float("nan"))).when(F.col("close") <= 60, F.col("close")).when(F.col("close") < 100, F.lit(-1.0))
+    raw = m.option_bars.select("symbol", "date", close.alias("close"), F.when(F.col("close") >= 44, F.col("close")).alias("volume"))
+    return S.live_bars(raw)
+
+
+@query("src_15", "SELECT symbol, date, score FROM m_forecasts")
+def _(m):
+    """Records written as JSON and read back through the same schema."""
+    text = m.forecasts.select(F.to_json(F.struct("symbol", "date", "score")).alias("value"))
+    return text.select(F.from_json("value", "symbol string, date date, score double").alias("r")).select("r.*")
+
+
+@query("src_16", "SELECT 'train' AS part, (SELECT max(date) FROM m_bars WHERE date < DATE '2000-07-01') AS newest, count(*) AS n FROM m_bars WHERE date < DATE '2000-07-01'")
+def _(m):
+    """The panel cache is keyed by split and newest date; a reliable checkpoint holds it."""
+    from barograph.session import cut_lineage
+
+    cached = cut_lineage(split(m.trading_days, "train", CUT))
+    return cached.agg(F.lit("train").alias("part"), F.max("date").alias("newest"), F.count(F.lit(1)).alias("n"))
+
+
+# A page table of renames: one page per region, one section per year, one row per event.
+@query("udx_05", """SELECT upper(n_name) AS old, 'N' || CAST(n_nationkey AS VARCHAR) AS new, CAST(o_orderdate AS DATE) AS effective_date
+       FROM (SELECT o_orderdate, n_name, n_nationkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 450000)""")
+def _(m):
+    from pyspark.sql import functions as f
+
+    rows = (
+        m.table("orders").where(F.col("o_totalprice") > 450000)
+        .join(m.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(F.broadcast(m.table("nation")), F.col("c_nationkey") == F.col("n_nationkey")))
+    row = f.concat(f.lit("<tr class='r'><td>"), f.date_format("o_orderdate", "d MMMM"), f.lit("</td><td><b>"), f.lower("n_name"), f.lit("</b></td><td>x &amp; y</td><td>n"),
+                   f.col("n_nationkey"), f.lit("</td></tr>"))
+    month = f.date_format("o_orderdate", "yyyy-MM")
+    sections = rows.groupBy("n_nationkey", month.alias("m"), f.year("o_orderdate").alias("y")).agg(f.concat_ws("", f.collect_list(row)).alias("rows"))
+    pages = sections.select(f.concat(f.lit("<html>dc:title&#34;:&#34;"), "y", f.lit("&#34;<table id='t'>"), "rows", f.lit("</table></html>")).alias("html"))
+    return P.symbol_changes(pages)
+
+
+view("m_pagetext", "SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS body FROM pages")
+
+
+@query("udx_05_prices", """SELECT page_id, CAST(replace(rtrim(coalesce(nullif(regexp_extract(x, '(?i)trading at\\s*([0-9,.]+)', 1), ''), nullif(regexp_extract(x, '(?i)(?:fell|rose|up|down) to\\s+([0-9,.]+)', 1), '')), '.'), ',', '') AS DOUBLE) AS price
+       FROM (SELECT page_id, body || CASE page_id % 3 WHEN 0 THEN ' trading at ' || CAST(page_id + 1000 AS VARCHAR) || '.25 today' WHEN 1 THEN ' fell to 1,' || lpad(CAST(page_id % 1000 AS VARCHAR), 3, '0') || '.5.' ELSE '' END AS x FROM m_pagetext)
+       WHERE page_id % 3 < 2""")
+def _(m):
+    """Prices told in running text; the given pages get one sentence each to find."""
+    k = F.col("page_id") % 3
+    sentence = F.when(k == 0, F.concat(F.lit("<p> trading at "), F.col("page_id") + 1000, F.lit(".25 today</p>"))).when(
+        k == 1, F.concat(F.lit("<p> fell to 1,"), F.lpad((F.col("page_id") % 1000).cast("string"), 3, "0"), F.lit(".5.</p>"))).otherwise("")
+    pages = m.table("pages").select("page_id", F.concat("html", sentence).alias("html"))
+    return P.text_prices(pages, F.lit(dt.date(2024, 1, 1))).where(F.col("page_id") % 3 < 2).select("page_id", "price")
