@@ -85,7 +85,7 @@ def _(m):
 
 @query("src_08", _BARS)
 def _(m):
-    heads = m.calendar.select(F.lit("symbol,date,open,high,low,close,volume").alias("value"))
+    heads = m.calendar.select(F.concat(F.lit("symbol,date,open,high,low,close,volume"), F.when(F.col("t") < 0, "!").otherwise("")).alias("value"))
     return S.yearly_price_rows(price_lines(m).select("value").unionByName(heads))
 
 

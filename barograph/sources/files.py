@@ -54,7 +54,7 @@ def yearly_price_rows(lines: DataFrame) -> DataFrame:
 def company_rows(lines: DataFrame) -> DataFrame:
     """Listed-company list: title and blank lines have no code in the second cell."""
     c = lines.select(cells(F.col("value")).alias("c")).where(F.size("c") >= 3)
-    rows = c.select(F.col("c")[1].alias("symbol"), F.col("c")[0].alias("name"), F.col("c")[2].alias("industry"))
+    rows = c.select(F.get("c", F.lit(1)).alias("symbol"), F.get("c", F.lit(0)).alias("name"), F.get("c", F.lit(2)).alias("industry"))
     return rows.where((F.length("symbol") > 0) & (F.col("symbol") != CODE_HEADER))
 
 
@@ -66,8 +66,8 @@ def shares_from_snapshots(lines: DataFrame) -> DataFrame:
     dated = lines.withColumn("day", any_date(F.regexp_extract("file", r"(\d{4}-?\d{2}-?\d{2})", 1)))
     newest = dated.agg(F.max("day")).scalar()
     c = dated.where(F.col("day") == newest).select(cells(F.col("value")).alias("c")).where(F.size("c") >= 3)
-    return c.select(F.regexp_replace(F.col("c")[0], EXCHANGE_PREFIX, "").alias("symbol"),
-                    F.try_divide(number(F.col("c")[1]), number(F.col("c")[2])).alias("shares")).where(F.col("shares").isNotNull())
+    return c.select(F.regexp_replace(F.get("c", F.lit(0)), EXCHANGE_PREFIX, "").alias("symbol"),
+                    F.try_divide(number(F.get("c", F.lit(1))), number(F.get("c", F.lit(2)))).alias("shares")).where(F.col("shares").isNotNull())
 
 
 def short_matrix(lines: DataFrame, bad_dates: DataFrame | None = None) -> DataFrame:
@@ -78,14 +78,14 @@ def short_matrix(lines: DataFrame, bad_dates: DataFrame | None = None) -> DataFr
     Both layouts (with and without the extra descriptor lines) follow from that rule.
     """
     split = lines.select("file", cells(F.col("value")).alias("c")).where(F.size("c") >= 4)
-    is_dates = any_date(F.col("c")[2]).isNotNull()
+    is_dates = any_date(F.get("c", F.lit(2))).isNotNull()
     heads = split.where(is_dates).select("file", F.posexplode("c").alias("pos", "text")).where(
         (F.col("pos") >= 2) & (F.col("pos") % 2 == 0)).select(
         "file", (F.col("pos") + 1).alias("pos"), any_date(F.col("text")).alias("date")).where(F.col("date").isNotNull())
     if bad_dates is not None:
         heads = heads.join(bad_dates, "date", "left_anti")
-    described = F.col("c")[2].isin("Reported Short Positions", "Trade Date") | F.col("c")[1].isin("Trade Date", "Product Code") | (F.col("c")[0] == "Product")
-    body = split.where(~is_dates & ~described).select("file", F.col("c")[1].alias("symbol"), F.posexplode("c").alias("pos", "text")).where(
+    described = F.get("c", F.lit(2)).isin("Reported Short Positions", "Trade Date") | F.get("c", F.lit(1)).isin("Trade Date", "Product Code") | (F.get("c", F.lit(0)) == "Product")
+    body = split.where(~is_dates & ~described).select("file", F.get("c", F.lit(1)).alias("symbol"), F.posexplode("c").alias("pos", "text")).where(
         (F.col("pos") >= 3) & (F.col("pos") % 2 == 1) & ~F.col("text").isin(*BLANKS))
     # one header cell per file and report date
     return body.join(heads, ["file", "pos"]).select("symbol", "date", number(F.col("text")).alias("short"))
@@ -147,8 +147,8 @@ def event_rows(info: DataFrame, cutoff: Column) -> DataFrame:
     """Wide event dates to long rows (earnings, earnings call, ex-dividend) from the cutoff on."""
     kinds = F.array(
         F.struct(F.lit("earnings").alias("event_type"), F.col("earnings").alias("event_date"), F.lit(" Results").alias("suffix"), F.col("is_estimate").alias("est")),
-        F.struct(F.lit("earnings_call"), F.col("earnings_call"), F.lit(" Earnings Call"), F.col("is_estimate")),
-        F.struct(F.lit("ex_dividend"), F.col("ex_dividend"), F.lit(" Ex-Dividend"), F.lit(False)))
+        F.struct(F.lit("earnings_call").alias("event_type"), F.col("earnings_call").alias("event_date"), F.lit(" Earnings Call").alias("suffix"), F.col("is_estimate").alias("est")),
+        F.struct(F.lit("ex_dividend").alias("event_type"), F.col("ex_dividend").alias("event_date"), F.lit(" Ex-Dividend").alias("suffix"), F.lit(False).alias("est")))
     rows = info.select("symbol", F.inline(kinds))
     return rows.where(F.col("event_date") >= cutoff).select(
         "symbol", "event_date", "event_type", F.concat("symbol", "suffix").alias("title"), F.col("est").alias("is_estimate"))

@@ -45,16 +45,18 @@ def symbol_changes(pages: DataFrame) -> DataFrame:
     sections = pages.select(F.explode(F.slice(F.split("html", r"dc:title&#34;:&#34;(?=\d{4}&#34;)"), 2, 1_000_000)).alias("s"))
     tables = sections.select(F.substring("s", 1, 4).alias("year"), F.regexp_extract("s", r"(?s)(<table\b.*?</table>)", 1).alias("html"))
     rows = table_rows(tables.where(F.length("html") > 0)).where(F.size("cells") >= 4)
-    date = F.coalesce(any_date(F.col("cells")[0]), any_date(F.concat_ws(" ", F.col("cells")[0], "year")))
-    changes = rows.select(F.upper(F.col("cells")[1]).alias("old"), F.upper(F.col("cells")[3]).alias("new"), date.alias("effective_date"))
+    date = F.coalesce(any_date(F.get("cells", F.lit(0))), any_date(F.concat_ws(" ", F.get("cells", F.lit(0)), "year")))
+    changes = rows.select(F.upper(F.get("cells", F.lit(1))).alias("old"), F.upper(F.get("cells", F.lit(3))).alias("new"), date.alias("effective_date"))
     return changes.where((F.length("old") > 0) & (F.length("new") > 0) & (F.col("old") != F.col("new")) & F.col("effective_date").isNotNull())
 
 
 def option_rows(pages: DataFrame) -> DataFrame:
     rows = table_rows(pages).where(F.size("cells") >= 5)
-    c = F.col("cells")
-    out = rows.select(c[0].alias("option_symbol"), c[1].alias("expiry"), c[2].try_cast("double").alias("exercise"), c[3].alias("share_symbol"),
-                      c[4].alias("share_name"), F.nullif(F.try_element_at("cells", F.lit(6)), F.lit("")).alias("note"))
+    def c(k):
+        return F.get("cells", F.lit(k))
+
+    out = rows.select(c(0).alias("option_symbol"), c(1).alias("expiry"), c(2).try_cast("double").alias("exercise"), c(3).alias("share_symbol"),
+                      c(4).alias("share_name"), F.nullif(F.try_element_at("cells", F.lit(6)), F.lit("")).alias("note"))
     return out.where((F.length("option_symbol") > 0) & (F.length("expiry") > 0) & (F.length("share_symbol") > 0) & F.col("exercise").isNotNull())
 
 
