@@ -20,8 +20,8 @@ LATENESS = "2 days"
 
 def _by_window(ticks: DataFrame, window: Column, *aggregates: Column) -> DataFrame:
     marked = ticks.withWatermark("ts", LATENESS) if ticks.isStreaming else ticks
-    return marked.groupBy(window.alias("w"), "key").agg(*aggregates).select(
-        "key", F.col("w.start").alias("start"), "*").drop("w")
+    return marked.groupBy(window.alias("w"), "key").agg(*aggregates).withColumn(
+        "start", F.col("w.start")).drop("w")
 
 
 def bars(ticks: DataFrame) -> DataFrame:
