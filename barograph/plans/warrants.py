@@ -16,6 +16,7 @@ from barograph.functions.stats import correlation_t, with_t_tail
 from barograph.operators import rolling as R
 from barograph.operators.ledger import non_overlapping
 from barograph.operators.ranking import with_average_rank
+from barograph.session import cut_lineage
 
 # Signal names in report order.
 SIGNALS = ("premium_compression", "underlying_momentum", "delta_drift", "implied_vol")
@@ -150,7 +151,8 @@ def pooled_ic(scored: DataFrame, cut, horizons=(3, 5, 10), least: int = 20) -> D
     by_signal = unpivot_signals(wide, *[f"fwd_{h}" for h in horizons]).where(F.col("score").isNotNull())
     long = by_signal.unpivot([_BY, "date", "signal", "score"], [f"fwd_{h}" for h in horizons], "horizon", "fwd").where(
         F.col("fwd").isNotNull())
-    long = long.withColumns({"score": F.round("score", 8), "fwd": F.round("fwd", 8)})
+    # Ranking reads these rows several times; the rolling features behind them are not cheap.
+    long = cut_lineage(long.withColumns({"score": F.round("score", 8), "fwd": F.round("fwd", 8)}))
     keys = ["signal", "horizon"]
     ranked = with_average_rank(with_average_rank(long, "score", keys, "rank_score"), "fwd", keys, "rank_fwd")
     stats_ = ranked.groupBy(*keys).agg(
