@@ -124,25 +124,19 @@ def _(m):
 
 
 @query("joi_13", """
-    SELECT a.symbol AS leader, b.symbol AS follower, k AS lag_days, count(*) AS n, round(sum(a.returns * b.returns), 6) AS sxy
+    SELECT a.symbol AS leader, b.symbol AS follower, CAST(k AS INTEGER) AS lag_days, round(sum(a.returns * b.returns), 6) AS sxy
     FROM m_feat a JOIN m_symbols sa ON sa.symbol = a.symbol
     JOIN m_symbols sb ON sb.industry = sa.industry JOIN range(1, 4) r(k) ON TRUE
     JOIN m_feat b ON b.symbol = sb.symbol AND b.t = a.t + k
     WHERE a.returns IS NOT NULL AND b.returns IS NOT NULL GROUP BY 1, 2, 3""")
 def _(m):
-    """Co-moments of every pair of one industry at lags 1..3.
-
-    The pair is formed by an equi-join on (industry, slot): a leader row is keyed by the
-    follower's slot, the three lags being generated from the row.
-    """
-    rows = R.with_step_features(m.panel).where(F.col("returns").isNotNull()).join(
-        F.broadcast(m.symbols.select("symbol", "industry")), "symbol").select("industry", "symbol", "t", "returns")
-    lead = rows.select("industry", F.col("symbol").alias("leader"), F.col("returns").alias("x"), "t",
-                       F.explode(F.sequence(F.lit(1), F.lit(3))).alias("lag_days")).withColumn(
-        "t", F.col("t") + F.col("lag_days"))
-    follow = rows.select("industry", F.col("symbol").alias("follower"), F.col("returns").alias("y"), "t")
-    return lead.join(follow, ["industry", "t"]).groupBy("leader", "follower", F.col("lag_days").cast("long").alias("lag_days")).agg(
-        F.count(F.lit(1)).alias("n"), r6(F.sum(F.col("x") * F.col("y")), "sxy"))
+    """Series i at t against series j at t + 1..3 inside each industry. The logical self-join
+    is summed by blocks, so no pair of rows is ever formed."""
+    from barograph.plans.leadlag import lagged_moments
+
+    rows = R.with_step_features(m.panel).join(F.broadcast(m.symbols.select("symbol", "industry")), "symbol").select(
+        "industry", "symbol", "t", m.calendar.agg(F.count(F.lit(1))).scalar().alias("slots"), F.col("returns").alias("x"))
+    return lagged_moments(rows, ["industry"], 3).select("leader", "follower", "lag_days", r6("sxy", "sxy"))
 
 
 @query("joi_14", """SELECT o.option_symbol, o.share_symbol, o.fetched_at, e.date AS event_date, e.ratio

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barograph.catalog.base import query, view
@@ -185,11 +186,9 @@ def _(m):
 
 
 @query("joi_18", """SELECT t.industry, t.leader, t.follower, t.lag_days, round(t.r, 6) AS r FROM m_ccft t
-       WHERE (leader, follower) IN (SELECT (a.symbol, b.symbol) FROM m_llmem a JOIN m_llmem b ON a.industry = b.industry AND a.symbol < b.symbol)""")
+       WHERE (leader, follower) IN (SELECT (symbol, nxt) FROM (SELECT symbol, lead(symbol) OVER (PARTITION BY industry ORDER BY symbol) AS nxt FROM m_llmem) WHERE nxt IS NOT NULL)""")
 def _(m):
-    """Whitelist: one direction of every industry pair."""
-    one = members(m)
-    allowed = one.select("industry", F.col("symbol").alias("leader")).join(
-        one.select("industry", F.col("symbol").alias("follower")), "industry").where(F.col("leader") < F.col("follower"))
-    return L.ccf(returns(m, "train"), ["industry"]).join(
-        allowed.select("leader", "follower"), ["leader", "follower"], "left_semi").select(*KEYS, r6("r", "r"))
+    """Whitelist: each symbol with the next one of its industry."""
+    following = F.lead("symbol").over(Window.partitionBy("industry").orderBy("symbol"))
+    allowed = members(m).select(F.col("symbol").alias("leader"), following.alias("follower")).where(F.col("follower").isNotNull())
+    return L.ccf(returns(m, "train"), ["industry"]).join(allowed, ["leader", "follower"], "left_semi").select(*KEYS, r6("r", "r"))

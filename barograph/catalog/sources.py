@@ -68,17 +68,15 @@ def _(m):
     year = F.year("date").cast("string")
     scaled = F.round(F.col("short") * 100, 2)
     cell = F.when(F.weekday("date") >= 5, "").when(scaled == 0, "-").otherwise(F.concat(F.lit('"'), F.format_number(scaled, 2), F.lit('"')))
-    days = m.shorts.select("date").distinct().select(year.alias("file"), "date")
+    days = m.shorts.select("date").distinct().groupBy(F.year("date").cast("string").alias("file")).agg(F.sort_array(F.collect_list("date")).alias("d"))
     # one matrix line per file and symbol: at most one cell pair per report day of the year
-    filled = days.join(m.shorts.select(year.alias("file"), "symbol").distinct(), "file").join(
-        m.shorts.select("symbol", "date", cell.alias("cell")), ["symbol", "date"], "left")
-    body = filled.groupBy("file", "symbol").agg(F.sort_array(F.collect_list(F.struct("date", F.coalesce("cell", F.lit("")).alias("cell")))).alias("v")).select(
-        "file", F.concat(F.lit('"Name, of '), "symbol", F.lit('",'), "symbol", F.lit(",ORDINARY"),
-                         F.concat_ws("", F.transform("v", lambda x: F.concat(F.lit(","), x["cell"], F.lit(",1"))))).alias("value"))
-    head = days.groupBy("file").agg(F.sort_array(F.collect_list("date")).alias("d")).select(
-        "file", F.explode(F.array(
-            F.lit(",,Trade Date,,"), F.concat(F.lit(",,"), F.array_join(F.transform("d", lambda x: F.date_format(x, "yyyy-MM-dd")), ",,"), F.lit(",,")),
-            F.lit(",,Reported Short Positions,% held,"), F.lit("Product,Product Code,Reported Short Positions,%"))).alias("value"))
+    own = m.shorts.groupBy(year.alias("file"), "symbol").agg(F.map_from_entries(F.collect_list(F.struct("date", cell.alias("cell")))).alias("v"))
+    pairs = F.transform("d", lambda x: F.concat(F.lit(","), F.coalesce(F.element_at("v", x), F.lit("")), F.lit(",1")))
+    body = own.join(days, "file").select("file", F.concat(
+        F.lit('"Name, of '), "symbol", F.lit('",'), "symbol", F.lit(",ORDINARY"), F.concat_ws("", pairs)).alias("value"))
+    head = days.select("file", F.explode(F.array(
+        F.lit(",,Trade Date,,"), F.concat(F.lit(",,"), F.array_join(F.transform("d", lambda x: F.date_format(x, "yyyy-MM-dd")), ",,"), F.lit(",,")),
+        F.lit(",,Reported Short Positions,% held,"), F.lit("Product,Product Code,Reported Short Positions,%"))).alias("value"))
     bad = m.spark.range(1).select(F.to_date(F.lit("1998-03-03")).alias("date"))
     return S.short_matrix(head.unionByName(body), bad)
 

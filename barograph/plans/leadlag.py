@@ -85,8 +85,8 @@ def _block_moments(max_lag: int, chunk: int, keys: list[str]):
     return kernel
 
 
-def ccf(returns: DataFrame, by: list[str], max_lag: int = MAX_LAG, block: int = 64, chunk: int = 1024) -> DataFrame:
-    """r[leader, follower, lag] = Pearson(x_leader[t], x_follower[t + lag]), missing as zero.
+def lagged_moments(returns: DataFrame, by: list[str], max_lag: int = MAX_LAG, block: int = 64, chunk: int = 1024) -> DataFrame:
+    """Moments of x_leader[t] and x_follower[t + lag] of every ordered pair, missing as zero.
 
     Pairs of *rows* are never formed. Symbols fall into blocks of about ``block`` names and
     slots into chunks; one task multiplies one (leader block, follower block, chunk), whose
@@ -107,8 +107,13 @@ def ccf(returns: DataFrame, by: list[str], max_lag: int = MAX_LAG, block: int =
               + ", ".join(f"{k} {types[k]}" for k in by) + ", slots long")
     parts = lead.unionByName(follow).groupBy(*by, "_chunk", "_bl", "_bf").applyInPandas(
         _block_moments(max_lag, chunk, by), schema)
-    sums = parts.groupBy(*by, "leader", "follower", "lag_days").agg(
+    return parts.groupBy(*by, "leader", "follower", "lag_days").agg(
         F.first("slots").alias("slots"), *[F.sum(c).alias(c) for c in ("sxy", "sx", "sxx", "sy", "syy")])
+
+
+def ccf(returns: DataFrame, by: list[str], max_lag: int = MAX_LAG, block: int = 64, chunk: int = 1024) -> DataFrame:
+    """r[leader, follower, lag] = Pearson(x_leader[t], x_follower[t + lag]), missing as zero."""
+    sums = lagged_moments(returns, by, max_lag, block, chunk)
     n = F.col("slots") - F.col("lag_days")
     r = pearson_from_sums(n, *[F.col(c) for c in ("sx", "sy", "sxx", "syy", "sxy")])
     return sums.select(*by, "leader", "follower", "lag_days", n.alias("n"), F.when(n >= MIN_OVERLAP, r).otherwise(0.0).alias("r"))
