@@ -42,9 +42,7 @@ class _Tokens:
         context[last - self.n + 1] = START
         self.doc = np.repeat(np.arange(docs), self.n)
         self.held = held_out_ids(group["doc_id"], folds, fold)
-        ctx_key = np.where(context == START, END, context)  # documents begun = documents ended
         uni, self.uni_at = np.unique(mix(token * MULT[1] + np.uint64(1)), return_inverse=True)
-        ctx_of = mix(ctx_key * MULT[1] + np.uint64(1))
         bi, first, self.bi_at = np.unique(mix(context * MULT[2] + token * MULT[3]), return_index=True,
                                           return_inverse=True)
         keys = np.concatenate([uni, bi])
@@ -54,7 +52,10 @@ class _Tokens:
         place[self.order] = np.arange(len(keys))
         self.uni_place, self.bi_place = place[:len(uni)], place[len(uni):]
         self.bi_uni = self.uni_at[first]
-        self.bi_ctx = np.searchsorted(uni, ctx_of[first])  # every context also ends a token in its own document
+        # a context's count is its token's; a document's start counts as often as its end
+        before = np.concatenate([[0], self.uni_at[:-1]])
+        before[last - self.n + 1] = self.uni_at[last[0]] if docs else 0
+        self.bi_ctx = before[first]
         self.learn = ~self.held[self.doc]
         self.uni_count = np.bincount(self.uni_at, self.learn, len(uni)).astype(np.int64)
         self.bi_count = np.bincount(self.bi_at, self.learn, len(bi)).astype(np.int64)
