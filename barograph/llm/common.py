@@ -208,7 +208,21 @@ def packed(chunk: int, keys: np.ndarray, buckets: int, values: np.ndarray | None
     return pd.DataFrame({
         "chunk": np.full(len(some), chunk, np.int64), "bucket": np.array(some, np.int32),
         "keys": [keys[cuts[b]:cuts[b + 1]].tobytes() for b in some],
-        "vals": [b"" if values is None else values[cuts[b]:cuts[b + 1]].tobytes() for b in some]})
+        "vals": [b"" if values is None else squeeze(values[cuts[b]:cuts[b + 1]]) for b in some]})
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Non-negative integers as one byte each, with the few of 255 or more behind them."""
+    large = values[values >= 255].astype(np.int64)
+    return np.int64(len(large)).tobytes() + large.tobytes() + np.minimum(values, 255).astype(np.uint8).tobytes()
+
+
+def unsqueeze(blob: bytes) -> np.ndarray:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    out = np.frombuffer(blob, np.uint8, offset=8 + 8 * n).astype(np.int64)
+    if n:
+        out[out == 255] = np.frombuffer(blob, np.int64, n, 8)
+    return out
 
 
 PACKED = "chunk long, bucket int, keys binary, vals binary"
@@ -230,7 +244,7 @@ def ask(chunks: DataFrame, emit: Callable[[int, pd.DataFrame], pd.DataFrame],
         out = answer(index, list(group["vals"]), sizes)
         parts = np.split(out, np.cumsum(sizes)[:-1])
         return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "bucket": group["bucket"].to_numpy(),
-                             "answer": [p.tobytes() for p in parts]})
+                             "answer": [squeeze(p) for p in parts]})
 
     if given is None:
         sent = chunks.groupBy("chunk").applyInPandas(lambda k, g: emit(k[0], g.sort_values("row")), PACKED)
@@ -240,15 +254,15 @@ def ask(chunks: DataFrame, emit: Callable[[int, pd.DataFrame], pd.DataFrame],
     return keep(sent.groupBy("bucket").applyInPandas(reduce, "chunk long, bucket int, answer binary"))
 
 
-def told(answers: pd.DataFrame, dtype: type) -> np.ndarray:
+def told(answers: pd.DataFrame) -> np.ndarray:
     """Answers of one chunk in the order of its sorted keys."""
-    return np.frombuffer(b"".join(answers.sort_values("bucket")["answer"]), dtype)
+    return np.concatenate([np.zeros(0, np.int64), *map(unsqueeze, answers.sort_values("bucket")["answer"])])
 
 
 def repeated(index: np.ndarray, vals: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """1 where a key occurs in several chunks or, by its value, several times in its own."""
-    own = np.concatenate([np.frombuffer(v, np.uint8) for v in vals])
-    return (np.bincount(index, own)[index] > 1).astype(np.uint8)
+    own = np.concatenate(list(map(unsqueeze, vals)))
+    return (np.bincount(index, own)[index] > 1).astype(np.int64)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barograph.llm.common import MULT, Words, as_bytes, ask, buckets_for, chunked, mix, packed, told
+from barograph.llm.common import MULT, Words, as_bytes, ask, buckets_for, chunked, mix, packed, told, unsqueeze
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 BUCKETS, CELLS = 48, 256  # context buckets; quantised levels of a ratio or count
@@ -63,7 +63,7 @@ class _Tokens:
 
 def _total(index: np.ndarray, vals: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """Twice the learning count of each key, plus 1 in the first chunk that holds the key."""
-    own = np.concatenate([np.frombuffer(v, np.int64) for v in vals])
+    own = np.concatenate(list(map(unsqueeze, vals)))
     count = np.zeros(index.max() + 1, np.int64)
     np.add.at(count, index, own)
     out = count[index] * 2
@@ -121,7 +121,7 @@ def score(docs: DataFrame, folds: int = 10, fold: int = 0) -> DataFrame:
 
     def tally(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         t = _Tokens(group.sort_values("row"), folds, fold)
-        got = told(answers, np.int64)
+        got = told(answers)
         count, first = got >> 1, got & 1
         c_uni, c_bi = count[t.uni_place], count[t.bi_place]
         some = t.bi_count > 0
@@ -143,7 +143,7 @@ def score(docs: DataFrame, folds: int = 10, fold: int = 0) -> DataFrame:
     def finish(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("row")
         t = _Tokens(group, folds, fold)
-        count = told(answers, np.int64) >> 1
+        count = told(answers) >> 1
         c_uni, c_bi = count[t.uni_place], count[t.bi_place]
         ctx = c_uni[t.bi_ctx]
         w = weights[_magnitude(ctx)]
