@@ -162,13 +162,21 @@ def as_bytes(texts: pd.Series) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(chunk, row, doc_id, text), bucketed by chunk, and the number of chunks.
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, rest: bool = False) -> tuple[DataFrame, int]:
+    """(chunk, row, doc_id, text[, rest]), bucketed by chunk, and the number of chunks.
 
     A chunk holds consecutive rows of one input partition up to ``chunk_bytes`` (one row at
     least). Bucketing lets every later pass group by chunk without moving text again.
+    ``rest`` carries all other columns as one JSON string.
     """
     spark = docs.sparkSession
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    schema = "chunk long, row long, doc_id long, text string"
+    if rest:
+        others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+        columns.append((F.to_json(F.struct(*others)) if others else F.lit("{}")).alias("rest"))
+        schema += ", rest string"
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunk, held, row = TaskContext.get().partitionId() << 32, 0, 0
@@ -180,13 +188,12 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
                     chunk, held, row = chunk + 1, 0, 0
                 ids[k], rows[k] = chunk, row
                 held, row = held + size + 64, row + 1
-            yield batch.assign(chunk=ids, row=rows)[["chunk", "row", "doc_id", "text"]]
+            yield batch.assign(chunk=ids, row=rows)[names]
 
     name = f"llm_{uuid.uuid4().hex}"
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    picked = docs.select(*columns)
     partitions = max(8, picked.rdd.getNumPartitions() * 2)
-    spread = picked.mapInPandas(cut, "chunk long, row long, doc_id long, text string")
-    spread.write.option("path", f"{folder(spark)}/{name}").option("compression", "zstd").bucketBy(
+    picked.mapInPandas(cut, schema).write.option("path", f"{folder(spark)}/{name}").option("compression", "zstd").bucketBy(
         min(partitions, 4096), "chunk").saveAsTable(name)
     laid = spark.table(name)
     return laid, laid.agg(F.count_distinct("chunk")).first()[0]
@@ -197,18 +204,26 @@ def buckets_for(chunks: int, share: float = 1.0) -> int:
     return max(8, int(chunks * CHUNK_BYTES * share / KEYS_PER_BUCKET) + 1)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+def spread(buckets: int) -> np.ndarray:
+    """Lower bounds of equal key ranges, one per bucket."""
+    return (np.arange(buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
 
 
-def packed(chunk: int, keys: np.ndarray, buckets: int, values: np.ndarray | None = None) -> pd.DataFrame:
-    """One row per bucket for sorted distinct ``keys``; high bits give the bucket, so order holds."""
-    cuts = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-    some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    return pd.DataFrame({
-        "chunk": np.full(len(some), chunk, np.int64), "bucket": np.array(some, np.int32),
-        "keys": [keys[cuts[b]:cuts[b + 1]].tobytes() for b in some],
-        "vals": [b"" if values is None else squeeze(values[cuts[b]:cuts[b + 1]]) for b in some]})
+def packed(chunk: int, keys: np.ndarray, bounds: np.ndarray,
+           values: Callable[[slice], bytes] = lambda part: b"") -> pd.DataFrame:
+    """One row per key range for sorted distinct ``keys``; ``values`` gives a range's blob."""
+    cuts = np.append(np.searchsorted(keys, bounds), len(keys))
+    some = [b for b in range(len(bounds)) if cuts[b] < cuts[b + 1]]
+    parts = [slice(cuts[b], cuts[b + 1]) for b in some]
+    return pd.DataFrame({"chunk": np.full(len(some), chunk, np.int64), "bucket": np.array(some, np.int32),
+                         "keys": [keys[p].tobytes() for p in parts], "vals": [values(p) for p in parts]})
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs."""
+    keys = np.sort(keys)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
+    return keys[starts], np.diff(np.append(starts, len(keys)))
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -254,11 +269,22 @@ def ask(chunks: DataFrame, emit: Callable[[int, pd.DataFrame], pd.DataFrame],
     return keep(sent.groupBy("bucket").applyInPandas(reduce, "chunk long, bucket int, answer binary"))
 
 
-def told(answers: pd.DataFrame) -> np.ndarray:
-    """Answers of one chunk in the order of its sorted keys."""
+def told(answers: pd.DataFrame, turn: int | None = None) -> np.ndarray:
+    """Answers of one chunk (in one ``turn``) in the order of its sorted keys."""
+    if turn is not None:
+        answers = answers[answers["turn"] == turn]
     return np.concatenate([np.zeros(0, np.int64), *map(unsqueeze, answers.sort_values("bucket")["answer"])])
 
 
+def turns(*answers: DataFrame) -> DataFrame:
+    """Answers of several rounds as one table, told apart by ``turn``."""
+    out = None
+    for k, one in enumerate(answers):
+        one = one.withColumn("turn", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def repeated(index: np.ndarray, vals: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """1 where a key occurs in several chunks or, by its value, several times in its own."""
     own = np.concatenate(list(map(unsqueeze, vals)))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barograph.llm.common import MULT, Words, as_bytes, ask, buckets_for, chunked, mix, packed, told, unsqueeze
+from barograph.llm.common import MULT, Words, as_bytes, ask, buckets_for, chunked, mix, packed, spread, squeeze, told, unsqueeze
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 BUCKETS, CELLS = 48, 256  # context buckets; quantised levels of a ratio or count
@@ -110,11 +110,12 @@ def score(docs: DataFrame, folds: int = 10, fold: int = 0) -> DataFrame:
     empty table gives an empty result. A chunk of a few MB of text is in memory at a time.
     """
     chunks, n_chunks = chunked(docs)
-    buckets = buckets_for(n_chunks, 0.12)
+    bounds = spread(buckets_for(n_chunks, 0.12))
 
     def emit(chunk: int, group: pd.DataFrame) -> pd.DataFrame:
         t = _Tokens(group, folds, fold)
-        return packed(chunk, t.keys, buckets, np.concatenate([t.uni_count, t.bi_count])[t.order])
+        counts = np.concatenate([t.uni_count, t.bi_count])[t.order]
+        return packed(chunk, t.keys, bounds, lambda part: squeeze(counts[part]))
 
     counts = ask(chunks, emit, _total)
     paired = chunks.groupBy("chunk").cogroup(counts.groupBy("chunk"))

@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barograph.llm import lm
+from barograph.llm import lm, substrings
 from barograph.llm.common import table
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated_passages(table(spark, sf_dir, "documents")).drop("kept", "rest")
+
+
 def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_deleted_interpolation,)}
+    return {f.__name__: f for f in (op5_suffix_array, op8_suffix_tree, op9_deleted_interpolation,)}
 
 
 def oracle_sql() -> dict[str, str]:
