@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barograph.llm import lm, substrings
+from barograph.llm import lm, packing, sharding, substrings
 from barograph.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated_passages(table(spark, sf_dir, "documents")).drop("kept", "rest")
 
@@ -22,8 +26,13 @@ def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op10_column_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_suffix_array, op8_suffix_tree, op9_deleted_interpolation,)}
+    return {f.__name__: f for f in (op5_suffix_array, op6_sampled_splitters, op8_suffix_tree, op9_deleted_interpolation,
+                                     op10_column_generation)}
 
 
 def oracle_sql() -> dict[str, str]:
