@@ -38,6 +38,29 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, target: str, rows: int, folds: int, fold: int) -> DataFrame:
+    """doc_id, text, label of at most about ``rows`` labelled rows outside the held-out fold.
+
+    Rows are drawn by a hash of the id. The drawn ids (their number is bounded by ``rows``)
+    are broadcast, so no text is shuffled. An id labelled twice takes its mean, rounded.
+    """
+    known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy(
+        F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(target) >= 0.5).cast("int").alias("label"))
+    known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != fold)
+    share = min(1.0, rows / max(known.count(), 1))
+    drawn = known.where(F.xxhash64("doc_id", F.lit(target)) / F.lit(2.0**64) + 0.5 < share)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
+        F.broadcast(drawn), "doc_id")
+
+
+def slices(batch: pd.DataFrame, most: int = CHUNK_BYTES) -> Iterator[pd.DataFrame]:
+    """Consecutive parts of a batch of about ``most`` characters of text each."""
+    size = np.cumsum([len(t) + 64 if isinstance(t, str) else 64 for t in batch["text"]])
+    if len(size):
+        for _, part in batch.groupby(size // most, sort=True):
+            yield part
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,6 +74,7 @@ LOWER_BYTE[65:91] = BYTE[97:123]
 MULT = _RNG.integers(1, 2**63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+NOT_ALNUM = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
@@ -94,13 +118,16 @@ class Rolling:
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of many texts: fingerprints, document index, byte spans."""
+    """Words of many texts: fingerprints, document index, byte spans.
+
+    By default words are ``[^\\x20\\x09-\\x0D]+``; ``gaps`` names other separating bytes.
+    """
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, gaps: np.ndarray = SPACE):
         buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.offset = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1] if len(texts) else np.zeros(0, np.int64)
-        gap = SPACE[buf]
+        gap = gaps[buf]
         edge = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))
         self.start, self.end = edge[0::2], edge[1::2]
         self.hash = Rolling(buf, lower).of(self.start, self.end)

@@ -55,7 +55,11 @@ def _encoder(path: str):
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Each document's ids and end id cut into pieces of ``capacity`` and one shorter rest."""
+    """Each document's ids and end id cut into pieces of ``capacity``, then at most one of half, then the rest.
+
+    Cutting a long rest at half capacity leaves the histogram short lengths to mix, so that
+    patterns fill sequences almost completely.
+    """
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
@@ -67,8 +71,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                 ids = (encode(text) if isinstance(text, str) else b"") + END
                 n = len(ids) // 4
                 doc = None if pd.isna(doc) else int(doc)
-                out += [(doc, s, min(capacity, n - s), zlib.crc32(ids[4 * s:4 * (s + capacity)]), n)
-                        for s in range(0, n, capacity)]
+                cuts = list(range(0, n, capacity))
+                if capacity // 2 < n - cuts[-1] < capacity:
+                    cuts.append(cuts[-1] + capacity // 2)
+                out += [(doc, s, e - s, zlib.crc32(ids[4 * s:4 * e]), n)
+                        for s, e in zip(cuts, [*cuts[1:], n], strict=True)]
             made = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             yield made.assign(doc_id=made["doc_id"].astype("Int64"))
 

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barograph.llm import lm, packing, sharding, substrings
+from barograph.llm import lm, packing, quality, sharding, substrings, toxicity
 from barograph.llm.common import table
 
 
+def op2_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.chain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -31,7 +39,7 @@ def op10_column_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_suffix_array, op6_sampled_splitters, op8_suffix_tree, op9_deleted_interpolation,
+    return {f.__name__: f for f in (op2_boosted_trees, op4_classifier_chain, op5_suffix_array, op6_sampled_splitters, op8_suffix_tree, op9_deleted_interpolation,
                                      op10_column_generation)}
 
 
