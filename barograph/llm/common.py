@@ -130,11 +130,16 @@ class Words:
         gap = gaps[buf]
         edge = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))
         self.start, self.end = edge[0::2], edge[1::2]
-        self.hash = Rolling(buf, lower).of(self.start, self.end)
+        self.roll = Rolling(buf, lower)
+        self.hash = self.roll.of(self.start, self.end)
         self.first = np.searchsorted(self.start, self.offset)  # index of each document's first word
         self.count = np.diff(np.append(self.first, len(self.start)))
         self.doc = np.repeat(np.arange(len(texts)), self.count)
 
+    def beginning(self, which: np.ndarray, size: int) -> np.ndarray:
+        """Fingerprints of the first ``size`` bytes of some words."""
+        return self.roll.of(self.start[which], self.start[which] + size) ^ np.uint64(size)
+
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """Fingerprint of ``size`` consecutive word fingerprints at each start."""

@@ -24,13 +24,25 @@ CATEGORIES = {
 }
 
 
+PREFIXES = (4, 5, 6)  # bytes of a word's beginning that count as features of their own, for inflected forms
+
+
 def _held(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, word fingerprint) of every distinct pair; words are lower-cased runs of letters and digits."""
+    """(document, fingerprint) of every distinct word or word beginning of each text.
+
+    Words are lower-cased runs of letters and digits; beginnings have ``PREFIXES`` bytes.
+    """
     words = Words(texts, lower=True, gaps=NOT_ALNUM)
-    order = np.lexsort((words.hash, words.doc))
-    doc, word = words.doc[order], words.hash[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])])[:len(doc)]
-    return doc[new], word[new]
+    docs, names = [words.doc], [words.hash]
+    for size in PREFIXES:
+        some = np.flatnonzero(words.end - words.start > size)
+        docs.append(words.doc[some])
+        names.append(words.beginning(some, size))
+    doc, name = np.concatenate(docs), np.concatenate(names)
+    order = np.lexsort((name, doc))
+    doc, name = doc[order], name[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (name[1:] != name[:-1])])[:len(doc)]
+    return doc[new], name[new]
 
 
 def logistic(row: np.ndarray, col: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, ridge: float = 1e-4,
@@ -114,8 +126,19 @@ def chain(docs: DataFrame, labels: DataFrame, rows: int = 20_000, telling: int =
         reduce, "doc_id long, label int, words array<long>"))
     size = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     positive, negative = size[1], size[0] - size[1]
-    word = sample.select(F.explode("words").alias("word"), "label").groupBy("word").agg(
-        F.sum("label").alias("t"), F.count("*").alias("n"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                part = batch.iloc[at:at + 2000]
+                flat = np.concatenate(list(part["words"])) if len(part) else np.zeros(0, np.int64)
+                names, where = np.unique(flat, return_inverse=True)
+                of = np.repeat(part["label"].to_numpy(np.int64), [len(w) for w in part["words"]])
+                yield pd.DataFrame({"word": names, "t": np.bincount(where, of, len(names)).astype(np.int64),
+                                    "n": np.bincount(where, minlength=len(names)).astype(np.int64)})
+
+    word = sample.mapInPandas(count, "word long, t long, n long").groupBy("word").agg(
+        F.sum("t").alias("t"), F.sum("n").alias("n"))
     share = F.col("n") / max(size[0], 1)
     apart = F.abs(F.col("t") / max(positive, 1) - (F.col("n") - F.col("t")) / max(negative, 1))
     z = apart / F.sqrt(share * (1 - share) + F.lit(0.5 / max(size[0], 1)))
