@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barograph.llm import lm, packing, quality, sharding, substrings, toxicity
+from barograph.llm import decontamination, lm, neighbours, packing, quality, sharding, substrings, toxicity
 from barograph.llm.common import table
 
 
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +30,10 @@ def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op7_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated_passages(table(spark, sf_dir, "documents")).drop("kept", "rest")
 
@@ -39,7 +47,7 @@ def op10_column_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_boosted_trees, op4_classifier_chain, op5_suffix_array, op6_sampled_splitters, op8_suffix_tree, op9_deleted_interpolation,
+    return {f.__name__: f for f in (op1_spaced_seeds, op2_boosted_trees, op4_classifier_chain, op5_suffix_array, op6_sampled_splitters, op7_posting_lists, op8_suffix_tree, op9_deleted_interpolation,
                                      op10_column_generation)}
 
 
