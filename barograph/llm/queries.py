@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barograph.llm import decontamination, lm, neighbours, packing, quality, sharding, substrings, toxicity
+from barograph.llm import decontamination, jaccard, lm, neighbours, packing, quality, sharding, substrings, toxicity
 from barograph.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pivot_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op4_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.chain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op10_column_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spaced_seeds, op2_boosted_trees, op4_classifier_chain, op5_suffix_array, op6_sampled_splitters, op7_posting_lists, op8_suffix_tree, op9_deleted_interpolation,
+    return {f.__name__: f for f in (op1_spaced_seeds, op2_boosted_trees, op3_pivot_regions, op4_classifier_chain, op5_suffix_array, op6_sampled_splitters, op7_posting_lists, op8_suffix_tree, op9_deleted_interpolation,
                                      op10_column_generation)}
 
 
