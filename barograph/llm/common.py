@@ -53,6 +53,19 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, rows: int, folds:
         F.broadcast(drawn), "doc_id")
 
 
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids``; null ids stay, as do all columns.
+
+    Up to BROADCAST_IDS ids are broadcast, so that texts stay where they are; more are joined by shuffle.
+    """
+    gone = keep(ids.select(F.col("doc_id").cast("long").alias("_gone")).where(F.col("_gone").isNotNull()).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def slices(batch: pd.DataFrame, most: int = CHUNK_BYTES) -> Iterator[pd.DataFrame]:
     """Consecutive parts of a batch of about ``most`` characters of text each."""
     size = np.cumsum([len(t) + 64 if isinstance(t, str) else 64 for t in batch["text"]])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barograph.llm.common import without
+
 # Fixed masks: offsets of the words that count; the words between them may differ.
 MASKS = ((0, 1, 3, 5, 8, 9), (0, 2, 3, 6, 7, 11), (0, 1, 2, 5, 6, 10))
 WINDOW, SHARE = 13, 0.8
@@ -70,4 +72,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` without any overlap; rows with a null id stay."""
-    return docs.join(overlaps(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, overlaps(docs, benchmark))

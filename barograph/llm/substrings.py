@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barograph.llm.common import (KEYS_PER_BUCKET, Rolling, Words, as_bytes, ask, buckets_for, chunked, distinct,
                                   keep, long_shingles, packed, repeated, spread, squeeze, told, turns, window_minima)
@@ -266,6 +267,23 @@ def remove_repeated_passages(docs: DataFrame, length: int = 20, size: int = KEYS
         finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, rest string")
 
 
+def cut_passages(docs: DataFrame, length: int = 20) -> DataFrame:
+    """``docs`` with repeated passages removed from the texts; a text that loses nothing stays byte for byte.
+
+    A text that loses words is its remaining words joined by single spaces; ``n_chars``
+    follows where there is such a column. No row is dropped.
+    """
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    made = remove_repeated_passages(docs, length)
+    out = made.withColumn("o", F.from_json("rest", StructType(others)))
+    length_of = F.length("kept").cast("long")
+    return out.select(*[
+        F.col("doc_id").cast(f.dataType).alias(f.name) if f.name == "doc_id" else
+        F.col("kept").cast(f.dataType).alias(f.name) if f.name == "text" else
+        F.when(F.col("n_removed") > 0, length_of.cast(f.dataType)).otherwise(F.col("o")[f.name]).alias(f.name)
+        if f.name == "n_chars" else F.col("o")[f.name].alias(f.name) for f in docs.schema.fields])
+
+
 def keep_counts(census: DataFrame, wide: int, size: int) -> dict[int, int]:
     """Suffix counts by code: exact for codes under a first word of over ``size``, else by first word."""
     counted = keep(census.groupBy("code").agg(F.sum("n").alias("n")))

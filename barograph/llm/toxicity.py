@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barograph.llm.common import NOT_ALNUM, Words, as_bytes, keep, labelled, slices
+from barograph.llm.common import NOT_ALNUM, Words, as_bytes, keep, labelled, slices, without
 
 # A labelled text belongs to a named category if it also holds one of these words; the last link is the label itself.
 CATEGORIES = {
@@ -176,3 +176,8 @@ def chain(docs: DataFrame, labels: DataFrame, rows: int = 20_000, telling: int =
     out_of = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
         judge, schema).withColumn("held_out", out_of)
+
+
+def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that the chain does not call toxic."""
+    return without(docs, chain(docs, labels).where("predicted = 1"))
