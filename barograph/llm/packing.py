@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -16,12 +17,15 @@ from barograph.llm.common import keep
 
 CAPACITY, BIN = 2048, 8
 END = np.uint32(1).tobytes()
-# Pieces at which byte-level pre-tokenising always breaks, so each can be encoded alone.
-_PIECE = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
+# Pieces between which byte-level pre-tokenising always breaks, so that each can be encoded alone; the first kind
+# (letters, not followed by another letter or a character beyond ASCII) is one pre-token.
+_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\x00-@\[-`{-\x7f])| ?[^\s]+|\s+(?!\S)|\s+")
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_PROBE = "It's a naïve test, of 12 words;  über\n\n  straße (x)... and SO on "
 # Characters on which the notions of white space differ, and the special token: whole-text encoding there.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|<\\|endoftext\\|>")
 _LOADED: dict[str, tuple] = {}
-CACHED = 400_000
+CACHED = 1_000_000
 
 
 def _default_tokenizer() -> str:
@@ -30,26 +34,53 @@ def _default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _printable() -> dict[int, str]:
+    """Byte -> the character that stands for it in byte-level vocabularies: itself if printable, else one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
+
+
+class _Known(dict):
+    """Piece -> its little-endian unsigned 32-bit ids, encoded when first met."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.table = tokenizer, _printable()
+
+    def __missing__(self, piece: str) -> bytes:
+        if _LETTERS.fullmatch(piece):
+            ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        self[piece] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
 def _encoder(path: str):
-    """Text -> little-endian unsigned 32-bit ids; remembers the ids of pieces met before."""
+    """Text -> ids as bytes; remembers the pieces met before (up to CACHED of them).
+
+    A tokenizer that does not split a probe text in the byte-level way encodes whole texts.
+    """
     if path not in _LOADED:
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
-    tokenizer, cache = _LOADED[path]
+        tokenizer = Tokenizer.from_file(path)
+        known = _Known(tokenizer)
+        try:
+            split = b"".join(map(known.__getitem__, _PIECE.findall(_PROBE)))
+        except Exception:  # a model that can't take such pieces raises its own kind of error
+            split = b""
+        whole = tokenizer.encode(_PROBE, add_special_tokens=False).ids
+        _LOADED[path] = (tokenizer, known if split == struct.pack(f"<{len(whole)}I", *whole) else None)
+    tokenizer, known = _LOADED[path]
 
     def encode(text: str) -> bytes:
-        if _ODD.search(text):
+        if known is None or _ODD.search(text):
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        pieces = _PIECE.findall(text)
-        new = [p for p in set(pieces) if p not in cache]
-        if new:
-            if len(cache) > CACHED:
-                cache.clear()
-                new = list(set(pieces))
-            for piece, ids in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[piece] = np.array(ids.ids, np.uint32).tobytes()
-        return b"".join(map(cache.__getitem__, pieces))
+        if len(known) > CACHED:
+            known.clear()
+        return b"".join(map(known.__getitem__, _PIECE.findall(text)))
 
     return encode
 
