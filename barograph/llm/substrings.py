@@ -258,7 +258,8 @@ def remove_repeated_passages(docs: DataFrame, length: int = 20, size: int = KEYS
             kept.append((text if len(stay) == n else None,
                          b" ".join(buf[s:e] for s, e in zip(span.start[stay], span.end[stay], strict=True))))
         removed = np.array([int(gone[a:a + n].sum()) for a, n in zip(span.first, span.count, strict=True)], np.int64)
-        left = [(whole if whole is not None else joined).decode("utf-8", "replace") for whole, joined in kept]
+        left = [(whole if whole is not None else joined).decode("utf-8", "replace") if isinstance(t, str) else None
+                for t, (whole, joined) in zip(group["text"], kept, strict=True)]
         return pd.DataFrame({"doc_id": group["doc_id"].astype("Int64"), "n_words": span.count, "n_removed": removed,
                              "kept_sha256": [hashlib.sha256(joined).hexdigest() for _, joined in kept],
                              "kept": left, "rest": group["rest"]})
