@@ -43,17 +43,18 @@ def ccf_sql(src: str, extra: str = "") -> str:
       SELECT industry{eg}, leader, follower, CAST(lag_days AS INTEGER) AS lag_days, n, CASE WHEN n >= 30 THEN CASE WHEN (n * sxx - sx * sx) * (n * syy - sy * sy) > 0
           THEN greatest(-1.0, least(1.0, (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)))) ELSE 0.0 END ELSE 0.0 END AS r
       FROM (SELECT p.industry{', p.' + extra if extra else ''}, p.leader, p.follower, p.k AS lag_days, p.slots - p.k AS n, coalesce(sxy, 0.0) AS sxy,
-              s.sx - coalesce(list_sum(list_transform(list_filter(s.v, lambda z: z.t >= p.slots - p.k), lambda z: z.x)), 0.0) AS sx,
-              s.sxx - coalesce(list_sum(list_transform(list_filter(s.v, lambda z: z.t >= p.slots - p.k), lambda z: z.x * z.x)), 0.0) AS sxx,
-              f.sx - coalesce(list_sum(list_transform(list_filter(f.v, lambda z: z.t < p.k), lambda z: z.x)), 0.0) AS sy,
-              f.sxx - coalesce(list_sum(list_transform(list_filter(f.v, lambda z: z.t < p.k), lambda z: z.x * z.x)), 0.0) AS syy
-        FROM (SELECT a.industry{ea}, a.symbol AS leader, b.symbol AS follower, a.slots, k FROM (SELECT DISTINCT industry{e}, symbol, slots FROM {src} WHERE x IS NOT NULL) a
-              JOIN (SELECT DISTINCT industry{e}, symbol FROM {src} WHERE x IS NOT NULL) b ON a.industry = b.industry{on} JOIN range(1, 21) r(k) ON k < a.slots) p
+              coalesce(s.sx, 0.0) - coalesce(list_sum(list_transform(list_filter(s.v, lambda z: z.t >= p.slots - p.k), lambda z: z.x)), 0.0) AS sx,
+              coalesce(s.sxx, 0.0) - coalesce(list_sum(list_transform(list_filter(s.v, lambda z: z.t >= p.slots - p.k), lambda z: z.x * z.x)), 0.0) AS sxx,
+              coalesce(f.sx, 0.0) - coalesce(list_sum(list_transform(list_filter(f.v, lambda z: z.t < p.k), lambda z: z.x)), 0.0) AS sy,
+              coalesce(f.sxx, 0.0) - coalesce(list_sum(list_transform(list_filter(f.v, lambda z: z.t < p.k), lambda z: z.x * z.x)), 0.0) AS syy
+        FROM (SELECT g.industry{ea.replace('a.', 'g.')}, a.symbol AS leader, b.symbol AS follower, g.slots, k FROM (SELECT DISTINCT industry{e}, slots FROM {src}) g
+              JOIN (SELECT DISTINCT industry, symbol FROM {src}) a ON a.industry = g.industry
+              JOIN (SELECT DISTINCT industry, symbol FROM {src}) b ON b.industry = g.industry JOIN range(1, 21) r(k) ON k < g.slots) p
         LEFT JOIN (SELECT a.industry{ea}, a.symbol AS leader, b.symbol AS follower, k, sum(a.x * b.x) AS sxy FROM {src} a JOIN range(1, 21) r(k) ON TRUE
               JOIN {src} b ON a.industry = b.industry{on} AND b.t = a.t + k WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY ALL) j
           ON j.industry = p.industry AND j.leader = p.leader AND j.follower = p.follower AND j.k = p.k{' AND j.' + extra + ' = p.' + extra if extra else ''}
-        JOIN m_sum_{src}{'_p' if extra else ''} s ON s.industry = p.industry AND s.symbol = p.leader{join}
-        JOIN m_sum_{src}{'_p' if extra else ''} f ON f.industry = p.industry AND f.symbol = p.follower{join.replace('s.', 'f.')})"""
+        LEFT JOIN m_sum_{src}{'_p' if extra else ''} s ON s.industry = p.industry AND s.symbol = p.leader{join}
+        LEFT JOIN m_sum_{src}{'_p' if extra else ''} f ON f.industry = p.industry AND f.symbol = p.follower{join.replace('s.', 'f.')})"""
 
 
 for _src, _e in (("m_lltrain", ""), ("m_llback", ""), ("m_llper", "period")):
@@ -77,12 +78,12 @@ view("m_testedp", test_sql("m_ccfp", "industry, period"))
 view("m_stab", f"""
     SELECT industry, leader, follower, lag_days, string_agg(CAST(bit AS VARCHAR), '' ORDER BY period) AS stability, CAST(sum(bit) AS INTEGER) AS n_stable,
            CAST(sum(bit * (1 << period)) AS INTEGER) AS recency_score
-    FROM (SELECT *, (abs(round(r, 6)) >= {MIN_R} AND round(fdr_p, 8) <= {ALPHA})::INT AS bit FROM m_testedp) GROUP BY 1, 2, 3, 4""")
+    FROM (SELECT *, (abs(r) >= {MIN_R} AND fdr_p <= {ALPHA})::INT AS bit FROM m_testedp) GROUP BY 1, 2, 3, 4""")
 view("m_pairtab", f"""
     SELECT t.industry, t.leader, t.follower, t.lag_days, CASE WHEN t.r >= 0 THEN 'positive' ELSE 'negative' END AS direction, round(t.r, 6) AS train_r,
            coalesce(round(b.r, 6), 0.0) AS backtest_r, round(t.fdr_p, 8) AS fdr_p, s.stability, s.n_stable, s.recency_score
     FROM m_tested t LEFT JOIN m_ccfb b USING (industry, leader, follower, lag_days) LEFT JOIN m_stab s USING (industry, leader, follower, lag_days)
-    WHERE abs(round(t.r, 6)) >= {MIN_R} AND round(t.fdr_p, 8) <= {ALPHA}""")
+    WHERE abs(t.r) >= {MIN_R} AND t.fdr_p <= {ALPHA}""")
 
 
 def members(m):
@@ -117,7 +118,7 @@ def _(m):
 
 
 @query("dis_09", f"""SELECT industry, leader, follower, lag_days, round(r, 6) AS r, round(fdr_p, 6) AS fdr_p FROM m_tested
-       WHERE abs(round(r, 6)) >= {MIN_R} AND round(fdr_p, 8) <= {ALPHA}""")
+       WHERE abs(r) >= {MIN_R} AND fdr_p <= {ALPHA}""")
 def _(m):
     found = L.tested(L.ccf(returns(m, "train"), ["industry"]), ["industry"]).where(L.significant(MIN_R, ALPHA))
     return found.select(*KEYS, r6("r", "r"), r6("fdr_p", "fdr_p"))

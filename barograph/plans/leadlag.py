@@ -61,7 +61,7 @@ def _block_moments(max_lag: int, chunk: int, keys: list[str]):
             part = pdf[pdf["_lead"] == lead]
             names, rows = np.unique(part["symbol"].to_numpy(dtype=str), return_inverse=True)
             grid = np.zeros((len(names), width))
-            grid[rows, part["t"].to_numpy() - base] = part["x"].to_numpy()
+            np.add.at(grid, (rows, part["t"].to_numpy() - base), part["x"].to_numpy())
             side[lead] = (names, grid)
         (leaders, a), (followers, b) = side[True], side[False]
         out = []
@@ -92,14 +92,23 @@ def lagged_moments(returns: DataFrame, by: list[str], max_lag: int = MAX_LAG, bl
     slots into chunks; one task multiplies one (leader block, follower block, chunk), whose
     size is fixed by these two numbers, and partial moments are added up.
     """
-    rows = returns.where(F.col("x").isNotNull()).select(*by, "symbol", "t", "slots", "x")
-    sizes = returns.groupBy(*by).agg(F.ceil(F.countDistinct("symbol") / block).cast("int").alias("_nb"))
-    rows = rows.join(sizes, by).withColumn("_b", F.pmod(F.xxhash64("symbol"), F.col("_nb")).cast("int"))
+    # every symbol of the group takes part in every stretch of every period, silent ones by a zero
+    members = returns.select(*by, "slots").distinct().join(returns.select(by[0], "symbol").distinct(), by[0])
+    sizes = members.groupBy(*by).agg(F.ceil(F.countDistinct("symbol") / block).cast("int").alias("_nb"))
+    block_of = F.pmod(F.xxhash64("symbol"), F.col("_nb")).cast("int")
+    rows = returns.where(F.col("x").isNotNull()).select(*by, "symbol", "t", "slots", "x").join(sizes, by).withColumn("_b", block_of)
+    zeros = members.join(sizes, by).select(
+        *by, "symbol", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / chunk))).alias("_c"), "slots", "_nb",
+        block_of.alias("_b"))
+
+    def with_zeros(place: Column) -> DataFrame:
+        return rows.unionByName(zeros.select(*by, "symbol", place.alias("t"), "slots", F.lit(0.0).alias("x"), "_nb", "_b"))
+
     others = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
-    lead = rows.select(*by, "symbol", "t", "slots", "x", F.lit(True).alias("_lead"),
+    lead = with_zeros(F.col("_c") * chunk).select(*by, "symbol", "t", "slots", "x", F.lit(True).alias("_lead"),
                        F.floor(F.col("t") / chunk).alias("_chunk"), F.col("_b").alias("_bl"), others.alias("_bf"))
     first = F.greatest(F.floor((F.col("t") - max_lag) / chunk), F.lit(0))
-    reach = rows.where(F.col("t") >= 1).withColumn("_chunk", F.explode(F.sequence(first, F.floor((F.col("t") - 1) / chunk))))
+    reach = with_zeros(F.col("_c") * chunk + 1).where(F.col("t") >= 1).withColumn("_chunk", F.explode(F.sequence(first, F.floor((F.col("t") - 1) / chunk))))
     follow = reach.select(*by, "symbol", "t", "slots", "x", F.lit(False).alias("_lead"), "_chunk",
                           others.alias("_bl"), F.col("_b").alias("_bf"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
@@ -131,7 +140,7 @@ def tested(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def significant(min_r: float, alpha: float) -> Column:
-    return (F.abs(F.round("r", 6)) >= min_r) & (F.round("fdr_p", 8) <= alpha)
+    return (F.abs("r") >= min_r) & (F.col("fdr_p") <= alpha)
 
 
 def stability(returns: DataFrame, min_r: float, alpha: float, max_lag: int = MAX_LAG) -> DataFrame:

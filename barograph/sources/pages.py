@@ -42,7 +42,8 @@ def table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def symbol_changes(pages: DataFrame) -> DataFrame:
     """Renames from pages of year sections, each with its first table."""
-    sections = pages.select(F.explode(F.slice(F.split("html", r"dc:title&#34;:&#34;(?=\d{4}&#34;)"), 2, 1_000_000)).alias("s"))
+    parts = F.split("html", r"dc:title&#34;:&#34;(?=\d{4}&#34;)")
+    sections = pages.select(F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("s"))
     tables = sections.select(F.substring("s", 1, 4).alias("year"), F.regexp_extract("s", r"(?s)(<table\b.*?</table>)", 1).alias("html"))
     rows = table_rows(tables.where(F.length("html") > 0)).where(F.size("cells") >= 4)
     date = F.coalesce(any_date(F.get("cells", F.lit(0))), any_date(F.concat_ws(" ", F.get("cells", F.lit(0)), "year")))

@@ -98,3 +98,21 @@ def test_catalogues_are_complete():
     assert [c.id for c in B.PAIR_CONFIGS] == ["v1", "v2", "v3", "v5", "v4", "v6", "v7", "v8"]
     assert len(B.FACTOR_CONFIGS) == 13 and len(B.TRAIN_R_GRID) * len(B.BACKTEST_R_GRID) * len(B.LAG_GRID) == 729
     assert R.slots(20) is not None
+
+
+@pytest.mark.parametrize("chunk", [32, 1024])
+def test_lead_lag_with_silent_symbols(spark, chunk):
+    """Listed late, delisted early, traded briefly, never a return: every ordered pair has its sums."""
+    rng = np.random.default_rng(0)
+    x, live = rng.normal(size=(5, 200)), np.ones((5, 200), bool)
+    live[1, :90] = live[2, 70:] = live[3, :100] = live[3, 140:] = live[4] = False
+    rows = [("I", f"s{i}", t, 200, float(x[i, t]) if live[i, t] else None)
+            for i in range(5) for t in range(200) if live[i, t] or (i, t) == (4, 3)]
+    frame = spark.createDataFrame(rows, "industry string, symbol string, t long, slots long, x double")
+    got = {(r["leader"], r["follower"], r["lag_days"]): r for r in L.lagged_moments(
+        frame, ["industry"], 3, 64, chunk).collect()}
+    z = np.where(live, x, 0)
+    assert len(got) == 75
+    for (i, j, k), r in got.items():
+        a, b = z[int(i[1]), :200 - k], z[int(j[1]), k:]
+        assert np.allclose([r[c] for c in ("sxy", "sx", "sxx", "sy", "syy")], [a @ b, a.sum(), a @ a, b.sum(), b @ b])
