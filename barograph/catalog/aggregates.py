@@ -109,7 +109,7 @@ def _(m):
 @query("agg_11", """SELECT s.industry, count(*) AS n, count(*) FILTER (e.ratio > 1) AS n_split, max(e.date) AS latest
        FROM m_events e JOIN m_symbols s USING (symbol) GROUP BY s.industry""")
 def _(m):
-    return m.events.join(F.broadcast(m.symbols.select("symbol", "industry")), "symbol").groupBy("industry").agg(
+    return m.events.join(m.symbols.select("symbol", "industry"), "symbol").groupBy("industry").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("ratio") > 1).alias("n_split"), F.max("date").alias("latest"))
 
 
@@ -189,7 +189,7 @@ def industry_means(rows, symbols, ret):
     """Unweighted industry mean of per-symbol means."""
     per = rows.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col(ret) > 0, 1.0).otherwise(0.0)).alias("hit"), F.avg(ret).alias("mean"))
-    return per.join(F.broadcast(symbols.select("symbol", "industry")), "symbol").groupBy("industry").agg(
+    return per.join(symbols.select("symbol", "industry"), "symbol").groupBy("industry").agg(
         F.sum("n").alias("n"), F.avg("hit").alias("hit_rate"), F.avg("mean").alias("mean_return"))
 
 
@@ -258,15 +258,15 @@ def _(m):
 @query("agg_23", """SELECT coalesce(industry, 'ALL') AS industry, count(*) AS n, count(*) FILTER (ratio > 1) AS n_split
        FROM m_events JOIN m_symbols USING (symbol) GROUP BY ROLLUP (industry)""")
 def _(m):
-    return m.events.join(F.broadcast(m.symbols.select("symbol", "industry")), "symbol").rollup("industry").agg(
+    return m.events.join(m.symbols.select("symbol", "industry"), "symbol").rollup("industry").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("ratio") > 1).alias("n_split")).withColumn(
         "industry", F.coalesce("industry", F.lit("ALL")))
 
 
-@query("agg_24", "SELECT CAST(year(date) AS INTEGER) AS year, max(date) AS date, arg_max(close, date) AS close FROM m_close WHERE symbol = 'NATION_0' GROUP BY 1")
+@query("agg_24", "SELECT CAST(year(date) AS INTEGER) AS year, max(date) AS date, round(arg_max(close, date), 6) AS close FROM m_index GROUP BY 1")
 def _(m):
-    return closes(m).where(F.col("symbol") == "NATION_0").groupBy(F.year("date").alias("year")).agg(
-        F.max("date").alias("date"), F.max_by("close", F.col("date")).alias("close"))
+    return m.index.groupBy(F.year("date").alias("year")).agg(
+        F.max("date").alias("date"), r6(F.max_by("close", F.col("date")), "close"))
 
 
 @query("agg_25", """SELECT symbol, date, close FROM m_close WHERE date IN (SELECT max(date) FROM m_close, m_asof

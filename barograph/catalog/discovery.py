@@ -44,9 +44,9 @@ def bank_with_forward(m):
     return bank.withColumns({c: F.round(c, _DIG) for c in G.BANK})
 
 
-@query("dis_01", f"SELECT feature, lag, date, n, round(ic, 6) AS ic FROM ({ic_sql(['hl_spread', 'volume_z20'], 2)})")
+@query("dis_01", f"SELECT feature, lag, date, n, round(ic, 6) AS ic FROM ({ic_sql(list(G.BANK), 20)})")
 def _(m):
-    return X.ic_series(bank_with_forward(m), ["hl_spread", "volume_z20"], "fwd1", 2).select(
+    return X.ic_series(bank_with_forward(m), list(G.BANK), "fwd1", 20).select(
         "feature", "lag", "date", "n", r6("ic", "ic"))
 
 
@@ -60,9 +60,9 @@ def stats_sql(inner: str) -> str:
 _STATS = ("mean_ic", "std_ic", "ic_ir", "t_stat", "p_value")
 
 
-@query("dis_02", f"SELECT feature, lag, n, {', '.join(f'round({c}, 6) AS {c}' for c in _STATS)} FROM ({stats_sql(ic_sql(['hl_spread', 'volume_z20'], 2))})")
+@query("dis_02", f"SELECT feature, lag, n, {', '.join(f'round({c}, 6) AS {c}' for c in _STATS)} FROM ({stats_sql(ic_sql(list(G.BANK), 20))})")
 def _(m):
-    series = X.ic_series(bank_with_forward(m), ["hl_spread", "volume_z20"], "fwd1", 2)
+    series = X.ic_series(bank_with_forward(m), list(G.BANK), "fwd1", 20)
     return X.ic_stats(series, "feature", "lag").select("feature", "lag", "n", *[r6(c, c) for c in _STATS])
 
 
@@ -102,6 +102,23 @@ def _(m):
     return loadings.join(explained, "factor").select("symbol", "factor", r6("loading", "loading"), r6("explained", "explained"))
 
 
+_GRID05 = """SELECT n_name AS symbol, coalesce((s2 - s1 * s1 / n) / (n - 1), 0.0) AS v FROM nation
+    CROSS JOIN (SELECT count(DISTINCT date) AS n FROM m_feat) LEFT JOIN (SELECT symbol, sum(returns) AS s1, sum(returns * returns) AS s2 FROM m_feat GROUP BY symbol) ON symbol = n_name"""
+
+
+@query("dis_05_shares", f"SELECT symbol, round(v / sum(v) OVER (), 6) AS share FROM ({_GRID05})")
+def _(m):
+    """With all factors, explained shares times squared loadings add up to each symbol's share of the variance."""
+    _, _, explained, loadings = factors(m, 25)
+    return loadings.join(explained, "factor").groupBy("symbol").agg(r6(F.sum(F.col("explained") * F.col("loading") ** 2), "share"))
+
+
+@query("dis_05_dates", "SELECT date, round(sum(coalesce(returns * returns, 0.0)), 6) AS energy FROM m_feat GROUP BY date")
+def _(m):
+    """With all factors, a date's squared components add up to its squared returns."""
+    return factors(m, 25)[1].groupBy("date").agg(r6(F.sum(F.col("score") ** 2), "energy"))
+
+
 @query("agg_17")
 def _(m):
     return X.industry_loadings(factors(m)[3], m.symbols).select("industry", r6("mean_abs", "mean_abs"))

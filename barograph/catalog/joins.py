@@ -16,14 +16,14 @@ from barograph.operators.latest import last_two, latest
 @query("joi_01", "SELECT s.symbol, s.date, s.short, m.name FROM m_shorts s LEFT JOIN m_symbols m ON m.symbol = s.symbol AND m.current")
 def _(m):
     names = m.symbols.where("current").select("symbol", "name")  # at most one row per nation
-    return m.shorts.join(F.broadcast(names), "symbol", "left").select("symbol", "date", "short", "name")
+    return m.shorts.join(names, "symbol", "left").select("symbol", "date", "short", "name")
 
 
 @query("joi_02", """SELECT e.symbol, e.date, e.ratio, s.industry FROM m_events e JOIN m_symbols s USING (symbol)
        WHERE e.date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'""")
 def _(m):
     return m.events.where(F.col("date").between("1996-01-01", "1999-12-31")).join(
-        F.broadcast(m.symbols.select("symbol", "industry")), "symbol").select("symbol", "date", "ratio", "industry")
+        m.symbols.select("symbol", "industry"), "symbol").select("symbol", "date", "ratio", "industry")
 
 
 @query("joi_03", """
@@ -124,19 +124,18 @@ def _(m):
 
 
 @query("joi_13", """
-    SELECT a.symbol AS leader, b.symbol AS follower, CAST(k AS INTEGER) AS lag_days, round(sum(a.returns * b.returns), 6) AS sxy
-    FROM m_feat a JOIN m_symbols sa ON sa.symbol = a.symbol
-    JOIN m_symbols sb ON sb.industry = sa.industry JOIN range(1, 4) r(k) ON TRUE
-    JOIN m_feat b ON b.symbol = sb.symbol AND b.t = a.t + k
-    WHERE a.returns IS NOT NULL AND b.returns IS NOT NULL GROUP BY 1, 2, 3""")
-def _(m):
-    """Series i at t against series j at t + 1..3 inside each industry. The logical self-join
-    is summed by blocks, so no pair of rows is ever formed."""
+    SELECT sa.symbol AS leader, sb.symbol AS follower, CAST(k AS INTEGER) AS lag_days, round(coalesce(sum(a.returns * b.returns), 0.0), 6) AS sxy
+    FROM m_symbols sa JOIN m_symbols sb ON sb.industry = sa.industry JOIN range(1, 21) r(k) ON TRUE
+    LEFT JOIN m_feat a ON a.symbol = sa.symbol LEFT JOIN m_feat b ON b.symbol = sb.symbol AND b.t = a.t + k
+    GROUP BY 1, 2, 3""")
+def _(m):
+    """Series i at t against series j at t + 1..20 inside each industry, 0 for pairs that never meet. The logical
+    self-join is summed by blocks, so no pair of rows is ever formed."""
     from barograph.plans.leadlag import lagged_moments
 
-    rows = R.with_step_features(m.panel).join(F.broadcast(m.symbols.select("symbol", "industry")), "symbol").select(
+    rows = R.with_step_features(m.panel).join(m.symbols.select("symbol", "industry"), "symbol").select(
         "industry", "symbol", "t", m.calendar.agg(F.count(F.lit(1))).scalar().alias("slots"), F.col("returns").alias("x"))
-    return lagged_moments(rows, ["industry"], 3).select("leader", "follower", "lag_days", r6("sxy", "sxy"))
+    return lagged_moments(rows, ["industry"], 20).select("leader", "follower", "lag_days", r6("sxy", "sxy"))
 
 
 @query("joi_14", """SELECT o.option_symbol, o.share_symbol, o.fetched_at, e.date AS event_date, e.ratio

@@ -87,7 +87,7 @@ view("m_pairtab", f"""
 
 
 def members(m):
-    prices = split(closes(m).join(F.broadcast(m.symbols.select("symbol", "industry")), "symbol"), "train", CUT)
+    prices = split(closes(m).join(m.symbols.select("symbol", "industry"), "symbol"), "train", CUT)
     return liquid_symbols(prices, 10000, 0.3, ("industry",)).select("symbol", "industry")
 
 

@@ -79,7 +79,7 @@ def _(m):
        WHERE s.industry <> 'ASIA' OR c.date >= DATE '2000-07-01'""")
 def _(m):
     """One industry's rows replaced as a whole (the sink overwrites only its partition)."""
-    table = base(m).join(F.broadcast(m.symbols.select("symbol", "industry")), "symbol").select("industry", "symbol", "date", "close")
+    table = base(m).join(m.symbols.select("symbol", "industry"), "symbol").select("industry", "symbol", "date", "close")
     fresh = table.where((F.col("industry") == "ASIA") & (F.col("date") >= F.lit(CUT))).withColumn("close", F.col("close") * 2)
     return M.replace_keys(table, fresh, "industry")
 

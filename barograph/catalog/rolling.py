@@ -365,9 +365,9 @@ def _(m):
 
 @query("win_26", """
     SELECT symbol, date, round(exp(sum(ln(1 + greatest(least(coalesce(returns, 0), 0.5), -0.5))) OVER
-           (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING)), 6) AS equity FROM m_feat WHERE date >= DATE '2001-01-01'""")
+           (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING)), 6) AS equity FROM m_feat""")
 def _(m):
-    clipped = R.with_step_features(m.panel).where(F.col("date") >= "2001-01-01").select(
+    clipped = R.with_step_features(m.panel).select(
         "symbol", "date", R.clip(F.coalesce("returns", F.lit(0.0)), -0.5, 0.5).alias("r"))
     return clipped.select("symbol", "date", r6(F.exp(R.running(F.sum, F.log1p("r"), ["symbol"], ["date"])), "equity"))
 

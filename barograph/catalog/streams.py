@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barograph.catalog.base import query, view
 from barograph.catalog.rolling import r6
+from barograph.session import shared_folder
 from barograph.streaming import jobs as J
 
 view("m_tk", "SELECT event_id, ts, user_id AS key, value FROM events")
@@ -46,9 +49,11 @@ def _(m):
 def _(m):
     """Second version restates the later days; the sink's view keeps the newest."""
     daily = ticks(m).groupBy("key", F.col("ts").cast("date").alias("day")).agg(F.sum("value").alias("total"))
-    first = daily.where(F.col("day") < "2024-01-20").withColumn("batch_id", F.lit(0))
-    second = daily.where(F.col("day") >= "2024-01-15").withColumns({"total": F.col("total") * 2, "batch_id": F.lit(1)})
-    return J.current(first.unionByName(second), ["key", "day"]).select("key", "day", r6("total", "total", 4))
+    path = f"{shared_folder(m.spark)}/upsert-{uuid.uuid4().hex}"
+    write = J.upsert_sink(path, ["key", "day"])
+    write(daily.where(F.col("day") < "2024-01-20"), 0)
+    write(daily.where(F.col("day") >= "2024-01-15").withColumn("total", F.col("total") * 2), 1)
+    return J.current(m.spark.read.parquet(path), ["key", "day"]).select("key", "day", r6("total", "total", 4))
 
 
 @query("str_06", """

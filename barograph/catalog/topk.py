@@ -14,7 +14,7 @@ from barograph.sources.market import CUT
        WHERE s.industry = 'ASIA' ORDER BY f.score DESC, f.date, f.symbol LIMIT 20""")
 def _(m):
     wanted = m.symbols.where(F.col("industry") == "ASIA").select("symbol")
-    return m.forecasts.join(F.broadcast(wanted), "symbol", "left_semi").select("symbol", "date", "score").orderBy(
+    return m.forecasts.join(wanted, "symbol", "left_semi").select("symbol", "date", "score").orderBy(
         F.col("score").desc(), "date", "symbol").limit(20)
 
 

@@ -26,13 +26,11 @@ def get_session(app: str = "barograph", master: str | None = None, shuffle_parti
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written intermediates: ``spark.checkpoint.dir`` of the session.
 
-    ``spark.checkpoint.dir`` is read from the session. Only a session that names none
-    (a local test) gets a scratch folder of its own.
+    Only a session that names none (a local test) gets a scratch folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,4 +40,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="barograph-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -6,6 +6,8 @@ same code serves ``spark.read.text(path)``, a stream of files, or text already i
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,16 @@ STATEMENT_LABELS = {
     "dividends_paid": ("Cash Dividends Paid", "Common Stock Dividend Paid"),
     "stockholders_equity": ("Stockholders Equity", "Common Stock Equity"),
 }
+TRADE_DATE = "Trade Date"
+SHORT_LAYOUTS = ("yyyy-MM-dd", "d/M/yyyy")
+BAD_SHORT_DATES = (
+    "22 December 2022", "1 February 2022", "31 January 2022", "15 September 2020", "2 September 2020", "1 September 2020",
+    "25 May 2020", "19 June 2017", "16 June 2017", "15 June 2017", "1 November 2016", "3 October 2016", "6 October 2014",
+    "2 September 2014", "1 September 2014", "29 August 2014", "15 November 2013", "7 October 2013", "28 June 2013",
+    "27 June 2013", "26 June 2013", "25 June 2013", "24 June 2013", "21 June 2013", "20 June 2013", "19 June 2013",
+    "18 June 2013", "17 June 2013", "14 June 2013", "13 June 2013", "7 June 2013", "22 October 2012", "19 October 2012",
+    "18 October 2012", "17 October 2012", "16 October 2012", "15 October 2012", "12 October 2012", "11 October 2012",
+    "12 March 2012")
 METAL_IDS = {"lead": "LEAD", "copper": "COPPER", "zinc": "ZINC", "nickel": "NICKEL", "aluminum": "ALUMINUM"}
 
 
@@ -33,9 +45,9 @@ def number(text: Column) -> Column:
 
 
 def cells(line: Column) -> Column:
-    """CSV cells with quotes honoured and removed."""
-    return F.transform(F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)'),
-                       lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    """CSV cells with quotes honoured and removed; one pass over the line."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',\s*+("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'), F.lit(1))
+    return F.transform(found, lambda c: F.trim(F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"'))))
 
 
 def price_rows(lines: DataFrame, strict: bool = True) -> DataFrame:
@@ -70,22 +82,23 @@ def shares_from_snapshots(lines: DataFrame) -> DataFrame:
                     F.try_divide(number(F.get("c", F.lit(1))), number(F.get("c", F.lit(2)))).alias("shares")).where(F.col("shares").isNotNull())
 
 
-def short_matrix(lines: DataFrame, bad_dates: DataFrame | None = None) -> DataFrame:
+def short_matrix(lines: DataFrame, bad_dates: tuple[str, ...] = BAD_SHORT_DATES) -> DataFrame:
     """Wide short-position matrix to (symbol, date, short).
 
-    ``lines`` carries ``file``. The date line is the one whose third cell is a date; report
-    dates stand in every second cell from the third on, their percentages one cell later.
-    Both layouts (with and without the extra descriptor lines) follow from that rule.
+    ``lines`` carries ``file``. Report dates stand in every second cell from the third on,
+    their percentages one cell later. A data line always has a product code in its second
+    cell; the date line has none (first layout) or says "Trade Date" there (second layout),
+    so counts that look like dates stay counts.
     """
     split = lines.select("file", cells(F.col("value")).alias("c")).where(F.size("c") >= 4)
-    is_dates = any_date(F.get("c", F.lit(2))).isNotNull()
+    code = F.get("c", F.lit(1))
+    is_dates = (code == TRADE_DATE) | ((code == "") & any_date(F.get("c", F.lit(2)), SHORT_LAYOUTS).isNotNull())
+    bad = [dt.datetime.strptime(d, "%d %B %Y").date() for d in bad_dates]
     heads = split.where(is_dates).select("file", F.posexplode("c").alias("pos", "text")).where(
         (F.col("pos") >= 2) & (F.col("pos") % 2 == 0)).select(
-        "file", (F.col("pos") + 1).alias("pos"), any_date(F.col("text")).alias("date")).where(F.col("date").isNotNull())
-    if bad_dates is not None:
-        heads = heads.join(bad_dates, "date", "left_anti")
-    described = F.get("c", F.lit(2)).isin("Reported Short Positions", "Trade Date") | F.get("c", F.lit(1)).isin("Trade Date", "Product Code") | (F.get("c", F.lit(0)) == "Product")
-    body = split.where(~is_dates & ~described).select("file", F.get("c", F.lit(1)).alias("symbol"), F.posexplode("c").alias("pos", "text")).where(
+        "file", (F.col("pos") + 1).alias("pos"), any_date(F.col("text"), SHORT_LAYOUTS).alias("date")).where(
+        F.col("date").isNotNull() & ~F.col("date").isin(bad))
+    body = split.where((code != "") & ~code.isin(TRADE_DATE, "Product Code")).select("file", code.alias("symbol"), F.posexplode("c").alias("pos", "text")).where(
         (F.col("pos") >= 3) & (F.col("pos") % 2 == 1) & ~F.col("text").isin(*BLANKS))
     # one header cell per file and report date
     return body.join(heads, ["file", "pos"]).select("symbol", "date", number(F.col("text")).alias("short"))

@@ -108,7 +108,7 @@ class Market:
         )
         return (
             self.nations.withColumnRenamed("n_name", "symbol")
-            .join(F.broadcast(last), "symbol")  # at most one row per nation
+            .join(last, "symbol")
             .select(
                 "symbol",
                 F.concat_ws(" ", "symbol", suffix).alias("name"),

@@ -38,10 +38,16 @@ def activity(ticks: DataFrame, length: str = "5 days", slide: str = "1 day") ->
 
 
 def deduplicated(ticks: DataFrame, key: str = "event_id") -> DataFrame:
-    """First delivery of each event; re-deliveries inside the lateness bound are ignored."""
+    """First delivery of each event; re-deliveries inside the lateness bound are ignored.
+
+    A batch has no order of arrival: there the earliest ``ts`` is the first, then the
+    smallest row.
+    """
     if ticks.isStreaming:
         return ticks.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark([key])
-    return ticks.dropDuplicates([key])
+    rest = [c for c in ticks.columns if c != key]
+    first = F.min(F.struct("ts", *[c for c in rest if c != "ts"])).alias("r")
+    return ticks.groupBy(key).agg(first).select(*[F.col(c) if c == key else F.col(f"r.{c}") for c in ticks.columns])
 
 
 def sessions(ticks: DataFrame, gap: str) -> DataFrame:
@@ -123,14 +129,19 @@ def miss_state(ticks: DataFrame, threshold: int = 10, recent_days: int = 7) -> D
 
 # --- sinks ---------------------------------------------------------------------------------
 
-def upsert_sink(path: str, key: list[str]):
+def upsert_sink(path: str, key: list[str], order: list[str] | None = None):
     """``foreachBatch`` writer that keeps the newest version of every key.
 
     Each micro-batch lands under its own id, replacing what an earlier attempt of the same
-    batch left there, so replays are harmless; ``current`` resolves the versions.
+    batch left there, so replays are harmless; ``current`` resolves the versions. Inside a
+    batch the version with the largest ``order`` columns wins, then the largest row.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(key).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id:08d}")
+        rest = [c for c in batch.columns if c not in key]
+        ranked = F.struct(*(order or []), *rest) if rest else F.struct(*key)
+        newest = batch.groupBy(*key).agg(F.max_by(F.struct(*(rest or key)), ranked).alias("r"))
+        newest.select(*[F.col(c) if c in key else F.col(f"r.{c}") for c in batch.columns]).withColumn(
+            "batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id:08d}")
 
     return write
 

@@ -17,10 +17,10 @@ def lines(spark, text, file="f.csv"):
 def test_short_matrix_both_layouts(spark):
     old = lines(spark, [",,Trade Date,,", ",,02/01/2019,,03/01/2019,", ",,Reported Short Positions,% held,Reported,% held",
                         "Product,Product Code,Reported,%,Reported,%", '"AAA, LTD ",AAA ,"1,000","1,234.5",10,', "BBB,BBB,5,0.7,6,-"], "old.csv")
-    new = lines(spark, [",Trade Date,2022-05-02,,2022-05-03,", ",,Reported Short Positions,% held,Reported,% held", "AAA,AAA,1,2.5,1,3.5"], "new.csv")
-    bad = spark.createDataFrame([(dt.date(2022, 5, 3),)], "date date")
-    got = {(r.symbol, str(r.date)): r.short for r in files.short_matrix(old.unionByName(new), bad).collect()}
-    assert got == {("AAA", "2019-01-02"): 1234.5, ("BBB", "2019-01-02"): 0.7, ("AAA", "2022-05-02"): 2.5}
+    new = lines(spark, [",Trade Date,2022-05-02,,2022-05-03,", ",,Reported Short Positions,% held,Reported,% held", "AAA,AAA,1,2.5,1,3.5", "CCC,CCC,20181115,4.5,20181116,5"], "new.csv")
+    got = {(r.symbol, str(r.date)): r.short for r in files.short_matrix(old.unionByName(new), ("3 May 2022",)).collect()}
+    assert got == {("AAA", "2019-01-02"): 1234.5, ("BBB", "2019-01-02"): 0.7, ("AAA", "2022-05-02"): 2.5, ("CCC", "2022-05-02"): 4.5}
+    assert files.short_matrix(lines(spark, [",Trade Date,15/06/2017,,16/08/2017,", "AAA,AAA,1,2.5,1,3.5"])).count() == 1
 
 
 def test_text_loader_reads_files(spark, tmp_path):
@@ -92,6 +92,22 @@ def test_stream_sessions_equal_batch(stream, ticks):
     same(done, jobs.sessions_batch(ticks, 12 * 3600))
 
 
+def test_stream_activity_equals_batch(stream, ticks):
+    same(drain(jobs.activity(stream), "activity_out", "complete"), jobs.activity(ticks))
+
+
+def test_stream_enriched_and_alerts_equal_batch(spark, stream, ticks):
+    static = ticks.select("key").distinct().where(F.col("key") % 2 == 0).withColumn("name", F.concat(F.lit("n"), "key"))
+    same(drain(jobs.enriched(stream, static), "enriched_out", "append"), jobs.enriched(ticks, static))
+    latest = lambda t: t.groupBy("key").agg(F.max_by("value", F.struct("ts", "event_id")).alias("price"))
+    levels = static.select("key", F.lit("price_above").alias("kind"), F.lit(20.0).alias("level"))
+    told = []
+    query = latest(stream).writeStream.outputMode("update").trigger(availableNow=True).foreachBatch(
+        lambda batch, _: told.extend(map(tuple, jobs.alerts(batch, levels).collect()))).start()
+    query.awaitTermination(120)
+    assert sorted(told) == sorted(map(tuple, jobs.alerts(latest(ticks), levels).collect())) and told
+
+
 def test_stream_deduplicates(spark, stream, ticks):
     assert drain(jobs.deduplicated(stream.union(stream)), "dedup_out", "append").count() == ticks.count()
 
@@ -115,6 +131,6 @@ def test_stream_misses_equal_batch(spark, ticks, tmp_path):
 def test_upsert_sink_survives_replay(spark, tmp_path):
     path = str(tmp_path / "sink")
     write = jobs.upsert_sink(path, ["key"])
-    for batch_id, rows in ((0, [(1, 1.0), (2, 1.0)]), (1, [(2, 5.0)]), (1, [(2, 6.0)])):
+    for batch_id, rows in ((0, [(1, 1.0), (2, 1.0), (1, 0.5)]), (1, [(2, 5.0)]), (1, [(2, 6.0)])):
         write(spark.createDataFrame(rows, "key int, v double"), batch_id)
     assert {(r.key, r.v) for r in jobs.current(spark.read.parquet(path), ["key"]).collect()} == {(1, 1.0), (2, 6.0)}
