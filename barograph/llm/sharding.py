@@ -33,8 +33,9 @@ def splitters(sample: pd.DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray
 def assign(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 256, samples_per_range: int = 20) -> DataFrame:
     """Every row with its shard and its gapless slot there; shards hold near-equal bytes.
 
-    1. A sample of keys, drawn with chances in proportion to size (``samples_per_range`` a
-       range are expected, so the sample has a fixed bound), goes to the driver.
+    1. A sample of keys, drawn with chances in proportion to size and, for one half, alike
+       (so that a mass of tiny texts spreads over ranges too; ``samples_per_range`` a range
+       are expected, so the sample has a fixed bound), goes to the driver.
     2. Its quantiles bound fine ranges; every record falls into one.
     3. Ranges over twice their share are subdivided by running size, between texts where
        these fit, so that one hot text spans many pieces.
@@ -49,9 +50,9 @@ def assign(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 256, sampl
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("hash"),
         F.xxhash64("doc_id", F.lit("tie")).alias("tie")))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     ranges = shards * ranges_per_shard
-    share = F.col("size") * F.lit(ranges * samples_per_range / max(total, 1))
+    share = (F.col("size") / max(total, 1) + 1 / max(count, 1)) * (ranges * samples_per_range / 2)
     chance = F.xxhash64("tie", "hash", F.lit("draw")) / F.lit(2.0**64) + 0.5
     bound_hash, bound_tie = splitters(
         rows.where(chance < share).select("hash", "tie", F.greatest(share, F.lit(1.0)).alias("weight")).toPandas(), ranges)
