@@ -51,7 +51,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     hits = _seeds(texts, "position").join(seeds, "seed").select(
         "doc_id", "item_id", "n_item", lag.alias("lag"),
         F.slice("tokens", F.greatest(lag, F.lit(0)) + 1, F.col("n_item")).alias("span"))
-    lines = hits.groupBy("doc_id", "item_id", "n_item", "lag").agg(F.first("span").alias("span"))
+    # rows that share an id may differ: each text's span along an alignment is judged
+    lines = hits.groupBy("doc_id", "item_id", "n_item", "lag", F.xxhash64("span").alias("of")).agg(F.first("span").alias("span"))
     skip = F.greatest(-F.col("lag"), F.lit(0))  # item words before the document's first
     n = F.least(F.size("span"), F.col("n_item") - skip)
     agree = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (

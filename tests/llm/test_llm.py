@@ -83,6 +83,13 @@ def test_jaccard(docs, local, nothing, region_rows):
     assert jaccard.classes(nothing).count() == 0
 
 
+def test_packed_counts():
+    rng = np.random.default_rng(2)
+    rows = [rng.integers(0, top, jaccard.SKETCH) for top in (1, 2, 16, 17, 256, 257, 70_000, 3)]
+    blobs = [jaccard.pack_counts(r) for r in rows]
+    assert (jaccard.unpack_counts(blobs) == np.array(rows)).all() and len(set(map(len, blobs))) == 3
+
+
 def test_representatives_keep_columns(docs):
     kept = jaccard.representatives(docs)
     assert kept.columns == docs.columns
@@ -231,11 +238,12 @@ def test_decontamination(spark, docs, nothing):
     texts = {1: filler[:50] + items[0] + filler[50:90], 2: ["A,"] + [w.upper() + ";" for w in items[1]], 3: swap + filler[:30],
              4: filler, 5: items[2][10:40] + filler[100:140], 6: [], 7: items[1][:6] + filler}
     frame = spark.createDataFrame([(d, " ".join(w), "x") for d, w in texts.items()] + [(8, None, "x"), (None, " ".join(items[0]), "x"),
-                                  (1, " ".join(texts[1]), "x")], "doc_id long, text string, item_id string")
+                                  (1, " ".join(texts[1]), "x"), *[(9, " ".join(items[2][a:a + 13] + ["q"] * 42), "x") for a in (40, 0)],
+                                  (9, " ".join(items[2][:10] + ["z"] * 30), "x")], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)] + [(9, None), (10, ""), (11, "too short"),
                                   (None, "x")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontamination.overlaps(frame, bench).collect()}
-    assert set(got) == {(1, 0), (2, 1), (3, 1), (5, 2)}
+    assert set(got) == {(1, 0), (2, 1), (3, 1), (5, 2), (9, 2)}
     assert got[1, 0]["doc_start"] == 50 and got[1, 0]["similarity"] == 1 and got[3, 1]["similarity"] < 1
     kept = decontamination.clean(frame, bench)
     assert kept.columns == frame.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "6", "7", "8", "None"]
