@@ -1,6 +1,7 @@
 """Every corpus operator against a brute-force version on a small table with awkward rows."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -250,6 +251,32 @@ def test_decontamination(spark, docs, nothing):
     assert decontamination.overlaps(nothing, bench).count() == 0
 
 
+def test_decontamination_misses_no_allowed_substitution(spark):
+    """Items of 1 to 15 words, with every placing of the substitutions that 80 % of 13 words (or of the item) allow."""
+    rows, items, want = [], [], set()
+    for n in range(1, 16):
+        item = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        width = min(n, 13)
+        allowed = width - -(-width * 4 // 5)
+        for start in range(n - width + 1):
+            for places in itertools.combinations(range(start, start + width), allowed):
+                copy = ["other" if k in places else w for k, w in enumerate(item)][start:start + width]
+                want.add((len(rows), n))
+                rows.append((len(rows), " ".join(["before", *copy, "after"])))
+            if n > 1:  # one substitution more is not an overlap
+                rows.append((len(rows), " ".join(["other"] * (allowed + 1) + item[start + allowed + 1:start + width])))
+    glued, kana = "水在标准大气压下的沸点是一百摄氏度", "東京タワーの高さは三百三十三メートルです"
+    items += [(20, glued), (21, kana), (22, "?!"), (23, "")]
+    want |= {(len(rows), 20), (len(rows) + 1, 21)}
+    rows += [(len(rows), "前文如此" + glued + "后文如此"), (len(rows) + 1, kana), (len(rows) + 2, ""), (len(rows) + 3, "...")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(frame, bench).collect()}
+    assert want - got == set() and got - want == set()
+    assert decontamination.overlaps(frame, bench.where("item_id > 21")).count() == 0
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     folder = "/root/testdata/sf0.01"
