@@ -16,6 +16,7 @@ from barograph.catalog.rolling import features, holding_values, r6
 from barograph.catalog.signals import ALL_FACTORS, factors
 from barograph.catalog.sqlstats import binomial_tail_sql, t_tail_sql
 from barograph.catalog.topk import eligible, top_eligible
+from barograph.functions import scalars as S
 from barograph.functions.stats import binomial_tail
 from barograph.operators import aggregates as A
 from barograph.operators import ledger as L
@@ -30,6 +31,9 @@ CONFIGS = (
     B.PairConfig("v1", 0.02, 0.0, 1),
     B.PairConfig("v2", 0.02, 0.0, 2, True),
     B.PairConfig("v3", 0.01, 0.0, 1, True, True),
+    B.PairConfig("v5", 0.0, 0.03, 2, True, True),
+    B.PairConfig("v4", 0.03, 0.01, 2, True, True),
+    B.PairConfig("v6", 0.01, 0.0, 5, True, True),
     B.PairConfig("v7", 0.01, 0.0, 5, True, True, ("ASIA", "AFRICA")),
     B.PairConfig("v8", 0.0, -1.0, 1, True, True, (), (("NATION_0", "NATION_5"), ("NATION_2", "NATION_7"), ("NATION_8", "NATION_18"))),
 )
@@ -142,6 +146,18 @@ def _(m):
                     r6("total_fees", "total_fees", 4), r6("end_balance", "end_balance", 4), r6("total_return_pct", "total_return_pct"))
 
 
+@query("bkt_08_series", f"""
+    SELECT config, sell_date AS date, round(50000 + sum(dp) OVER (PARTITION BY config ORDER BY sell_date), 2) AS balance
+    FROM (SELECT config, sell_date, sum(pnl) AS dp FROM m_ledger GROUP BY config, sell_date)
+    UNION ALL SELECT config, (SELECT min(date) FROM m_bp), 50000.0::DOUBLE FROM (VALUES {', '.join(f"('{c.id}')" for c in CONFIGS)}) c(config)""")
+def _(m):
+    """Balance at the end of each day with a sale, after a row that opens every configuration."""
+    days = L.daily_balance(ledger(m), ["config"]).select("config", F.col("sell_date").alias("date"), r6("balance", "balance", 2))
+    opening = panel(m).agg(F.min("date").alias("date")).select(
+        F.explode(F.array(*[F.lit(c.id) for c in CONFIGS])).alias("config"), "date", F.lit(S.START_BALANCE).cast("double").alias("balance"))
+    return days.unionByName(opening)
+
+
 @query("bkt_09", """SELECT q.config, q.leader, q.follower, q.lag_days, q.train_r, q.backtest_r, s.date AS signal_date, round((s.close / p.close - 1) * 100, 2) AS leader_return_pct,
        f.close AS follower_last_close FROM m_q q JOIN m_bp s ON s.symbol = q.leader AND s.t = (SELECT max(t) FROM m_bp) JOIN m_bp p ON p.symbol = q.leader AND p.t = s.t - 1
        LEFT JOIN m_bp f ON f.symbol = q.follower AND f.t = s.t WHERE s.close / p.close - 1 > 0""")
@@ -201,6 +217,28 @@ def _(m):
                     r6("max_drawdown_pct", "max_drawdown_pct", 5))
 
 
+_ALL = [c.id for c in (*CONFIGS, *B.FACTOR_CONFIGS)]
+
+
+@query("bkt_11_all", f"""
+    WITH t AS (SELECT config, count(DISTINCT (leader, follower)) AS n_traded, count(*) AS n_trades, sum(pnl) AS pnl, min(buy_date) AS first_buy, max(sell_date) AS last_sell
+               FROM m_ledger GROUP BY config UNION ALL
+               SELECT config, count(DISTINCT symbol), count(*), sum(pnl), min(buy_date), max(sell_date) FROM m_fledger GROUP BY config)
+    SELECT config, coalesce(n_traded, 0) AS n_traded, coalesce(n_trades, 0) AS n_trades, round(coalesce(pnl, 0), 4) AS pnl, first_buy, last_sell
+    FROM (VALUES {', '.join(f"('{c}')" for c in _ALL)}) c(config) LEFT JOIN t USING (config)""")
+def _(m):
+    """Both catalogues together, a row for each configuration; ``n_traded`` counts pairs or symbols."""
+    def totals(trades, *what):
+        return trades.groupBy("config").agg(
+            F.countDistinct(*what).alias("n_traded"), F.count(F.lit(1)).alias("n_trades"), F.sum("pnl").alias("pnl"),
+            F.min("buy_date").alias("first_buy"), F.max("sell_date").alias("last_sell"))
+
+    both_kinds = totals(ledger(m), "leader", "follower").unionByName(totals(factor_ledger(m), "symbol"))
+    names = m.panel.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, _ALL))).alias("config"))
+    return names.join(both_kinds, "config", "left").fillna(0, ["n_traded", "n_trades"]).fillna(0.0, ["pnl"]).select(
+        "config", "n_traded", "n_trades", r6("pnl", "pnl", 4), "first_buy", "last_sell")
+
+
 _GRID = dict(train_grid=(0.0, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.035, 0.04),
              backtest_grid=(-0.02, 0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07), lag_grid=B.LAG_GRID)
 
@@ -263,12 +301,15 @@ def _(m):
 
     Training signals stop two market days early, so that no outcome reaches past it.
     """
+    start = panel(m).agg(F.min("date")).scalar()
+    return training_ic(m).select("n", r6("ic_ir", "ic_ir"), B.fit_threshold(F.col("ic_ir")).alias("threshold"), (start >= F.lit(CUT)).alias("after_cut"))
+
+
+def training_ic(m):
     scores = G.volume_anomaly(features(m)).where((F.col("date") < "2000-06-28") & F.col("score").isNotNull()).withColumn("score", F.round("score", 8))
     fwd = m.panel.select("symbol", "date", "t", "valid", "close")
     with_fwd = fwd.withColumn("fwd1", F.round(_fwd1(), 9)).join(scores.select("symbol", "date", "score"), ["symbol", "date"], "left")
-    ic = X.ic_stats(X.ic_series(with_fwd, ["score"], "fwd1", 1, 8), "feature", "lag")
-    start = panel(m).agg(F.min("date")).scalar()
-    return ic.select("n", r6("ic_ir", "ic_ir"), B.fit_threshold(F.col("ic_ir")).alias("threshold"), (start >= F.lit(CUT)).alias("after_cut"))
+    return X.ic_stats(X.ic_series(with_fwd, ["score"], "fwd1", 1, 8), "feature", "lag")
 
 
 def _fwd1():
@@ -300,6 +341,28 @@ def _(m):
     return row.select("n_triggers", r6("hit_rate", "hit_rate"), r6("sharpe", "sharpe", 5), r6("max_drawdown", "max_drawdown"), r6(p, "p_value"))
 
 
+def one_day(m):
+    return hits(m, (1,)).select("symbol", F.element_at("ahead", 1).alias("ret")).where(F.col("ret").isNotNull())
+
+
+@query("bkt_03_overfit", f"""SELECT round(ir, 6) AS train_ic_ir, round(hit, 6) AS hit_rate, coalesce(abs(ir) > 0.1 AND hit < 0.51, FALSE) AS overfit
+       FROM (SELECT avg(ic) / (stddev_samp(ic) + 1e-10) AS ir FROM ({_ICV})), (SELECT avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit FROM m_hits WHERE horizon = 1)""")
+def _(m):
+    """Whether a signal that was strong in training hits fewer than 51 % of days afterwards."""
+    hit = one_day(m).agg(F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)).alias("hit"))
+    row = training_ic(m).agg(F.max("ic_ir").alias("ir")).crossJoin(hit)  # a row on either side
+    return row.select(r6("ir", "train_ic_ir"), r6("hit", "hit_rate"), F.coalesce(
+        (F.abs("ir") > 0.1) & (F.col("hit") < 0.51), F.lit(False)).alias("overfit"))
+
+
+@query("bkt_03_industry", """SELECT industry, CAST(sum(n) AS BIGINT) AS n, round(avg(hit), 6) AS hit_rate, round(avg(mean), 6) AS mean_return
+       FROM (SELECT symbol, count(*) AS n, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit, avg(ret) AS mean FROM m_hits WHERE horizon = 1 GROUP BY symbol)
+       JOIN m_symbols USING (symbol) GROUP BY industry""")
+def _(m):
+    return industry_means(one_day(m), m.symbols, "ret").select(
+        "industry", "n", r6("hit_rate", "hit_rate"), r6("mean_return", "mean_return"))
+
+
 def additive_drawdown(rows):
     """Deepest fall of the running sum below its running maximum, in (symbol, date) order.
 
@@ -324,14 +387,41 @@ def additive_drawdown(rows):
     SELECT symbol, round(score, 4) AS score, entry_date, round(10000.0 * last / entry, 2) AS current_value, round((last / entry - 1) * 100, 2) AS pnl_pct FROM h JOIN top USING (symbol)""")
 def _(m):
     """Buy-and-hold book of the best eligible names at the cut."""
-    train = m.forecasts.where(F.col("date") < F.lit(CUT))
-    top = top_eligible(train, eligible(m.shorts.where(F.col("date") < F.lit(CUT))), 10)
-    series = holding_values(m, 10000.0).join(F.broadcast(top), "symbol").where(F.col("value").isNotNull())  # ten names
-    return series.groupBy("symbol", "score").agg(
+    return book(m).groupBy("symbol", "score").agg(
         F.min("date").alias("entry_date"), F.max_by("value", "date").alias("v")).select(
         "symbol", r6("score", "score", 4), "entry_date", r6("v", "current_value", 2), r6((F.col("v") / 10000.0 - 1) * 100, "pnl_pct", 2))
 
 
+def book(m):
+    """Daily value of each of the ten holdings, 10,000 at its entry."""
+    train = m.forecasts.where(F.col("date") < F.lit(CUT))
+    top = top_eligible(train, eligible(m.shorts.where(F.col("date") < F.lit(CUT))), 10)
+    return holding_values(m, 10000.0).join(F.broadcast(top), "symbol").where(F.col("value").isNotNull())  # ten names
+
+
+@query("bkt_13_total", f"""
+    WITH tr AS (SELECT * FROM m_forecasts WHERE date < {_CUT}), el AS (SELECT symbol FROM m_shorts WHERE date < {_CUT} GROUP BY symbol HAVING arg_max(short, date) >= 0.5),
+    top AS (SELECT symbol FROM tr WHERE date = (SELECT max(date) FROM tr) AND symbol IN (SELECT symbol FROM el) ORDER BY score DESC, symbol LIMIT 10),
+    g AS (SELECT c.date, top.symbol, b.close FROM (SELECT * FROM m_cal WHERE date >= {_CUT}) c CROSS JOIN top LEFT JOIN m_bp b ON b.symbol = top.symbol AND b.date = c.date),
+    v AS (SELECT date, symbol, 10000.0 * last_value(close IGNORE NULLS) OVER w / first_value(close IGNORE NULLS) OVER w AS value
+          FROM g WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
+    s AS (SELECT date, sum(value) AS total, 10000.0::DOUBLE * (SELECT count(DISTINCT symbol) FROM v WHERE value IS NOT NULL) AS invested FROM v GROUP BY date)
+    SELECT date, round(invested, 2) AS invested, round(total, 2) AS total, round((total / invested - 1) * 100, 2) AS pnl_pct,
+           round(invested * last_value(close IGNORE NULLS) OVER w / first_value(close IGNORE NULLS) OVER w, 2) AS benchmark
+    FROM s LEFT JOIN m_index USING (date) WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)""")
+def _(m):
+    """The book's total on each market day beside the index, scaled to the sum invested."""
+    each = cut_lineage(book(m).select("symbol", "date", "value"))
+    invested = each.agg(F.countDistinct("symbol") * F.lit(10000.0)).scalar()
+    days = m.calendar.where(F.col("date") >= F.lit(CUT)).select("date")
+    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # bounded: calendar days
+    rows = days.join(each.groupBy("date").agg(F.sum("value").alias("total")), "date", "left").join(
+        m.index.select("date", "close"), "date", "left").withColumn("invested", invested).where("invested > 0")
+    return rows.select(
+        "date", r6("invested", "invested", 2), r6("total", "total", 2), r6((F.col("total") / F.col("invested") - 1) * 100, "pnl_pct", 2),
+        r6(F.col("invested") * F.last("close", True).over(w) / F.first("close", True).over(w), "benchmark", 2))
+
+
 _SIZES = (1, 3, 5, 10, 20, 50)
 _COST = 0.012
 _PORT = f"""

@@ -27,6 +27,25 @@ def test_matches_sql(spark, con, name):
     assert ok, note
 
 
+@pytest.mark.parametrize("name", ["bkt_03_industry", "bkt_03_overfit", "bkt_08_series", "bkt_11_all", "bkt_13_total"])
+def test_whole_evaluations_match_sql(spark, con, name):
+    from barograph import catalog
+
+    ok, note, _ = compare(spark, con, catalog.queries()[name], catalog.oracle_sql()[name], FOLDER)
+    assert ok, note
+
+
+def test_all_configurations_have_a_row(spark):
+    from barograph import catalog
+    from barograph.catalog.ledgers import CONFIGS
+    from barograph.plans import backtests as B
+
+    assert [c.id for c in CONFIGS] == [c.id for c in B.PAIR_CONFIGS]
+    assert [(c.no_overlap, c.dedup) for c in CONFIGS] == [(c.no_overlap, c.dedup) for c in B.PAIR_CONFIGS]
+    got = catalog.queries()["bkt_11_all"](spark, FOLDER).collect()
+    assert {r["config"] for r in got} == {c.id for c in (*B.PAIR_CONFIGS, *B.FACTOR_CONFIGS)} and len(got) == 21
+
+
 def test_every_query_has_sql_or_reason():
     from barograph import catalog
 
