@@ -45,6 +45,11 @@ def _held(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], name[new]
 
 
+def _flat(held: pd.Series) -> np.ndarray:
+    """All fingerprints in a row; empty arrays reach pandas as floats, which must not round the others."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.asarray(w, np.int64) for w in held)])
+
+
 def logistic(row: np.ndarray, col: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, ridge: float = 1e-4,
              steps: int = 200) -> np.ndarray:
     """Weights [words, dense columns, constant] of a ridge logistic regression, by accelerated descent."""
@@ -131,8 +136,7 @@ def chain(docs: DataFrame, labels: DataFrame, rows: int = 20_000, telling: int =
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at:at + 2000]
-                flat = np.concatenate(list(part["words"])) if len(part) else np.zeros(0, np.int64)
-                names, where = np.unique(flat, return_inverse=True)
+                names, where = np.unique(_flat(part["words"]), return_inverse=True)
                 of = np.repeat(part["label"].to_numpy(np.int64), [len(w) for w in part["words"]])
                 yield pd.DataFrame({"word": names, "t": np.bincount(where, of, len(names)).astype(np.int64),
                                     "n": np.bincount(where, minlength=len(names)).astype(np.int64)})
@@ -154,7 +158,7 @@ def chain(docs: DataFrame, labels: DataFrame, rows: int = 20_000, telling: int =
         return doc[hit], at[hit]
 
     doc = np.repeat(np.arange(len(held)), [len(w) for w in held["words"]]).astype(np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *held["words"]]).astype(np.int64).view(np.uint64)
+    flat = _flat(held["words"]).view(np.uint64)
     row, col = columns(doc, flat)
     toxic = held["label"].to_numpy(int)
     targets = np.stack([*(toxic * (np.bincount(doc, np.isin(flat, lex), len(held)) > 0) for lex in lexicon), toxic], 1)

@@ -292,11 +292,14 @@ def test_quality(tables, docs, nothing):
     assert quality.score(nothing, labels.where("false")).count() == 0
 
 
-def test_toxicity(tables, docs, nothing):
-    documents, labels = tables
-    got = toxicity.chain(documents, labels).toPandas().merge(labels.toPandas(), on="doc_id")
+def test_toxicity(spark, tables, docs, nothing):
+    labels = tables[1]
+    larger = [spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels")]
+    got = toxicity.chain(*larger).toPandas().merge(larger[1].toPandas(), on="doc_id")
     held = got[got["held_out"]]
-    assert (held["predicted"] == held["toxic"]).mean() > 0.93 and ((held["predicted"] == 1) & (held["toxic"] == 0)).mean() < 0.02
+    assert ((held["predicted"] == 1) & (held["toxic"] == 0)).mean() < 0.02
+    assert (held["predicted"] == 1)[held["toxic"] == 1].mean() >= 0.8
+    assert got["p_insult"].max() > 0.5 and got["p_contempt"].max() > 0.5  # categories with examples are predicted
     odd = toxicity.chain(docs, labels.where("false")).toPandas()
     assert len(odd) == docs.count() and (odd["predicted"] == 0).all()
     assert toxicity.chain(nothing, labels).count() == 0
