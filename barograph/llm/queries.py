@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barograph.llm import decontamination, jaccard, lm, neighbours, packing, quality, sharding, substrings, toxicity
+from barograph.llm import (
+    centroids, decontamination, jaccard, lm, negatives, neighbours, packing, quality, setsketch, sharding, substrings, toxicity)
 from barograph.llm.common import table
 
 
@@ -50,9 +51,21 @@ def op10_column_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_coordinate_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_equal_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.classes(table(spark, sf_dir, "documents"), size=5, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_spaced_seeds, op2_boosted_trees, op3_pivot_regions, op4_classifier_chain, op5_suffix_array, op6_sampled_splitters, op7_posting_lists, op8_suffix_tree, op9_deleted_interpolation,
-                                     op10_column_generation)}
+                                     op10_column_generation, op11_coordinate_pruning, op12_equal_average, op13_setsketch)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -199,7 +199,7 @@ def test_neighbours(spark):
         d = np.sqrt(((x - x[q])**2).sum(1))
         d[q] = np.inf
         best = np.lexsort((np.arange(1200), d))[:10]
-        assert list(part["rank"]) == list(range(1, 11)) and np.allclose(part["score"], d[part["vec_id"]])
+        assert list(part["rank"]) == list(range(1, 14)) and np.allclose(part["score"], d[part["vec_id"]])
         hit += len(set(best) & set(part["vec_id"]))
     assert hit >= 0.9 * 120
     few = neighbours.nearest(frame.where("vec_id < 4")).toPandas().sort_values("rank")
@@ -324,4 +324,4 @@ def test_pipeline_order_and_effect(spark):
 
 def test_registered_names():
     from barograph.llm import queries
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
