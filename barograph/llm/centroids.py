@@ -115,7 +115,8 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dim: int = 64, sca
                 for j in np.unique(which):
                     total[j] += x[which == j].sum(0)
         some = np.flatnonzero(count)
-        yield pd.DataFrame({"cluster": some, "n": count[some], "total": list(total[some])})
+        if len(some):
+            yield pd.DataFrame({"cluster": some, "n": count[some], "total": list(total[some])})
 
     for _ in range(rounds if len(c) else 0):
         wide = F.sum("n").cast("decimal(38,0)").alias("n"), *[
