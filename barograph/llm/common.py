@@ -340,13 +340,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable over ``edges`` (a, b); linked ids only.
 
     Large-star and small-star steps in turn, each one grouping by id, until nothing moves.
+    The smallest neighbours are written before they are joined back, so that both sides of
+    the join are dealt anew and Spark can split the edges of a hub over several tasks.
     """
     a, b = F.col("a"), F.col("b")
     pairs = keep(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
     before = None
     while True:
         both = pairs.union(pairs.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))

@@ -84,6 +84,23 @@ def test_jaccard(docs, local, nothing, region_rows):
     assert jaccard.classes(nothing).count() == 0
 
 
+def test_jaccard_links_through_rows_without_an_id(spark):
+    words = [f"w{k}" for k in range(110)]
+    big = 2**53 + 1
+    texts = [" ".join(words[a:a + 100]) for a in (0, 4, 8)]
+    rows = [(big, texts[0]), (None, texts[1]), (None, texts[1]), (big + 2, texts[2]), (None, "alone " * 30), (big + 4, "")]
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == sorted(
+        [(str(big), str(big)), (str(big + 2), str(big)), (str(big + 4), str(big + 4)), ("None", str(big)), ("None", str(big)), ("None", "None")])
+
+
+def test_first_window():
+    for size in range(1, 60):
+        for percent in (50, 80, 85, 99, 100):
+            share = -(-size * percent // 100)
+            assert jaccard.first_window(size, percent) == size - share + 1
+
+
 def test_packed_counts():
     rng = np.random.default_rng(2)
     rows = [rng.integers(0, top, jaccard.SKETCH) for top in (1, 2, 16, 17, 256, 257, 70_000, 3)]
