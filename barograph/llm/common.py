@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20  # of text tokenised at once: the arrays made of it take some fifty times as much
 KEYS_PER_BUCKET = 1_500_000
 
 
@@ -66,7 +67,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
-def slices(batch: pd.DataFrame, most: int = CHUNK_BYTES) -> Iterator[pd.DataFrame]:
+def slices(batch: pd.DataFrame, most: int = SLICE_BYTES) -> Iterator[pd.DataFrame]:
     """Consecutive parts of a batch of about ``most`` characters of text each."""
     size = np.cumsum([len(t) + 64 if isinstance(t, str) else 64 for t in batch["text"]])
     if len(size):
