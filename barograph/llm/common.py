@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 20  # of text tokenised at once: the arrays made of it take some fifty times as much
 KEYS_PER_BUCKET = 1_500_000
+BATCH_ROWS = 1000
 
 
 def folder(spark: SparkSession) -> str:
@@ -33,10 +34,19 @@ def folder(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back; cuts the lineage."""
-    path = f"{folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder once and read it back; cuts the lineage.
+
+    Meanwhile texts travel to Python in batches of BATCH_ROWS rows, as long ones would fill a
+    worker many at a time.
+    """
+    spark, size = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = f"{folder(spark)}/llm-{uuid.uuid4().hex}", spark.conf.get(size)
+    spark.conf.set(size, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(size, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, rows: int, folds: int, fold: int) -> DataFrame:
