@@ -141,8 +141,8 @@ def chain(docs: DataFrame, labels: DataFrame, rows: int = 20_000, telling: int =
                 yield pd.DataFrame({"word": names, "t": np.bincount(where, of, len(names)).astype(np.int64),
                                     "n": np.bincount(where, minlength=len(names)).astype(np.int64)})
 
-    word = sample.mapInPandas(count, "word long, t long, n long").groupBy("word").agg(
-        F.sum("t").alias("t"), F.sum("n").alias("n"))
+    word = keep(sample.mapInPandas(count, "word long, t long, n long").groupBy("word").agg(
+        F.sum("t").alias("t"), F.sum("n").alias("n")))
     share = F.col("n") / max(size[0], 1)
     apart = F.abs(F.col("t") / max(positive, 1) - (F.col("n") - F.col("t")) / max(negative, 1))
     z = apart / F.sqrt(share * (1 - share) + F.lit(0.5 / max(size[0], 1)))
