@@ -71,7 +71,7 @@ view("m_breaks", "SELECT " + ", ".join(
 
 def breakpoints(m):
     means = m.option_bars.groupBy("symbol").agg(F.avg("close").alias("adv")).where(F.col("adv") > 0)
-    return value_at_shares(means, "adv", ["symbol"], SHARES)
+    return value_at_shares(means, "adv", SHARES)
 
 
 @query("agg_06", "SELECT round(p60, 4) AS p60, round(p70, 4) AS p70, round(p80, 4) AS p80, round(p90, 4) AS p90 FROM m_breaks")

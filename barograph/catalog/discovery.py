@@ -87,19 +87,38 @@ _P = "SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN least(value / 1000, 1.0
 def _(m):
     p = F.when(F.col("event_id") % 11 != 0, F.least(F.col("value") / 1000, F.lit(1.0)) * (F.col("event_id") % 97) / 97)
     tests = m.table("events").select("event_id", p.alias("p"))
-    return adjust_fdr(tests, "p", spread=["event_id"]).select(
+    return adjust_fdr(tests, "p").select(
         "event_id", r6("p", "p", 9), r6("fdr_p", "fdr_p", 9), (F.col("fdr_p") <= 0.05).alias("reject"))
 
 
 def factors(m, k=5):
-    names = [r["symbol"] for r in m.nations.select(F.col("n_name").alias("symbol")).orderBy("symbol").collect()]  # 25 names
-    return X.principal_factors(R.with_step_features(m.panel), names, k)
-
-
-@query("dis_05")
+    return X.principal_factors(R.with_step_features(m.panel), m.nations.select(F.col("n_name").alias("symbol")), k)
+
+
+# The covariance as a list of rows, squared twenty times per factor: its leading direction is what is left.
+view("m_cov", """
+    WITH g AS (SELECT n_name AS symbol FROM nation), n AS (SELECT count(DISTINCT date) AS n FROM m_feat),
+    x AS (SELECT symbol, date, returns AS x FROM m_feat WHERE returns IS NOT NULL),
+    mu AS (SELECT g.symbol, coalesce(sum(x), 0.0) / any_value(n) AS mu FROM g CROSS JOIN n LEFT JOIN x USING (symbol) GROUP BY g.symbol),
+    c AS (SELECT a.symbol AS a, b.symbol AS b, sum(a.x * b.x) AS s FROM x a JOIN x b USING (date) GROUP BY 1, 2)
+    SELECT a.symbol, list((coalesce(s, 0.0) - n * a.mu * b.mu) / (n - 1) ORDER BY b.symbol) AS row
+    FROM mu a CROSS JOIN mu b CROSS JOIN n LEFT JOIN c ON c.a = a.symbol AND c.b = b.symbol GROUP BY a.symbol""")
+_SQUARED = "list_transform(m, lambda r: list_transform(m, lambda q: list_dot_product(r, q) / list_sum(list_transform(m, lambda u: list_dot_product(u, u)))))"
+_FACTORS = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT list(symbol ORDER BY symbol) AS names, list(row ORDER BY symbol) AS c FROM m_cov),
+    w AS (SELECT 0 AS step, 1 AS factor, c AS left_over, c AS m, NULL::DOUBLE[] AS v, NULL::DOUBLE AS root FROM c UNION ALL
+      SELECT step + 1, CASE WHEN step % 22 = 21 THEN factor + 1 ELSE factor END,
+        CASE WHEN step % 22 = 21 THEN list_transform(left_over, lambda r, i: list_transform(r, lambda y, j: y - root * v[i] * v[j])) ELSE left_over END,
+        CASE WHEN step % 22 < 20 THEN {_SQUARED} WHEN step % 22 = 21 THEN list_transform(left_over, lambda r, i: list_transform(r, lambda y, j: y - root * v[i] * v[j])) ELSE m END,
+        CASE WHEN step % 22 = 20 THEN u ELSE v END, CASE WHEN step % 22 = 20 THEN list_dot_product(u, list_transform(left_over, lambda r: list_dot_product(r, u))) ELSE root END
+      FROM (SELECT *, list_transform(p, lambda y: y * sign(p[list_position(list_transform(p, lambda z: abs(z)), list_max(list_transform(p, lambda z: abs(z))))]) / sqrt(list_dot_product(p, p))) AS u
+            FROM (SELECT *, m[list_position(list_transform(m, lambda r, i: r[i]), list_max(list_transform(m, lambda r, i: r[i])))] AS p FROM w)) WHERE step < 109)
+    SELECT unnest(names) AS symbol, factor, unnest(v) AS loading, root / total AS explained FROM w, c, (SELECT list_sum(list_transform(c, lambda r, i: r[i])) AS total FROM c) WHERE step % 22 = 21"""
+
+
+@query("dis_05", f"WITH f AS ({_FACTORS}) SELECT symbol, CAST(factor AS INTEGER) AS factor, round(loading, 5) AS loading, round(explained, 6) AS explained FROM f")
 def _(m):
-    _, _, explained, loadings = factors(m)
-    return loadings.join(explained, "factor").select("symbol", "factor", r6("loading", "loading"), r6("explained", "explained"))
+    _, explained, loadings, _ = factors(m)
+    return loadings.join(explained, "factor").select("symbol", "factor", r6("loading", "loading", 5), r6("explained", "explained"))
 
 
 _GRID05 = """SELECT n_name AS symbol, coalesce((s2 - s1 * s1 / n) / (n - 1), 0.0) AS v FROM nation
@@ -109,19 +128,20 @@ _GRID05 = """SELECT n_name AS symbol, coalesce((s2 - s1 * s1 / n) / (n - 1), 0.0
 @query("dis_05_shares", f"SELECT symbol, round(v / sum(v) OVER (), 6) AS share FROM ({_GRID05})")
 def _(m):
     """With all factors, explained shares times squared loadings add up to each symbol's share of the variance."""
-    _, _, explained, loadings = factors(m, 25)
+    _, explained, loadings, _ = factors(m, 25)
     return loadings.join(explained, "factor").groupBy("symbol").agg(r6(F.sum(F.col("explained") * F.col("loading") ** 2), "share"))
 
 
 @query("dis_05_dates", "SELECT date, round(sum(coalesce(returns * returns, 0.0)), 6) AS energy FROM m_feat GROUP BY date")
 def _(m):
     """With all factors, a date's squared components add up to its squared returns."""
-    return factors(m, 25)[1].groupBy("date").agg(r6(F.sum(F.col("score") ** 2), "energy"))
+    return factors(m, 25)[0].groupBy("date").agg(r6(F.sum(F.col("score") ** 2), "energy"))
 
 
-@query("agg_17")
+@query("agg_17", f"""WITH f AS ({_FACTORS}) SELECT industry, round(avg(abs(loading)), 6) AS mean_abs FROM f JOIN m_symbols USING (symbol) WHERE factor = 1
+       GROUP BY industry ORDER BY mean_abs DESC, industry LIMIT 5""")
 def _(m):
-    return X.industry_loadings(factors(m)[3], m.symbols).select("industry", r6("mean_abs", "mean_abs"))
+    return X.industry_loadings(factors(m)[2], m.symbols).select("industry", r6("mean_abs", "mean_abs"))
 
 
 @query("top_07", "SELECT feature, lag FROM m_sweep WHERE fdr_p <= 0.2 ORDER BY abs(ic_ir) DESC, feature, lag LIMIT 20")

@@ -168,19 +168,19 @@ _SHORTV = f"""SELECT b.symbol, b.date, {tail_sql('s.short', 25, 20).replace('PAR
               FROM m_bars b LEFT JOIN m_shorts s ON s.symbol = b.symbol AND s.date = b.date"""
 
 
-def short_tail(m):
-    return m.bars.select("symbol", "date").join(m.shorts, ["symbol", "date"], "left").withColumn(
-        "v", R.tail_values("short", 25, 20))
+def short_tail(m, kind):
+    rows = m.bars.select("symbol", "date").join(m.shorts, ["symbol", "date"], "left")
+    return R.with_tails(rows, {"v": (kind, "short", 25, 20)})
 
 
 @query("win_14", f"SELECT symbol, date, round({tail_z_sql('v')}, 5) AS z FROM ({_SHORTV})")
 def _(m):
-    return short_tail(m).select("symbol", "date", r6(R.tail_zscore(F.col("v")), "z", 5))
+    return short_tail(m, "zscore").select("symbol", "date", r6("v", "z", 5))
 
 
 @query("win_15", f"SELECT symbol, date, round({tail_slope_sql('v')}, 6) AS slope FROM ({_SHORTV})")
 def _(m):
-    return short_tail(m).select("symbol", "date", r6(R.tail_slope(F.col("v")), "slope"))
+    return short_tail(m, "slope").select("symbol", "date", r6("v", "slope"))
 
 
 @query("win_16", """SELECT a.symbol, a.date, round(b.close / greatest(a.close, 1e-8) - 1, 6) AS fwd

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,33 +14,84 @@ from barograph.operators.ranking import running_total_by_day
 from barograph.session import cut_lineage
 
 
-def non_overlapping(candidates: DataFrame, key: list[str], begin: str, end: str, order: list[str]) -> DataFrame:
+SPAN = 1024  # slots of one chunk
+
+
+def _exits(span: int):
+    """Per chunk: its slots and, for a walk that enters at each of them, until when it is busy on leaving."""
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("b")
+        begin, until = pdf["b"].to_numpy(np.int64), pdf["u"].to_numpy(np.int64)
+        follow = np.maximum(np.searchsorted(begin, until), np.arange(1, len(begin) + 1))
+        busy = until.copy()
+        for i in range(len(begin) - 1, -1, -1):
+            if follow[i] < len(begin):
+                busy[i] = busy[follow[i]]
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "begins": [begin], "untils": [until], "exits": [busy]})
+
+    return kernel
+
+
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chunks of a key in order: only the busy time passes from one to the next."""
+    key, busy = None, 0
+    for batch in batches:
+        entered = []
+        for k, begins, exits in zip(batch["k"], batch["begins"], batch["exits"], strict=True):
+            if k != key:
+                key, busy = k, begins[0]
+            entered.append(busy)
+            at = np.searchsorted(begins, busy)
+            if at < len(begins):
+                busy = max(busy, exits[at])
+        yield batch[["k", "chunk", "begins", "untils"]].assign(busy=np.array(entered, np.int64))
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for k, begins, untils, busy in zip(batch["k"], batch["begins"], batch["untils"], batch["busy"], strict=True):
+            taken, at = [], int(np.searchsorted(begins, busy))
+            while at < len(begins):
+                taken.append(begins[at])
+                at = max(at + 1, int(np.searchsorted(begins, untils[at])))
+            yield pd.DataFrame({"k": k, "b": np.array(taken, np.int64)})
+
+
+def accepted_slots(slots: DataFrame, key: list[str], begin: str, until: str, span: int = SPAN) -> DataFrame:
+    """(key, begin) of the slots a greedy walk takes: the first, then always the next that begins when the last is over.
+
+    ``slots`` has one row per key and ``begin``. A key's time is cut into chunks of ``span``, so
+    that a hot key is many tasks' work: each chunk finds, by pointers from its last slot
+    backwards, when a walk entering at any slot leaves it. One pass over the chunks of a key
+    hands the busy time on, and every chunk then walks from the entry it was given.
+    """
+    name = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})
+    rows = slots.select(name.alias("k"), F.floor(F.col(begin) / span).cast("long").alias("chunk"), F.col(begin).cast("long").alias("b"),
+                        F.col(until).cast("long").alias("u"))
+    chunk = "k string, chunk long, begins array<long>, untils array<long>"
+    chunks = rows.groupBy("k", "chunk").applyInPandas(_exits(span), f"{chunk}, exits array<long>")
+    entered = chunks.repartition("k").sortWithinPartitions("k", "chunk").mapInPandas(_entries, f"{chunk}, busy long")
+    taken = entered.repartition("k", "chunk").mapInPandas(_walk, "k string, b long").toDF("_name", "_begin")
+    named = slots.select(*key, begin, name.alias("_named"))
+    return named.join(taken, (F.col("_name") == F.col("_named")) & (F.col("_begin") == F.col(begin))).select(*key, begin)
+
+
+def non_overlapping(candidates: DataFrame, key: list[str], begin: str, end: str, order: list[str], span: int = SPAN) -> DataFrame:
     """Greedy selection per key: a candidate is taken when ``begin >= busy``; ``busy`` then
     becomes its ``end``. Candidates of one key are visited by (begin, order).
 
     The visit is sequential only between *different* begins. Inside one begin the taken
     candidates are those up to and including the first that lasts beyond the begin, which
-    is a map-side minimum. So each key contributes one short record per calendar slot
-    (bounded by the calendar, however many candidates share it), the fold runs over those,
-    and the taken candidates are found by an equi-join.
+    is a map-side minimum. So each key contributes one short record per slot however many
+    candidates share it, ``accepted_slots`` walks those, and the taken candidates are found
+    by an equi-join.
     """
     candidates = cut_lineage(candidates)  # read twice: for the slots and for the final join
     position = F.struct(*order)
     lasting = F.when(F.col(end) > F.col(begin), position)
     slots = candidates.groupBy(*key, begin).agg(
         F.min(lasting).alias("_stop"), F.coalesce(F.min_by(end, lasting), F.first(begin)).alias("_until"))
-    record = F.struct(F.col(begin).alias("b"), F.col("_until").alias("u"))
-    runs = slots.groupBy(*key).agg(F.sort_array(F.collect_list(record)).alias("_slots"))
-    start = F.struct(F.lit(-1).cast("long").alias("busy"), F.array().cast("array<bigint>").alias("taken"))
-
-    def visit(acc, slot):
-        free = slot["b"] >= acc["busy"]
-        return F.when(free, F.struct(
-            F.greatest(acc["busy"], slot["u"]).alias("busy"),
-            F.concat(acc["taken"], F.array(slot["b"])).alias("taken"))).otherwise(acc)
-
-    taken = runs.select(*key, F.explode(F.aggregate("_slots", start, visit, lambda acc: acc["taken"])).alias(begin))
-    open_slots = taken.join(slots.select(*key, begin, "_stop"), [*key, begin])
+    open_slots = accepted_slots(slots, key, begin, "_until", span).join(slots.select(*key, begin, "_stop"), [*key, begin])
     return candidates.join(open_slots, [*key, begin]).where(
         F.col("_stop").isNull() | (position <= F.col("_stop"))).drop("_stop")
 

@@ -139,30 +139,41 @@ def historical_volatility(ret: str, rows=30, least=20, by="symbol", order="date"
                   F.stddev_samp(ret).over(w) * (252 ** 0.5))
 
 
-# --- statistics of the last values of a short bounded history ----------------------------
-
-def tail_values(x: Column | str, history: int, keep: int, by="symbol", order="date") -> Column:
-    """Last ``keep`` non-null values among the symbol's last ``history`` rows (bounded)."""
-    values = F.collect_list(as_column(x)).over(last_rows(history, by, order))
-    return F.slice(values, F.greatest(F.size(values) - keep + 1, F.lit(1)), F.lit(keep))
-
-
-def tail_zscore(values: Column) -> Column:
-    """Population z-score of the last element; null below two values or at zero variance."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-    variance = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n
-    return F.when((n >= 2) & (variance > 0), (F.element_at(values, -1) - mean) / F.sqrt(variance))
-
-
-def tail_slope(values: Column) -> Column:
-    """OLS slope of the elements against 0..n-1; null below two values."""
-    n = F.size(values).cast("double")
-    sum_y = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-    sum_xy = F.aggregate(F.transform(values, lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v)
-    sum_x = n * (n - 1) / 2
-    spread = n * (n * (n - 1) * (2 * n - 1) / 6) - sum_x * sum_x
-    return F.when(n >= 2, F.try_divide(n * sum_xy - sum_x * sum_y, spread))
+# --- statistics of the last non-null values of a bounded history --------------------------
+
+def with_tails(df: DataFrame, wanted: dict[str, tuple[str, str, int, int]], by="symbol", order="date") -> DataFrame:
+    """Adds ``out: (kind, column, history, keep)`` over the last ``keep`` non-null values of the last ``history`` rows.
+
+    ``zscore``: population z-score of the last such value, null below two values or without
+    spread. ``slope``: OLS slope against 0, 1, ..., null below two values.
+
+    Counting a column's non-null rows numbers them, and a null row carries the number of the one
+    before it. So "the last ``keep`` values" is a RANGE frame over that number, as long as the
+    history holds that many; where it holds fewer, all of them count and the history's ROWS
+    frame serves. Nothing is collected, and one exchange by ``by`` serves all columns.
+    """
+    number = {c: f"_k_{c}" for _, c, _, _ in wanted.values()}
+    upto = series(by, order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumns({k: F.count(c).over(upto).cast("double") for c, k in number.items()})
+    kinds = {"zscore": _tail_zscore, "slope": _tail_slope}
+    return rows.withColumns({
+        out: kinds[kind](F.col(c), F.col(number[c]), last_rows(history, by, order),
+                         Window.partitionBy(by).orderBy(number[c]).rangeBetween(-(keep - 1), 0), keep)
+        for out, (kind, c, history, keep) in wanted.items()}).drop(*number.values())
+
+
+def _tail(agg: Column, x: Column, near, kept, keep: int) -> Column:
+    return F.when(F.count(x).over(near) < keep, agg.over(near)).otherwise(agg.over(kept))
+
+
+def _tail_zscore(x: Column, k: Column, near, kept, keep: int) -> Column:
+    spread = _tail(F.stddev_pop(x), x, near, kept, keep)
+    last = F.last(x, ignorenulls=True).over(near)
+    return F.when((F.count(x).over(near) >= 2) & (spread > 0), (last - _tail(F.avg(x), x, near, kept, keep)) / spread)
+
+
+def _tail_slope(x: Column, k: Column, near, kept, keep: int) -> Column:
+    return F.when(F.count(x).over(near) >= 2, _tail(F.regr_slope(x, k), x, near, kept, keep))
 
 
 # --- running extremes --------------------------------------------------------------------

@@ -88,7 +88,7 @@ def run(records: DataFrame, symbols: DataFrame, caps: DataFrame, least: int = MI
     tested = symbol_correlations(records, least).join(universe, "symbol")
     with_cap = tested.join(caps, "symbol", "left").withColumn(
         "direction", F.when(F.col("r") >= 0, "positive").otherwise("negative"))
-    return adjust_fdr(with_cap, "p_value", spread=["symbol"])
+    return adjust_fdr(with_cap, "p_value")
 
 
 def window_returns(symbol_years: DataFrame, records: DataFrame, closes: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def window_run(window_rows: DataFrame, symbols: DataFrame, caps: DataFrame, leas
     tested = _correlate(long, ["symbol", "window"], "q13_return", "window_return", least)
     joined = tested.join(universe, "symbol").join(caps, "symbol", "left").withColumn(
         "direction", F.when(F.col("r") >= 0, "positive").otherwise("negative"))
-    return adjust_fdr(joined, "p_value", ["window"], spread=["symbol"])
+    return adjust_fdr(joined, "p_value", ["window"])
 
 
 def window_definitions(results: DataFrame, alpha: float = ALPHA) -> DataFrame:

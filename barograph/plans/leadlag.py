@@ -135,8 +135,7 @@ def with_p(pairs: DataFrame) -> DataFrame:
 
 def tested(pairs: DataFrame, by: list[str]) -> DataFrame:
     """p and FDR over all ordered pairs without the self-pairs."""
-    return adjust_fdr(with_p(pairs.where(F.col("leader") != F.col("follower"))), "p_value", by,
-                      spread=["leader", "follower", "lag_days"])
+    return adjust_fdr(with_p(pairs.where(F.col("leader") != F.col("follower"))), "p_value", by)
 
 
 def significant(min_r: float, alpha: float) -> Column:

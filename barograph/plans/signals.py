@@ -102,18 +102,16 @@ def factor_bank(bars: DataFrame, shorts: DataFrame, fundamentals: DataFrame | No
         "ret": F.when((prev != 0) & (F.col("close") != 0), F.col("close") / prev - 1),
         "live_volume": F.when(F.col("volume") > 0, F.col("volume")),
     })
-    tails = rows.withColumns({
-        "_r": R.tail_values("ret", 24, 20), "_v20": R.tail_values("live_volume", 25, 20),
-        "_v5": R.tail_values("live_volume", 25, 5), "_s": R.tail_values("short", 25, 20),
-    })
+    tails = R.with_tails(rows, {
+        "returns_z20": ("zscore", "ret", 24, 20), "volume_z20": ("zscore", "live_volume", 25, 20),
+        "volume_z5": ("zscore", "live_volume", 25, 5), "short_z20": ("zscore", "short", 25, 20),
+        "returns_slope20": ("slope", "ret", 24, 20), "short_slope20": ("slope", "short", 25, 20)})
     bank = tails.select(
         "symbol", "date", F.col("short").alias("short_pct"),
         F.when(F.col("close") != 0, (F.col("high") - F.col("low")) / F.col("close")).alias("hl_spread"),
         F.when(F.col("prev") != 0, F.col("open") / F.col("prev") - 1).alias("gap"),
         F.when(F.col("prev") != 0, F.col("close") / F.col("prev") - 1).alias("returns_1d"),
-        R.tail_zscore(F.col("_r")).alias("returns_z20"), R.tail_zscore(F.col("_v20")).alias("volume_z20"),
-        R.tail_zscore(F.col("_v5")).alias("volume_z5"), R.tail_zscore(F.col("_s")).alias("short_z20"),
-        R.tail_slope(F.col("_r")).alias("returns_slope20"), R.tail_slope(F.col("_s")).alias("short_slope20"))
+        "returns_z20", "volume_z20", "volume_z5", "short_z20", "returns_slope20", "short_slope20")
     if fundamentals is None:
         return bank
     extra = [c for c in fundamentals.columns if c not in ("symbol", "date")]

@@ -22,10 +22,15 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def read_or_build(spark: SparkSession, path: str, key: str, build) -> DataFrame:
-    """Panel cached under a run key; the key names split and newest date, so it never goes stale."""
+def read_or_build(spark: SparkSession, path: str, key: str, build, by: tuple[str, ...] = ()) -> DataFrame:
+    """Result cached under a run key; the key names split and newest date, so it never goes stale.
+
+    ``by`` partitions the stored table, so that a lookup on these columns reads only their files.
+    """
     target = f"{path}/run={key}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        build().write.mode("overwrite").parquet(target)
+        rows = build()
+        rows = rows.repartition(*by) if by else rows
+        rows.write.mode("overwrite").partitionBy(*by).parquet(target)
     return spark.read.parquet(target)

@@ -134,3 +134,37 @@ def test_upsert_sink_survives_replay(spark, tmp_path):
     for batch_id, rows in ((0, [(1, 1.0), (2, 1.0), (1, 0.5)]), (1, [(2, 5.0)]), (1, [(2, 6.0)])):
         write(spark.createDataFrame(rows, "key int, v double"), batch_id)
     assert {(r.key, r.v) for r in jobs.current(spark.read.parquet(path), ["key"]).collect()} == {(1, 1.0), (2, 6.0)}
+
+
+def test_archives_are_opened_in_tasks(spark, tmp_path):
+    import io
+    import zipfile
+
+    from barograph.sources import archives
+
+    def packed(members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in members.items():
+                z.writestr(name, text)
+        return out.getvalue()
+
+    long = "".join(f"line {k}\n" for k in range(5000))
+    good = packed({"a.csv": "x,1\r\ny,2\n", "dir/": "", "dir/b.csv": long, "empty.csv": "", "last.csv": "no newline"})
+    torn = bytearray(packed({"c.csv": long * 3, "d.csv": "fine\n"}))
+    torn[200:260] = b"\0" * 60  # inside the first member's data
+    for name, content in (("one.zip", good), ("two.zip", bytes(torn)), ("bad.zip", b"no archive"), ("skip.txt", b"text")):
+        (tmp_path / name).write_bytes(content)
+    rows = archives.read_archives(spark, str(tmp_path), batch_bytes=4096).collect()
+    lines = {}
+    for r in sorted((r for r in rows if r.problem is None), key=lambda r: (r.archive, r.member, r.number)):
+        lines.setdefault((r.archive.rsplit("/", 1)[1], r.member), []).append(r.value)
+    assert lines["one.zip", "a.csv"] == ["x,1", "y,2"] and lines["one.zip", "last.csv"] == ["no newline"]
+    assert lines["one.zip", "dir/b.csv"] == long.splitlines() and lines["two.zip", "d.csv"] == ["fine"]
+    assert {(r.archive.rsplit("/", 1)[1], r.member) for r in rows if r.problem} == {("two.zip", "c.csv"), ("bad.zip", None)}
+    stored = str(tmp_path / "stored")
+    frame = spark.createDataFrame([("z", "m.csv", 2, "b"), ("z", "m.csv", 1, "a"), ("y", "n.csv", 1, "c")], "archive string, member string, number long, value string")
+    archives.write_archives(frame, stored)
+    again = archives.archive_lines(archives.stored_archives(spark, stored)).collect()
+    assert sorted((r.archive, r.member, r.number, r.value) for r in again) == [("y", "n.csv", 0, "c"), ("z", "m.csv", 0, "a"), ("z", "m.csv", 1, "b")]
+    assert archives.archive_lines(spark.createDataFrame([("n", None)], "path string, content binary")).count() == 0

@@ -64,7 +64,7 @@ def test_fdr_with_hot_value(spark):
     rng = np.random.default_rng(3)
     p = np.concatenate([rng.random(300) ** 4, np.ones(200), [0.0, 0.25, 0.25]])
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "i int, p double")
-    got = {r.i: r.fdr_p for r in adjust_fdr(df, "p", spread=["i"]).collect()}
+    got = {r.i: r.fdr_p for r in adjust_fdr(df, "p").collect()}
     assert np.allclose([got[i] for i in range(len(p))], bh(p), atol=1e-12)
     ordered = [got[i] for i in np.argsort(p, kind="stable")]
     assert all(a <= b + 1e-15 for a, b in zip(ordered, ordered[1:]))
@@ -76,7 +76,7 @@ def test_global_ranks(spark):
     ranked = {r.i: r["rank"] for r in with_global_rank(df, "v", ["i"]).collect()}
     expected = {i: k + 1 for k, (_, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))}
     assert ranked == expected
-    cuts = value_at_shares(df, "v", ["i"], {"p60": 0.6}).first()
+    cuts = value_at_shares(df, "v", {"p60": 0.6}).first()
     assert cuts.p60 == sorted(values)[int(200 * 0.6) - 1]
 
 
@@ -110,8 +110,73 @@ def test_non_overlapping(spark, seed):
     rows += [("hot", rng.randrange(20), 1000 + i, 0) for i in range(200)]
     rows = [(k, b, o, max(b, e)) for k, b, o, e in rows]
     df = spark.createDataFrame(rows, "k string, b bigint, o int, e bigint")
-    got = {(r.k, r.b, r.o) for r in ledger.non_overlapping(df, ["k"], "b", "e", ["o"]).collect()}
-    assert got == greedy(rows)
+    for span in (7, 1024):
+        got = {(r.k, r.b, r.o) for r in ledger.non_overlapping(df, ["k"], "b", "e", ["o"], span).collect()}
+        assert got == greedy(rows)
+
+
+def test_accepted_slots_of_a_hot_key(spark):
+    """One key with a million slots: chunks share the work, and the walk is the plain one."""
+    n = 1_000_000
+    rows = spark.range(n).select(F.lit("hot").alias("k"), F.col("id").alias("b"), (F.col("id") + F.pmod(F.xxhash64("id"), F.lit(40))).alias("u"))
+    got = {r.b for r in ledger.accepted_slots(rows, ["k"], "b", "u").select("b").toLocalIterator()}
+    until = np.array([r.u for r in rows.select("u").orderBy("b").toLocalIterator()])
+    at, want = 0, set()
+    while at < n:
+        want.add(at)
+        at = max(at + 1, int(until[at]))
+    assert got == want
+
+
+def test_tails_over_non_null_values(spark):
+    from barograph.operators.rolling import with_tails
+
+    rng = random.Random(6)
+    rows = [(k, t, None if rng.random() < rate else (5.0 if k == "flat" else rng.gauss(0, 1)))
+            for k, rate in (("a", 0.1), ("b", 0.6), ("c", 0.97), ("flat", 0.2)) for t in range(160)]
+    df = spark.createDataFrame(rows, "symbol string, date int, x double")
+    got = {(r.symbol, r.date): r for r in with_tails(df, {"z": ("zscore", "x", 25, 20), "z5": ("zscore", "x", 25, 5), "s": ("slope", "x", 25, 20)}).collect()}
+    for k in ("a", "b", "c", "flat"):
+        values = [v for name, _, v in rows if name == k]
+        for t in range(160):
+            held = [v for v in values[max(0, t - 24):t + 1] if v is not None]
+            for out, keep in (("z", 20), ("z5", 5), ("s", 20)):
+                v = np.array(held[-keep:])
+                if len(v) < 2 or (out != "s" and v.std() < 1e-12):
+                    want = None
+                else:
+                    want = (v[-1] - v.mean()) / v.std() if out != "s" else np.polyfit(np.arange(len(v)), v, 1)[0]
+                assert got[k, t][out] == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
+def test_ranges_follow_the_rows(spark):
+    """A value held by nine rows of ten costs one row, and a dense octave is cut like any other stretch."""
+    from barograph.operators.ranking import value_ranks
+
+    hot = spark.range(90_000).select(F.lit(1.5).alias("v"))
+    dense = spark.range(10_000).select((1 + F.col("id") / 1e7).alias("v"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # so few rows would else be one range
+    spark.conf.set(coalesce, "false")
+    try:
+        ranks = value_ranks(hot.unionByName(dense), ["v"]).collect()
+    finally:
+        spark.conf.unset(coalesce)
+    assert len(ranks) == 10_001
+    by = {}
+    for r in ranks:
+        by[r["_range"]] = by.get(r["_range"], 0) + 1
+    assert len(by) >= 4 and max(by.values()) < 0.5 * len(ranks)
+    at = {r["v"]: (r["_before"], r["_n"], r["_total"]) for r in ranks}
+    assert at[1.5] == (10_000, 90_000, 100_000) and at[1.0] == (0, 1, 100_000) and at[1 + 9_999 / 1e7] == (9_999, 1, 100_000)
+
+
+def test_ranks_of_nulls_and_groups(spark):
+    rows = [("g", 1, None), ("g", 2, 3.0), ("h", 3, -0.0), ("h", 4, 0.0), (None, 5, 2.0), (None, 6, 1.0)]
+    df = spark.createDataFrame(rows, "g string, i int, v double")
+    got = {r.i: r.a for r in with_average_rank(df, "v", ["g"], "a").collect()}
+    assert got == {1: 1.0, 2: 2.0, 3: 1.5, 4: 1.5, 5: 2.0, 6: 1.0}
+    fdr = {r.i: r.fdr_p for r in adjust_fdr(df.withColumn("v", F.col("v") / 10), "v", ["g"]).collect()}
+    assert fdr == pytest.approx({1: 1.0, 2: 0.6, 3: 0.0, 4: 0.0, 5: 0.2, 6: 0.2})
 
 
 def test_exercise_adjustment(spark):
@@ -137,6 +202,25 @@ def test_exercise_adjustment(spark):
     assert got["C"].note == "post 2:1 Split"
 
 
+def test_tails_agree_with_sums(spark):
+    """Binomial tails against exact sums; t tails against the binomial ones' relation by symmetry and known values."""
+    from math import comb
+
+    from barograph.functions.stats import binomial_tail, t_tail
+
+    pairs = [(k, n) for n in (1, 2, 7, 60, 300, 1000) for k in range(0, n + 2, max(1, n // 9))]
+    df = spark.createDataFrame(pairs, "k int, n int")
+    for r in df.withColumn("p", binomial_tail(F.col("k"), F.col("n"))).collect():
+        want = sum(comb(r.n, j) for j in range(max(r.k, 0), r.n + 1)) / 2**r.n
+        assert r.p == pytest.approx(want, rel=1e-10, abs=1e-300)
+    known = [(1.812461123, 10, 0.1), (2.228138852, 10, 0.05), (-1.959963985, 1e9, 0.05), (636.6192488, 1, 0.001), (3.390, 5000, 0.000704)]
+    t = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in known], "t double, n double, p double")
+    for r in t.withColumn("got", t_tail(F.col("t"), F.col("n"))).collect():
+        assert r.got == pytest.approx(r.p, rel=2e-3 if r.n == 5000 else 1e-6)
+    odd = spark.createDataFrame([(1.0, 0.0), (None, 3.0), (1.0, None), (1.0, -2.0)], "t double, n double")
+    assert [r.p for r in odd.select(t_tail(F.col("t"), F.col("n")).alias("p")).collect()] == [None] * 4
+
+
 def test_tails(spark):
     from barograph.functions.stats import binomial_tail, t_tail
 

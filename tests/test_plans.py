@@ -56,21 +56,30 @@ def test_stability_invariants(market):
         assert r.recency_score == sum(int(b) * 2 ** i for i, b in enumerate(r.stability))
 
 
-def test_principal_factors(spark):
+@pytest.mark.parametrize("n, k, spare", [(4, 4, 20), (30, 3, 6)])
+def test_principal_factors(spark, n, k, spare):
     rng = np.random.default_rng(2)
-    base = rng.normal(size=(80, 1)) @ rng.normal(size=(1, 4)) + 0.1 * rng.normal(size=(80, 4))
-    names = [f"S{i}" for i in range(4)]
-    rows = [(names[i], dt.date(2020, 1, 1) + dt.timedelta(d), float(base[d, i])) for d in range(80) for i in range(4)]
+    base = rng.normal(size=(80, 3)) * [3, 2, 1] @ rng.normal(size=(3, n)) + 0.1 * rng.normal(size=(80, n)) + 5
+    missing = rng.random(base.shape) < 0.05
+    base[missing] = 0.0  # a missing value counts as zero
+    base[:, n - 1] = 0.0  # and a symbol may have none at all
+    names = [f"S{i:02d}" for i in range(n)]
+    rows = [(names[i], dt.date(2020, 1, 1) + dt.timedelta(d), None if base[d, i] == 0 else float(base[d, i])) for d in range(80) for i in range(n)]
     panel = spark.createDataFrame(rows, "symbol string, date date, returns double")
-    _, _, explained, loadings = X.principal_factors(panel, names, 4)
+    scores, explained, loadings, off = X.principal_factors(panel, panel, k, spare=spare)
     values = [r.explained for r in explained.orderBy("factor").collect()]
-    s = np.linalg.svd(base - base.mean(0), compute_uv=False) ** 2
-    assert values == pytest.approx(list(s / s.sum()), abs=1e-9)
-    m = np.zeros((4, 4))
+    centred = base - base.mean(0)
+    s = np.linalg.svd(centred, compute_uv=False) ** 2
+    assert values == pytest.approx(list((s / s.sum())[:k]), abs=1e-9)
+    m = np.zeros((n, k))
     for r in loadings.collect():
         m[names.index(r.symbol), r.factor - 1] = r.loading
-    assert np.allclose(m.T @ m, np.eye(4), atol=1e-8)
-    assert all(m[abs(m[:, j]).argmax(), j] > 0 for j in range(4))
+    assert np.allclose(m.T @ m, np.eye(k), atol=1e-8) and all(m[abs(m[:, j]).argmax(), j] > 0 for j in range(k))
+    cov = centred.T @ centred / 79
+    assert np.allclose(cov @ m, m * np.diag(m.T @ cov @ m), atol=1e-5 * np.trace(cov)) and off.max() < 1e-4 * np.trace(cov)
+    got = {(r.date, r.factor): r.score for r in scores.collect()}
+    want = base @ m
+    assert all(got[dt.date(2020, 1, 1) + dt.timedelta(d), j + 1] == pytest.approx(want[d, j], abs=1e-8) for d in range(80) for j in range(k))
 
 
 def test_grid_sweep_equals_single_runs(spark):
