@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from barograph.llm import (
     centroids, decontamination, jaccard, lm, negatives, neighbours, packing, quality, setsketch, sharding, substrings, toxicity)
 from barograph.llm.common import table
+from barograph.llm.oracles import ORACLES
 
 
 def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
