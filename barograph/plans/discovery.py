@@ -154,12 +154,13 @@ def _turned(vectors: DataFrame, turn: np.ndarray) -> DataFrame:
 
 
 def principal_factors(panel: DataFrame, symbols: DataFrame, k: int, value: str = "returns", spare: int = 20,
-                      rounds: int = 60, tolerance: float = 1e-10):
+                      rounds: int = 60, tolerance: float = 1e-7):
     """Principal factors of the symbol x date matrix, missing values as zero, centred per symbol.
 
     Subspace iteration: min(symbols, ``k`` + ``spare``) vectors, one row of numbers per symbol,
     are multiplied by the covariance, made orthonormal, and turned to its axes, until the
-    first ``k`` leave a residual |C v - lambda v| below ``tolerance`` of the largest. Symbols
+    first ``k`` leave a residual |C v - lambda v| below ``tolerance`` of the largest (its square is a difference,
+    so that about 1e-8 is the least that can be told). Symbols
     and dates stay in Spark; the driver sees matrices of that small number of vectors.
     Returns (per-date components, explained ratios, per-symbol loadings, residuals).
     """
