@@ -66,7 +66,7 @@ def test_principal_factors(spark, n, k, spare):
     names = [f"S{i:02d}" for i in range(n)]
     rows = [(names[i], dt.date(2020, 1, 1) + dt.timedelta(d), None if base[d, i] == 0 else float(base[d, i])) for d in range(80) for i in range(n)]
     panel = spark.createDataFrame(rows, "symbol string, date date, returns double")
-    scores, explained, loadings, off = X.principal_factors(panel, panel, k, spare=spare)
+    scores, explained, loadings, off = X.principal_factors(panel, panel, k, spare=spare, rounds=6)
     values = [r.explained for r in explained.orderBy("factor").collect()]
     centred = base - base.mean(0)
     s = np.linalg.svd(centred, compute_uv=False) ** 2
