@@ -342,3 +342,23 @@ def test_pipeline_order_and_effect(spark):
 def test_registered_names():
     from barograph.llm import queries
     assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
+
+
+def test_region_of_short_sets_around_a_long_one():
+    """A long document in a region does not become its pivot, and its links stay whole."""
+    rng = np.random.default_rng(5)
+    long = np.sort(rng.choice(2**40, 20_000, replace=False).astype(np.uint64))
+    near = np.delete(long, [7, 99])
+    base = [np.sort(rng.choice(long, 60, replace=False)) for _ in range(150)]
+    sets = [long, *base, *[np.delete(b, 3) for b in base], near]
+    pivot = jaccard.small_pivot(sets)
+    assert len(sets[pivot]) <= 60
+    names = np.arange(len(sets))
+    links = jaccard.join_region(names, sets, pivot, 80)
+    root = {k: k for k in names}
+    for a, b in links:
+        old, new = root[a], root[b]
+        root = {k: new if r == old else r for k, r in root.items()}
+    assert root[0] == root[len(sets) - 1]
+    assert all(root[1 + k] == root[151 + k] for k in range(150))
+    assert len(set(root.values())) == 151
