@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 20  # of text tokenised at once: the arrays made of it take some fifty times as much
 KEYS_PER_BUCKET = 1_500_000
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -36,16 +36,20 @@ def folder(spark: SparkSession) -> str:
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back; cuts the lineage.
 
-    Meanwhile texts travel to Python in batches of BATCH_ROWS rows, as long ones would fill a
-    worker many at a time.
+    Meanwhile rows travel to Python in batches of at most BATCH_ROWS rows and, but for longer
+    single rows, BATCH_BYTES bytes, as long texts would fill a worker many at a time.
     """
-    spark, size = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path, before = f"{folder(spark)}/llm-{uuid.uuid4().hex}", spark.conf.get(size)
-    spark.conf.set(size, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    spark, path = df.sparkSession, f"{folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    arrow = "spark.sql.execution.arrow."
+    before = {name: spark.conf.get(arrow + name) for name in ("maxRecordsPerBatch", "maxBytesPerBatch")}
+    rows = int(before["maxRecordsPerBatch"])
+    spark.conf.set(arrow + "maxRecordsPerBatch", min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)
+    spark.conf.set(arrow + "maxBytesPerBatch", BATCH_BYTES)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(size, before)
+        for name, value in before.items():
+            spark.conf.set(arrow + name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
