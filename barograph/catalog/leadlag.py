@@ -11,7 +11,9 @@ from barograph.catalog.rolling import r6
 from barograph.catalog.sqlstats import corr_t_sql, fdr_sql, t_tail_sql
 from barograph.operators.filters import liquid_symbols, pair_predicate, sort_pairs, split, symbols_with_history
 from barograph.plans import leadlag as L
+from barograph.session import cut_lineage, shared_folder
 from barograph.sources.market import CUT
+from barograph.sources.sinks import read_or_build, table_version
 
 # Fixture thresholds: the derived series carry no real lead-lag effect.
 MIN_R, ALPHA = 0.04, 0.9
@@ -91,12 +93,25 @@ def members(m):
     return liquid_symbols(prices, 10000, 0.3, ("industry",)).select("symbol", "industry")
 
 
-def returns(m, part):
-    return L.adjusted_returns(split(closes(m), part, CUT), members(m), split(m.index, part, CUT))
+def returns(m, part, chosen=None):
+    """Adjusted returns of one span, written once: a tensor reads them several times over."""
+    chosen = members(m) if chosen is None else chosen
+    return cut_lineage(L.adjusted_returns(split(closes(m), part, CUT), chosen, split(m.index, part, CUT)))
 
 
-def pair_table(m):
-    return L.pair_table(returns(m, "train"), returns(m, "backtest"), MIN_R, ALPHA)
+def pair_table(m, chosen=None):
+    return L.pair_table(returns(m, "train", chosen), returns(m, "backtest", chosen), MIN_R, ALPHA)
+
+
+def stored(m, name, build):
+    """A table of pairs kept in the shared folder, a directory per industry, under the state of its input files."""
+    inputs = [f"{m.folder}/{t}.parquet" for t in ("lineitem", "part", "supplier", "nation", "region")]
+    key = table_version(m.spark, *inputs, f"{CUT} {MIN_R} {ALPHA}")
+    return read_or_build(m.spark, f"{shared_folder(m.spark)}/pairs-{name}", key, build, ("industry",))
+
+
+def lookup_table(m):
+    return stored(m, "significant", lambda: pair_table(m))
 
 
 KEYS = ("industry", "leader", "follower", "lag_days")
@@ -155,6 +170,14 @@ def _(m):
     return L.eligible_industries(m.symbols, symbols_with_history(m.trading_days, 252))
 
 
+@query("dis_13_pairs", f"""SELECT industry, leader, follower, lag_days, {', '.join(_TAB)}, round(fdr_p, 6) AS fdr_p FROM m_pairtab WHERE industry IN (
+       SELECT industry FROM m_symbols WHERE symbol IN (SELECT symbol FROM m_close GROUP BY symbol HAVING count(*) >= 252) GROUP BY industry HAVING count(*) >= 5)""")
+def _(m):
+    """The pair run over industries with five active symbols or more; others never reach the tensor."""
+    large = L.eligible_industries(m.symbols, symbols_with_history(m.trading_days, 252)).select("industry").distinct()
+    return pair_table(m, members(m).join(large, "industry", "left_semi")).select(*KEYS, *_TAB, r6("fdr_p", "fdr_p"))
+
+
 @query("dis_14", """SELECT industry, n_symbols, n_symbols * (n_symbols - 1) * 20 AS n_tests, train_start, train_end, coalesce(n_significant, 0) AS n_significant, coalesce(n_stable, 0) AS n_stable
        FROM (SELECT industry, count(DISTINCT symbol) AS n_symbols, min(date) AS train_start, max(date) AS train_end FROM m_lltrain GROUP BY industry)
        LEFT JOIN (SELECT industry, count(*) AS n_significant, count(*) FILTER (n_stable = 5) AS n_stable FROM m_pairtab GROUP BY industry) USING (industry)""")
@@ -167,14 +190,14 @@ def _(m):
        (train_r >= 0.045 OR train_r <= -0.045) AND lag_days BETWEEN 2 AND 18 AND n_stable >= 1 AND train_r > 0 AND (backtest_r IS NULL OR backtest_r > 0)
        ORDER BY abs(train_r) DESC, leader, follower, lag_days LIMIT 50""")
 def _(m):
-    wanted = pair_table(m).where(F.col("industry").isin("ASIA", "AFRICA") & pair_predicate(
+    wanted = lookup_table(m).where(F.col("industry").isin("ASIA", "AFRICA") & pair_predicate(
         min_abs_r=0.045, min_lag=2, max_lag=18, min_stable=1, direction="positive"))
     return sort_pairs(wanted, "train_r", 50).select(*KEYS, "train_r", "backtest_r", "n_stable")
 
 
 @query("fil_09", """SELECT leader, follower, lag_days, train_r FROM m_pairtab WHERE leader = (SELECT min(leader) FROM m_pairtab) AND (train_r >= 0.045 OR train_r <= -0.045) AND lag_days <= 10""")
 def _(m):
-    table = pair_table(m)
+    table = lookup_table(m)
     first = table.agg(F.min("leader")).scalar()
     return table.where((F.col("leader") == first) & pair_predicate(min_abs_r=0.045, max_lag=10)).select(
         "leader", "follower", "lag_days", "train_r")
@@ -183,7 +206,7 @@ def _(m):
 @query("top_08", """SELECT industry, leader, follower, lag_days, n_stable, recency_score FROM m_pairtab
        ORDER BY n_stable DESC, recency_score DESC, leader, follower, lag_days LIMIT 25""")
 def _(m):
-    return sort_pairs(pair_table(m), "stability", 25).select(*KEYS, "n_stable", "recency_score")
+    return sort_pairs(lookup_table(m), "stability", 25).select(*KEYS, "n_stable", "recency_score")
 
 
 @query("joi_18", """SELECT t.industry, t.leader, t.follower, t.lag_days, round(t.r, 6) AS r FROM m_ccft t

@@ -11,7 +11,7 @@ from barograph.catalog.aggregates import FIXTURE_FLOORS, bucket_sql, industry_me
 from barograph.catalog.base import query, view
 from barograph.catalog.filters import closes
 from barograph.catalog.joins import actuals, forecast_actual
-from barograph.catalog.leadlag import both
+from barograph.catalog.leadlag import both, stored
 from barograph.catalog.rolling import features, holding_values, r6
 from barograph.catalog.signals import ALL_FACTORS, factors
 from barograph.catalog.sqlstats import binomial_tail_sql, t_tail_sql
@@ -90,8 +90,8 @@ view("m_ledger", "SELECT * FROM m_sized WHERE NOT no_overlap UNION ALL SELECT *
 
 
 def pairs(m):
-    """The stored pair table that the strategies read (written once, then reused)."""
-    return cut_lineage(both(m).where(F.col("leader") != F.col("follower")))
+    """Pairs that rise together in training, as every strategy asks; stored, so built once for all of them."""
+    return stored(m, "rising", lambda: both(m).where((F.col("leader") != F.col("follower")) & (F.col("train_r") > 0)))
 
 
 def panel(m):
@@ -332,7 +332,7 @@ def _(m):
     summed first, so the running maximum is taken per symbol and combined over totals."""
     found = hits(m, (1,)).select("symbol", "date", F.element_at("ahead", 1).alias("ret"))
     known = found.where(F.col("ret").isNotNull())
-    risk = additive_drawdown(known)
+    risk = B.additive_drawdown(known)
     one = known.agg(F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)).alias("hit_rate"),
                     (F.avg("ret") / (F.stddev_pop("ret") + 1e-10) * (252 ** 0.5)).alias("sharpe"))
     n = found.agg(F.count(F.lit(1)).alias("n_triggers"))
@@ -363,23 +363,6 @@ def _(m):
         "industry", "n", r6("hit_rate", "hit_rate"), r6("mean_return", "mean_return"))
 
 
-def additive_drawdown(rows):
-    """Deepest fall of the running sum below its running maximum, in (symbol, date) order.
-
-    Two levels: inside a symbol by a window; across symbols over one row per symbol.
-    """
-    w = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    inner = rows.withColumn("c", F.sum("ret").over(w))
-    tops = inner.withColumn("k", F.max("c").over(w))
-    per = tops.groupBy("symbol").agg(F.sum("ret").alias("total"), F.max("c").alias("top"))
-    across = Window.orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
-    placed = per.select("symbol", "total", "top", F.coalesce(F.sum("total").over(across), F.lit(0.0)).alias("base"))
-    earlier = placed.select("symbol", "base", F.max(F.col("base") + F.col("top")).over(across).alias("peak_before"))
-    joined = tops.join(earlier, "symbol")
-    peak = F.greatest(F.col("base") + F.col("k"), F.coalesce("peak_before", F.col("base") + F.col("k")))
-    return joined.agg(F.min(F.col("base") + F.col("c") - peak).alias("dd"))
-
-
 @query("bkt_13", f"""
     WITH tr AS (SELECT * FROM m_forecasts WHERE date < {_CUT}), el AS (SELECT symbol FROM m_shorts WHERE date < {_CUT} GROUP BY symbol HAVING arg_max(short, date) >= 0.5),
     top AS (SELECT symbol, score FROM tr WHERE date = (SELECT max(date) FROM tr) AND symbol IN (SELECT symbol FROM el) ORDER BY score DESC, symbol LIMIT 10),
@@ -422,6 +405,140 @@ def _(m):
         r6(F.col("invested") * F.last("close", True).over(w) / F.first("close", True).over(w), "benchmark", 2))
 
 
+# --- all signals ------------------------------------------------------------------------------------
+
+_SIGNALS = tuple(G.SIGNALS)
+_TRAIN_END = "2000-06-28"  # two market days before the cut
+view("m_sig_all", " UNION ALL ".join(f"SELECT '{n}' AS signal, symbol, date, t, score FROM {v} WHERE score IS NOT NULL" for n, v in (
+    ("short_trend", "m_sig_trend"), ("short_squeeze", "m_sig_squeeze"), ("volume_anomaly", "m_sig_volume"))))
+view("m_sig_fit", f"""
+    WITH r AS (SELECT v.signal, v.date, row_number() OVER (PARTITION BY v.signal, v.date ORDER BY round(v.score, 8), v.symbol) AS rx,
+                      row_number() OVER (PARTITION BY v.signal, v.date ORDER BY f.fwd, v.symbol) AS ry
+               FROM m_sig_all v JOIN m_fwd1 f ON f.symbol = v.symbol AND f.t = v.t + 1 WHERE f.fwd IS NOT NULL AND v.date < DATE '{_TRAIN_END}'),
+    i AS (SELECT signal, date, corr(rx, ry) AS ic FROM r GROUP BY signal, date HAVING count(*) >= 4),
+    g AS (SELECT signal, count(ic) AS c, avg(ic) / (stddev_samp(ic) + 1e-10) AS q FROM i GROUP BY signal),
+    k AS (SELECT signal, CASE WHEN c >= 5 THEN c ELSE 0 END AS n, CASE WHEN c >= 5 THEN q END AS ic_ir FROM g)
+    SELECT signal, coalesce(n, 0) AS n, ic_ir, CASE WHEN abs(coalesce(ic_ir, 0)) > 0.10 THEN 0.80::DOUBLE
+           WHEN abs(coalesce(ic_ir, 0)) > 0.05 THEN 0.75::DOUBLE ELSE 0.70::DOUBLE END AS threshold
+    FROM (VALUES {', '.join(f"('{n}')" for n in _SIGNALS)}) s(signal) LEFT JOIN k USING (signal)""")
+view("m_sig_trig", "SELECT v.* FROM m_sig_all v JOIN m_sig_fit USING (signal) JOIN m_bp b ON b.symbol = v.symbol AND b.t = v.t WHERE v.score >= threshold")
+view("m_sig_hits", f"""
+    SELECT v.signal, v.symbol, v.date, h AS horizon, x.close / p.close - 1 AS ret FROM m_sig_trig v JOIN m_bp p ON p.symbol = v.symbol AND p.t = v.t
+    CROSS JOIN (SELECT unnest([{', '.join(map(str, _HORIZONS))}]) AS h) JOIN m_bp x ON x.symbol = v.symbol AND x.t = v.t + h""")
+
+
+def all_scores(m):
+    return G.signal_table(features(m))
+
+
+def all_thresholds(m):
+    """Fitted on training rows only; four names make a date here, as few symbols pass the squeeze's cut."""
+    early = all_scores(m).where(F.col("date") < _TRAIN_END)
+    return B.fitted_thresholds(early, m.panel.select("symbol", "date", "t", "valid", "close"), _SIGNALS, 4)
+
+
+@query("bkt_02_signals", "SELECT signal, n, round(ic_ir, 6) AS ic_ir, threshold FROM m_sig_fit")
+def _(m):
+    return all_thresholds(m).select("signal", "n", r6("ic_ir", "ic_ir"), "threshold")
+
+
+@query("bkt_01_signals", """SELECT signal, CAST(horizon AS INTEGER) AS horizon, count(*) AS n, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate,
+       round(avg(ret), 6) AS mean_return FROM m_sig_hits GROUP BY signal, horizon""")
+def _(m):
+    """Every signal after the cut, each over the threshold that its own training gave."""
+    found = B.signal_triggers(all_scores(m), panel(m), all_thresholds(m), _HORIZONS)
+    return B.signal_horizons(found, _HORIZONS).select("signal", "horizon", "n", r6("hit_rate", "hit_rate"), r6("mean_return", "mean_return"))
+
+
+_RISK = """SELECT f.signal, f.threshold, f.ic_ir AS train_ic_ir, coalesce(n_triggers, 0) AS n_triggers, hit_rate, sharpe, max_drawdown
+    FROM m_sig_fit f LEFT JOIN (SELECT signal, count(*) AS n_triggers FROM m_sig_trig GROUP BY signal) USING (signal)
+    LEFT JOIN (SELECT signal, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit_rate,
+                      CASE WHEN count(*) > 1 THEN avg(ret) / (stddev_pop(ret) + 1e-10) * sqrt(252) END AS sharpe FROM m_sig_hits WHERE horizon = 1 GROUP BY signal) USING (signal)
+    LEFT JOIN (SELECT signal, CASE WHEN count(*) > 1 THEN min(c - k) END AS max_drawdown FROM (
+        SELECT signal, c, max(c) OVER (PARTITION BY signal ORDER BY symbol, date ROWS UNBOUNDED PRECEDING) AS k FROM (
+          SELECT signal, symbol, date, sum(ret) OVER (PARTITION BY signal ORDER BY symbol, date ROWS UNBOUNDED PRECEDING) AS c
+          FROM m_sig_hits WHERE horizon = 1)) GROUP BY signal) USING (signal)"""
+
+
+@query("bkt_03_signals", f"""SELECT signal, threshold, round(train_ic_ir, 6) AS train_ic_ir, n_triggers, round(hit_rate, 6) AS hit_rate, round(sharpe, 5) AS sharpe,
+       round(max_drawdown, 6) AS max_drawdown, round(coalesce(p, 1.0), 6) AS p_value, coalesce(abs(train_ic_ir) > 0.1 AND hit_rate < 0.51, FALSE) AS overfit
+       FROM ({binomial_tail_sql(_RISK, 'CAST(floor(coalesce(hit_rate, 0) * n_triggers) AS BIGINT)', 'n_triggers', 'p')})""")
+def _(m):
+    fitted = cut_lineage(all_thresholds(m))
+    found = B.signal_triggers(all_scores(m), panel(m), fitted, (1,))
+    return B.signal_risk(found, fitted).select(
+        "signal", "threshold", r6("train_ic_ir", "train_ic_ir"), "n_triggers", r6("hit_rate", "hit_rate"), r6("sharpe", "sharpe", 5),
+        r6("max_drawdown", "max_drawdown"), r6("p_value", "p_value"), "overfit")
+
+
+_BOOKS = (*_SIGNALS, "forecast")
+_STAKE = 10000.0
+view("m_books", f"""
+    WITH s AS (SELECT signal, symbol, date, score FROM m_sig_all UNION ALL SELECT 'forecast', symbol, date, score FROM m_forecasts),
+    tr AS (SELECT * FROM s WHERE date < {_CUT}), l AS (SELECT signal, max(date) AS date FROM tr GROUP BY signal),
+    el AS (SELECT symbol FROM m_shorts WHERE date < {_CUT} GROUP BY symbol HAVING arg_max(short, date) >= 0.5)
+    SELECT signal, symbol, score FROM tr JOIN l USING (signal, date) WHERE symbol IN (SELECT symbol FROM el)
+    QUALIFY row_number() OVER (PARTITION BY signal ORDER BY score DESC, symbol) <= 10""")
+view("m_combined", f"""SELECT symbol, arg_min(signal, list_position({list(_BOOKS)}, signal)) AS source, arg_min(score, list_position({list(_BOOKS)}, signal)) AS score
+    FROM m_books GROUP BY symbol""")
+view("m_held", f"""
+    WITH b AS (SELECT signal AS book, symbol FROM m_books UNION ALL SELECT 'combined', symbol FROM m_combined),
+    g AS (SELECT c.date, s.symbol, p.close FROM (SELECT * FROM m_cal WHERE date >= {_CUT}) c CROSS JOIN (SELECT DISTINCT symbol FROM b) s
+          LEFT JOIN m_bp p ON p.symbol = s.symbol AND p.date = c.date),
+    v AS (SELECT date, symbol, {_STAKE}::DOUBLE * last_value(close IGNORE NULLS) OVER w / first_value(close IGNORE NULLS) OVER w AS value
+          FROM g WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING))
+    SELECT book, symbol, date, value FROM b JOIN v USING (symbol) WHERE value IS NOT NULL""")
+
+
+def books(m):
+    """The ten best eligible symbols of each signal at the end of training, and of the forecast."""
+    every = G.signal_table(features(m)).select("signal", "symbol", "date", "score").unionByName(
+        m.forecasts.select(F.lit("forecast").alias("signal"), "symbol", "date", "score"))
+    return cut_lineage(B.top_books(every.where(F.col("date") < F.lit(CUT)), eligible(m.shorts.where(F.col("date") < F.lit(CUT)))))
+
+
+_CLOSED = "SELECT book, symbol, min(date) AS entry_date, arg_max(value, date) AS v FROM m_held GROUP BY book, symbol"
+
+
+@query("bkt_13_signals", f"""SELECT signal, b.symbol, round(score, 4) AS score, entry_date, round(v, 2) AS current_value, round(v - {_STAKE}, 2) AS pnl, round((v / {_STAKE} - 1) * 100, 2) AS pnl_pct
+       FROM m_books b JOIN ({_CLOSED}) h ON h.book = b.signal AND h.symbol = b.symbol""")
+def _(m):
+    """A buy-and-hold book for every signal."""
+    return closing(m, books(m), "signal", "symbol", "score")
+
+
+@query("bkt_13_combined", f"""SELECT b.symbol, source, round(score, 4) AS score, entry_date, round(v, 2) AS current_value, round(v - {_STAKE}, 2) AS pnl, round((v / {_STAKE} - 1) * 100, 2) AS pnl_pct
+       FROM m_combined b JOIN ({_CLOSED}) h ON h.book = 'combined' AND h.symbol = b.symbol""")
+def _(m):
+    """All books as one, a symbol held once for the first signal that chose it."""
+    return closing(m, B.combined_book(books(m), _BOOKS), "symbol", "source", "score")
+
+
+def closing(m, chosen, *keys):
+    worth = holding_values(m, _STAKE).where(F.col("value").isNotNull()).groupBy("symbol").agg(
+        F.min("date").alias("entry_date"), F.max_by("value", "date").alias("v"))
+    rows = worth.join(chosen, "symbol")
+    return rows.select(*[r6("score", "score", 4) if k == "score" else k for k in keys], "entry_date", r6("v", "current_value", 2),
+                       r6(F.col("v") - _STAKE, "pnl", 2), r6((F.col("v") / _STAKE - 1) * 100, "pnl_pct", 2))
+
+
+@query("bkt_13_totals", f"""
+    WITH i AS (SELECT book, {_STAKE}::DOUBLE * count(DISTINCT symbol) AS invested FROM m_held GROUP BY book),
+    d AS (SELECT book, date, sum(value) AS total FROM m_held GROUP BY book, date)
+    SELECT book, date, round(invested, 2) AS invested, round(total, 2) AS total, round((total / invested - 1) * 100, 2) AS pnl_pct,
+           round(invested * last_value(x.close IGNORE NULLS) OVER w / first_value(x.close IGNORE NULLS) OVER w, 2) AS benchmark
+    FROM d JOIN i USING (book) LEFT JOIN m_index x USING (date) WINDOW w AS (PARTITION BY book ORDER BY date ROWS UNBOUNDED PRECEDING)""")
+def _(m):
+    """Daily totals of each book and of the combined one beside the index."""
+    single = books(m)
+    every = single.select(F.col("signal").alias("book"), "symbol").unionByName(
+        B.combined_book(single, _BOOKS).select(F.lit("combined").alias("book"), "symbol"))
+    held = every.join(holding_values(m, _STAKE), "symbol")
+    return B.book_totals(held, m.index, _STAKE).select(
+        "book", "date", r6("invested", "invested", 2), r6("total", "total", 2), r6((F.col("total") / F.col("invested") - 1) * 100, "pnl_pct", 2),
+        r6("benchmark", "benchmark", 2))
+
+
 _SIZES = (1, 3, 5, 10, 20, 50)
 _COST = 0.012
 _PORT = f"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barograph.functions import scalars as S
-from barograph.functions.stats import t_tail
+from barograph.functions.stats import binomial_tail, t_tail
 from barograph.operators import ledger as L
 from barograph.operators import rolling as R
 from barograph.operators.crosssection import average_rank
@@ -274,6 +274,106 @@ def by_horizon(hits: DataFrame, horizons) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)).alias("hit_rate"), F.avg("ret").alias("mean_return"))
 
 
+def fitted_thresholds(scores: DataFrame, panel: DataFrame, signals, least: int = X.MIN_NAMES) -> DataFrame:
+    """(signal, n, ic_ir, threshold): one row for each of ``signals``, also for those without an IC.
+
+    All signals are ranked together, date by date. ``scores`` (signal, symbol, date, score)
+    must end early enough for no outcome to reach past the training span.
+    """
+    wide = scores.groupBy("symbol", "date").pivot("signal", list(signals)).agg(F.max(F.round("score", 8)))
+    rows = panel.withColumn("fwd1", F.round(R.forward_return("close", 1), 9)).join(wide, ["symbol", "date"], "left")
+    stats = X.ic_stats(X.ic_series(rows, list(signals), "fwd1", 1, least), "feature", "lag")
+    names = panel.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, signals))).alias("signal"))
+    return names.join(stats.withColumnRenamed("feature", "signal"), "signal", "left").select(
+        "signal", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "ic_ir", fit_threshold(F.col("ic_ir")).alias("threshold"))
+
+
+def signal_triggers(scores: DataFrame, panel: DataFrame, thresholds: DataFrame, horizons) -> DataFrame:
+    """Rows of each signal at or over its own threshold, with the return of every horizon."""
+    ahead = F.array(*[R.forward_return("close", h) for h in horizons])
+    rows = panel.select("symbol", "date", "t", ahead.alias("ahead")).join(
+        scores.select("signal", "symbol", "date", "score"), ["symbol", "date"])
+    # a row for each signal of a catalogue
+    return rows.join(F.broadcast(thresholds.select("signal", "threshold")), "signal").where(F.col("score") >= F.col("threshold"))
+
+
+def signal_horizons(hits: DataFrame, horizons) -> DataFrame:
+    """Hit rate and mean return of every signal and horizon."""
+    names = F.array(*[F.lit(h) for h in horizons])
+    long = hits.select("signal", F.posexplode("ahead").alias("k", "ret")).where(F.col("ret").isNotNull())
+    return long.groupBy("signal", F.element_at(names, F.col("k") + 1).alias("horizon")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)).alias("hit_rate"),
+        F.avg("ret").alias("mean_return"))
+
+
+def additive_drawdown(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``dd`` of each key: deepest fall of the running sum of ``ret`` below its maximum, in (symbol, date) order.
+
+    Two levels: inside a symbol by a window; across symbols over one row per symbol.
+    """
+    w = Window.partitionBy(*by, "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    inner = rows.withColumn("c", F.sum("ret").over(w))
+    tops = inner.withColumn("k", F.max("c").over(w))
+    per = tops.groupBy(*by, "symbol").agg(F.sum("ret").alias("total"), F.max("c").alias("top"))
+    across = Window.partitionBy(*by).orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
+    placed = per.select(*by, "symbol", "total", "top", F.coalesce(F.sum("total").over(across), F.lit(0.0)).alias("base"))
+    earlier = placed.select(*by, "symbol", "base", F.max(F.col("base") + F.col("top")).over(across).alias("peak_before"))
+    joined = tops.join(earlier, [*by, "symbol"])
+    peak = F.greatest(F.col("base") + F.col("k"), F.coalesce("peak_before", F.col("base") + F.col("k")))
+    return joined.groupBy(*by).agg(F.min(F.col("base") + F.col("c") - peak).alias("dd"))
+
+
+def signal_risk(hits: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """One row per signal of ``thresholds``: triggers, one-slot hit rate, Sharpe proxy, drawdown, binomial p, overfit flag.
+
+    ``hits`` holds the first horizon's return as the first element of ``ahead``. A signal
+    that never triggers has nulls and p 1; one return alone has neither Sharpe nor drawdown.
+    """
+    found = hits.select("signal", "symbol", "date", F.element_at("ahead", 1).alias("ret"))
+    n = F.count("ret")
+    each = found.groupBy("signal").agg(
+        F.count(F.lit(1)).alias("n_triggers"), F.avg(F.when(F.col("ret") > 0, 1.0).when(F.col("ret").isNotNull(), 0.0)).alias("hit_rate"),
+        F.when(n > 1, F.avg("ret") / (F.stddev_pop("ret") + 1e-10) * (252 ** 0.5)).alias("sharpe"), n.alias("known"))
+    falls = additive_drawdown(found.where(F.col("ret").isNotNull()), ("signal",))
+    full = thresholds.join(each, "signal", "left").join(falls, "signal", "left").fillna(0, ["n_triggers"])
+    p = binomial_tail(F.floor(F.col("hit_rate") * F.col("n_triggers")), F.col("n_triggers"))
+    return full.select(
+        "signal", "threshold", F.col("ic_ir").alias("train_ic_ir"), "n_triggers", "hit_rate", "sharpe",
+        F.when(F.col("known") > 1, F.col("dd")).alias("max_drawdown"), F.coalesce(p, F.lit(1.0)).alias("p_value"),
+        F.coalesce((F.abs("ic_ir") > 0.1) & (F.col("hit_rate") < 0.51), F.lit(False)).alias("overfit"))
+
+
+# --- buy-and-hold books ------------------------------------------------------------------------------
+
+def top_books(scores: DataFrame, allowed: DataFrame, size: int = 10) -> DataFrame:
+    """(signal, symbol, score): the best allowed symbols of each signal on its last date, ties by symbol."""
+    last = scores.groupBy("signal").agg(F.max("date").alias("date"))
+    rows = scores.join(last, ["signal", "date"]).where(F.col("score").isNotNull()).join(
+        allowed.select("symbol"), "symbol", "left_semi")
+    place = F.row_number().over(Window.partitionBy("signal").orderBy(F.col("score").desc(), "symbol"))
+    return rows.withColumn("place", place).where(F.col("place") <= size).select("signal", "symbol", "score")
+
+
+def combined_book(books: DataFrame, order) -> DataFrame:
+    """(symbol, source, score): every symbol of the books once, from the first signal of ``order`` that holds it."""
+    first = F.min_by(F.struct(F.col("signal").alias("source"), "score"), F.array_position(F.array(*map(F.lit, order)), F.col("signal")))
+    return books.groupBy("symbol").agg(first.alias("b")).select("symbol", "b.source", "b.score")
+
+
+def book_totals(held: DataFrame, index: DataFrame, stake: float) -> DataFrame:
+    """(book, date, invested, total, benchmark) on days that value a holding; the index starts at the sum invested.
+
+    ``held``: (book, symbol, date, value), one row per holding and market day.
+    """
+    valued = held.where(F.col("value").isNotNull())
+    invested = valued.groupBy("book").agg((F.countDistinct("symbol") * F.lit(stake)).alias("invested"))
+    days = valued.groupBy("book", "date").agg(F.sum("value").alias("total")).join(invested, "book").join(
+        index.select("date", "close"), "date", "left")
+    w = Window.partitionBy("book").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # bounded: market days
+    return days.select("book", "date", "invested", "total", (
+        F.col("invested") * F.last("close", True).over(w) / F.first("close", True).over(w)).alias("benchmark"))
+
+
 # --- forecasts -------------------------------------------------------------------------------------
 
 def top_n_portfolios(forecasts: DataFrame, actual: DataFrame, sizes, cost: float) -> DataFrame:

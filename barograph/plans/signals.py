@@ -67,6 +67,15 @@ SIGNALS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def signal_table(feat: DataFrame) -> DataFrame:
+    """(signal, symbol, date, t, score) of every signal; rows without a score are left out."""
+    parts = [signal(feat).select(F.lit(name).alias("signal"), *KEYS, "score") for name, signal in SIGNALS.items()]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.where(F.col("score").isNotNull())
+
+
 def feature_bank(feat: DataFrame) -> DataFrame:
     """Thirteen candidate features in one pass over the (symbol, t) ordering."""
     base = feat.withColumns({

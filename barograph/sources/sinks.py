@@ -3,6 +3,8 @@ a failure leaves the same result."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,22 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def table_version(spark: SparkSession, *inputs: str) -> str:
+    """A name for the present state of the input tables: paths, bytes, files, time of the last change.
+
+    Inputs that are no path (settings) count by their text.
+    """
+    conf, states = spark._jsc.hadoopConfiguration(), []
+    for name in inputs:
+        states.append(name)
+        if "/" in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            files = path.getFileSystem(conf)
+            total = files.getContentSummary(path)
+            states.append(f"{total.getLength()} {total.getFileCount()} {files.getFileStatus(path).getModificationTime()}")
+    return hashlib.sha256("\n".join(states).encode()).hexdigest()[:24]
+
+
 def read_or_build(spark: SparkSession, path: str, key: str, build, by: tuple[str, ...] = ()) -> DataFrame:
     """Result cached under a run key; the key names split and newest date, so it never goes stale.
 
