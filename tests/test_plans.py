@@ -125,3 +125,71 @@ def test_lead_lag_with_silent_symbols(spark, chunk):
     for (i, j, k), r in got.items():
         a, b = z[int(i[1]), :200 - k], z[int(j[1]), k:]
         assert np.allclose([r[c] for c in ("sxy", "sx", "sxx", "sy", "syy")], [a @ b, a.sum(), a @ a, b.sum(), b @ b])
+
+
+def _scores(spark, rows):
+    return spark.createDataFrame(rows, "signal string, symbol string, date date, score double")
+
+
+def test_books_and_their_combination(spark):
+    d1, d2 = dt.date(2020, 1, 1), dt.date(2020, 1, 2)
+    scores = _scores(spark, [
+        ("a", "X", d1, 1.0), ("a", "Y", d2, 0.5), ("a", "Z", d2, 0.5), ("a", "W", d2, None), ("a", "V", d2, 0.9),
+        ("b", "Z", d1, 0.1), ("b", "Q", d1, 0.7), ("b", "Y", d1, 0.2)])
+    allowed = spark.createDataFrame([(s,) for s in "XYZWQ"], "symbol string")
+    books = B.top_books(scores, allowed, 2)
+    assert {(r.signal, r.symbol) for r in books.collect()} == {("a", "Y"), ("a", "Z"), ("b", "Q"), ("b", "Y")}
+    one = {r.symbol: (r.source, r.score) for r in B.combined_book(books, ["b", "a"]).collect()}
+    assert one == {"Q": ("b", 0.7), "Y": ("b", 0.2), "Z": ("a", 0.5)}
+    assert B.top_books(scores.where("false"), allowed).count() == 0
+
+
+def test_book_totals(spark):
+    days = [dt.date(2020, 1, k) for k in (1, 2, 3)]
+    held = spark.createDataFrame(
+        [("b", "X", days[0], 100.0), ("b", "X", days[1], 110.0), ("b", "Y", days[0], None), ("b", "Y", days[1], 100.0), ("c", "Y", days[2], 90.0)],
+        "book string, symbol string, date date, value double")
+    index = spark.createDataFrame([(days[0], 50.0), (days[2], 60.0)], "date date, close double")
+    got = [(r.book, r.date, r.invested, r.total, r.benchmark) for r in B.book_totals(held, index, 100.0).orderBy("book", "date").collect()]
+    assert got == [("b", days[0], 200.0, 100.0, 200.0), ("b", days[1], 200.0, 210.0, 200.0), ("c", days[2], 100.0, 90.0, 100.0)]
+
+
+def test_signal_risk_of_silent_and_single_signals(spark):
+    day = [dt.date(2020, 1, k) for k in range(1, 6)]
+    hits = spark.createDataFrame(
+        [("a", "X", day[0], [0.1]), ("a", "X", day[1], [-0.3]), ("a", "Y", day[0], [0.1]), ("a", "Y", day[1], [None]), ("one", "X", day[0], [0.2])],
+        "signal string, symbol string, date date, ahead array<double>")
+    fitted = spark.createDataFrame([("a", 0.2, 0.8), ("one", None, 0.7), ("silent", 0.3, 0.8)], "signal string, ic_ir double, threshold double")
+    got = {r.signal: r for r in B.signal_risk(hits, fitted).collect()}
+    assert got["a"].n_triggers == 4 and got["a"].hit_rate == pytest.approx(2 / 3) and not got["a"].overfit
+    assert got["a"].max_drawdown == pytest.approx(-0.3)
+    assert got["one"].n_triggers == 1 and got["one"].sharpe is None and got["one"].max_drawdown is None
+    assert got["silent"].n_triggers == 0 and got["silent"].p_value == 1.0 and got["silent"].hit_rate is None
+
+
+@pytest.mark.parametrize("by", [(), ("signal",)])
+def test_additive_drawdown(spark, by):
+    rng = np.random.default_rng(2)
+    rows = [(s, f"S{k}", dt.date(2020, 1, 1 + t), float(rng.normal())) for s in "ab" for k in range(5) for t in range(8)]
+    want = {}
+    for key in ("a", "b"):
+        curve = np.cumsum([r[3] for r in rows if r[0] == key])
+        want[key] = (curve - np.maximum.accumulate(curve)).min()
+    frame = spark.createDataFrame(rows, "signal string, symbol string, date date, ret double")
+    if by:
+        got = {r.signal: r.dd for r in B.additive_drawdown(frame, by).collect()}
+        assert got == pytest.approx(want)
+    else:
+        for key, low in want.items():
+            assert B.additive_drawdown(frame.where(F.col("signal") == key)).first().dd == pytest.approx(low)
+
+
+def test_table_version(spark, tmp_path):
+    from barograph.sources.sinks import table_version
+
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    first = table_version(spark, path, "setting 1")
+    assert first == table_version(spark, path, "setting 1") != table_version(spark, path, "setting 2")
+    spark.range(9).write.mode("append").parquet(path)
+    assert table_version(spark, path, "setting 1") != first
