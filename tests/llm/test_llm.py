@@ -66,8 +66,8 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(10, 41), 5), 3: 1, 2: 1}
 
 
-@pytest.mark.parametrize("region_rows", [8192, 6])
-def test_jaccard(docs, local, nothing, region_rows):
+@pytest.mark.parametrize("region_rows, region_bytes", [(8192, 16 << 20), (6, 16 << 20), (8192, 4096), (8192, 0)])
+def test_jaccard(docs, local, nothing, region_rows, region_bytes):
     def shingled(text, k=4):
         w = WORD.findall((text or "").translate(LOW))
         return frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
@@ -80,7 +80,7 @@ def test_jaccard(docs, local, nothing, region_rows):
                 group = [new if g == old else g for g in group]
     want = [(int(d), len(s), int(local["doc_id"][g])) for d, s, g in zip(local["doc_id"], sets, group, strict=True)]
     assert len(set(group)) < len(sets) - 8
-    _same(jaccard.classes(docs, 4, 85, region_rows).toPandas(), want, ["doc_id", "n_shingles", "component_id"])
+    _same(jaccard.classes(docs, 4, 85, region_rows, region_bytes).toPandas(), want, ["doc_id", "n_shingles", "component_id"])
     assert jaccard.classes(nothing).count() == 0
 
 
