@@ -8,12 +8,14 @@ key occurs at most once per chunk, so a hot key costs one entry per chunk, not p
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +91,14 @@ def slices(batch: pd.DataFrame, most: int = SLICE_BYTES) -> Iterator[pd.DataFram
             yield part
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: its worker stays, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
