@@ -12,6 +12,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -35,23 +36,27 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back; cuts the lineage.
-
-    Meanwhile rows travel to Python in batches of at most BATCH_ROWS rows and, but for longer
-    single rows, BATCH_BYTES bytes, as long texts would fill a worker many at a time.
-    """
-    spark, path = df.sparkSession, f"{folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows travel to Python in batches of at most BATCH_ROWS rows and, but for longer single
+    rows, BATCH_BYTES bytes, as long texts would fill a worker many at a time."""
     arrow = "spark.sql.execution.arrow."
     before = {name: spark.conf.get(arrow + name) for name in ("maxRecordsPerBatch", "maxBytesPerBatch")}
     rows = int(before["maxRecordsPerBatch"])
     spark.conf.set(arrow + "maxRecordsPerBatch", min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)
     spark.conf.set(arrow + "maxBytesPerBatch", BATCH_BYTES)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         for name, value in before.items():
             spark.conf.set(arrow + name, value)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder once, in small batches, and read it back; cuts the lineage."""
+    spark, path = df.sparkSession, f"{folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -259,12 +264,14 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, rest: bool = False)
                 ids[k], rows[k] = chunk, row
                 held, row = held + size + 64, row + 1
             yield batch.assign(chunk=ids, row=rows)[names]
+        release()
 
     name = f"llm_{uuid.uuid4().hex}"
     picked = docs.select(*columns)
     partitions = max(8, picked.rdd.getNumPartitions() * 2)
-    picked.mapInPandas(cut, schema).write.option("path", f"{folder(spark)}/{name}").option("compression", "zstd").bucketBy(
-        min(partitions, 4096), "chunk").saveAsTable(name)
+    with small_batches(spark):
+        picked.mapInPandas(cut, schema).write.option("path", f"{folder(spark)}/{name}").option("compression", "zstd").bucketBy(
+            min(partitions, 4096), "chunk").saveAsTable(name)
     laid = spark.table(name)
     return laid, laid.agg(F.count_distinct("chunk")).first()[0]
 
