@@ -6,9 +6,10 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from barograph.llm import centroids, negatives, setsketch
+from barograph.llm import centroids, negatives, neighbours, setsketch
 from barograph.llm.jaccard import shingle_sets
 
 os.environ["PYTHONPATH"] = os.pathsep.join([os.getcwd(), os.environ.get("PYTHONPATH", "")])
@@ -227,3 +228,19 @@ def test_registers_merge_and_estimate():
 
 def test_shingle_sets_of_short_texts():
     assert [len(s) for s in shingle_sets([b"", b"a", b"a b c d e f"], 5)] == [0, 1, 2]
+
+
+def test_neighbours_of_unclustered_vectors(spark):
+    """Vectors without clusters, and ones far from the origin: lists are opened until the true neighbours are found."""
+    rng = np.random.default_rng(9)
+    for x in (rng.normal(size=(12_000, 16)), rng.normal(size=(6_000, 32)) * 1e-3 + 1e7):
+        frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+        got = neighbours.nearest(frame).toPandas()
+        assert (got.groupby("query_id").size() == 10).all() and got["query_id"].nunique() == len(x) // 100
+        hit = 0
+        for q, part in got.groupby("query_id"):
+            d = np.sqrt(((x - x[q])**2).sum(1))
+            d[q] = np.inf
+            assert np.array_equal(part["score"], d[part["vec_id"]])
+            hit += len(set(np.argpartition(d, 9)[:10]) & set(part["vec_id"]))
+        assert hit >= 0.95 * len(got)
