@@ -89,9 +89,11 @@ def adjust_fdr(df: DataFrame, p: str, by=(), out: str = "fdr_p") -> DataFrame:
     ranked = ranked.join(tests, _same(by)) if by else ranked.join(F.broadcast(tests))  # one row
     raw = ranked.select(*by, "_p", "_range", F.least(F.lit(1.0), F.col("_p") * F.col("_tests") / (
         F.col("_before") + F.col("_n"))).alias("_raw"))
-    later = Window.partitionBy(*by).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    # from the greatest value down: a frame that ends at the last row is summed anew for every row, one that begins
+    # at the first row is carried on
+    later = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     minima = raw.groupBy(*by, "_range").agg(F.min("_raw").alias("_m")).select(*by, "_range", F.min("_m").over(later).alias("_after"))
-    rest = Window.partitionBy(*by, "_range").orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
+    rest = Window.partitionBy(*by, "_range").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
     keys = [*by, "_range"]
     adjusted = raw.withColumn("_local", F.min("_raw").over(rest)).join(_renamed(minima, keys), _same(keys)).select(
         *by, "_p", F.least(F.col("_local"), F.coalesce("_after", F.lit(1.0))).alias("_adjusted"))

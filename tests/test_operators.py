@@ -231,3 +231,19 @@ def test_tails(spark):
     assert got[3] == pytest.approx(2.92e-32, rel=1e-2)
     b = spark.createDataFrame([(8, 10), (0, 10), (10, 10)], "k int, n int")
     assert [r.p for r in b.select(binomial_tail(F.col("k"), F.col("n")).alias("p")).collect()] == pytest.approx([56 / 1024, 1.0, 1 / 1024])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_adjusted_p_values_in_one_pass(spark):
+    """No frame that ends at the last row: such a frame is summed anew for each row."""
+    p = [((k * 7919) % 4001) / 4000 for k in range(4000)]
+    frame = spark.createDataFrame(list(enumerate(p)), "i long, p double")
+    adjusted = adjust_fdr(frame, "p")
+    assert "unboundedfollowing" not in plan_of(adjusted).lower()
+    least, want = 1.0, {}
+    for rank, i in sorted(enumerate(sorted(range(4000), key=p.__getitem__), 1), reverse=True):
+        least = want[i] = min(least, p[i] * 4000 / rank)
+    assert all(abs(r.fdr_p - want[r.i]) < 1e-12 for r in adjusted.collect())
