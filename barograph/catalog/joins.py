@@ -142,7 +142,8 @@ def _(m):
        FROM m_options o JOIN m_events e ON e.symbol = o.share_symbol AND e.date > o.fetched_at""")
 def _(m):
     events = m.events.select(F.col("symbol").alias("share_symbol"), F.col("date").alias("event_date"), "ratio")
-    return m.options.select("option_symbol", "share_symbol", "fetched_at").join(events, "share_symbol").where(
+    # one event a day and underlying at most, of a fixed number of underlyings; options stay spread by their own key
+    return m.options.select("option_symbol", "share_symbol", "fetched_at").join(F.broadcast(events), "share_symbol").where(
         F.col("event_date") > F.col("fetched_at"))
 
 

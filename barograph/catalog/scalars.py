@@ -187,12 +187,14 @@ def _(m):
 def adjusted_exercises(options, events):
     """Exercise after all later events of the underlying, with the note that lists them.
 
-    The joined list holds one element per corporate event of one underlying.
+    An underlying has one event a day at most, so its list is bounded by the calendar, and all
+    lists by the fixed number of underlyings: they travel to the options, of which none is repeated.
     """
-    described = events.select(F.col("symbol").alias("share_symbol"), "date", "ratio", S.split_text(F.col("ratio")).alias("description"))
-    later = options.join(described, "share_symbol").where(F.col("date") > F.col("fetched_at"))
-    per = later.groupBy("option_symbol", "exercise").agg(
-        F.sort_array(F.collect_list(F.struct("date", "ratio", "description"))).alias("events"))
+    described = events.select(F.col("symbol").alias("share_symbol"), F.struct(
+        "date", "ratio", S.split_text(F.col("ratio")).alias("description")).alias("event"))
+    listed = described.groupBy("share_symbol").agg(F.sort_array(F.collect_list("event")).alias("events"))
+    later = F.filter("events", lambda e: e["date"] > F.col("fetched_at"))
+    per = options.join(F.broadcast(listed), "share_symbol").withColumn("events", later).where(F.size("events") > 0)
     return per.select(
         "option_symbol", "exercise", S.adjust_exercise(F.col("exercise"), F.col("events")).alias("adjusted"),
         F.concat(F.lit("post "), F.array_join(F.col("events.description"), ", ")).alias("note"))

@@ -126,4 +126,9 @@ def direction(r: Column) -> Column:
 
 def adjust_exercise(exercise: Column, events: Column) -> Column:
     """Divides by each later event ratio in order, rounding to 6 decimals at every step."""
-    return F.aggregate(events, exercise, lambda acc, e: F.round(acc / e["ratio"], 6))
+    def step(acc: Column, event: Column) -> Column:
+        # from 1e11 on a double's shortest decimal has six places at most, so rounding, slow for large values, changes nothing
+        value = acc / event["ratio"]
+        return F.when(F.abs(value) >= 1e11, value).otherwise(F.round(value, 6))
+
+    return F.aggregate(events, exercise, step)

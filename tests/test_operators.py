@@ -1,6 +1,8 @@
 """Operators against plain restatements of their definition."""
 
+import datetime as dt
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
@@ -242,8 +244,42 @@ def test_adjusted_p_values_in_one_pass(spark):
     p = [((k * 7919) % 4001) / 4000 for k in range(4000)]
     frame = spark.createDataFrame(list(enumerate(p)), "i long, p double")
     adjusted = adjust_fdr(frame, "p")
-    assert "unboundedfollowing" not in plan_of(adjusted).lower()
+    plan = plan_of(adjusted).lower().replace(" ", "")
+    assert "unboundedpreceding" in plan and "currentrow$(),unboundedfollowing" not in plan and "1,unboundedfollowing" not in plan
     least, want = 1.0, {}
     for rank, i in sorted(enumerate(sorted(range(4000), key=p.__getitem__), 1), reverse=True):
         least = want[i] = min(least, p[i] * 4000 / rank)
     assert all(abs(r.fdr_p - want[r.i]) < 1e-12 for r in adjusted.collect())
+
+
+def test_later_events_travel_to_the_options(spark):
+    """Options meet lists of events, so that no row per option and event is grouped."""
+    from barograph.catalog.scalars import adjusted_exercises
+
+    day = dt.date(1990, 1, 1)
+    options = spark.createDataFrame([(f"P{k}", "A", day + dt.timedelta(k % 3), 0.5 + k / 7) for k in range(20)],
+                                    "option_symbol string, share_symbol string, fetched_at date, exercise double")
+    ratios = [0.1 if k % 3 else 2.0 for k in range(400)]
+    events = spark.createDataFrame([("A", day + dt.timedelta(k), r) for k, r in enumerate(ratios)], "symbol string, date date, ratio double")
+    adjusted = adjusted_exercises(options, events)
+    assert "Aggregate [option_symbol" not in plan_of(adjusted)
+    for r in adjusted.collect():
+        k = int(r.option_symbol[1:])
+        value = 0.5 + k / 7
+        for ratio in ratios[k % 3 + 1:]:
+            value /= ratio
+            if value < 1e11:
+                value = float(Decimal(repr(value)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+        assert r.adjusted == value and r.note.count(",") == 398 - k % 3
+
+
+def test_later_events_of_options_are_broadcast(spark, market):
+    """Options stay spread by their own key and are not gathered by their few underlyings."""
+    from barograph import catalog
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "SortMergeJoin [share_symbol" not in plan_of(catalog.queries()["joi_14"](spark, market.folder))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
