@@ -98,12 +98,18 @@ def panel(m):
     return m.panel.where(F.col("date") >= F.lit(CUT)).select("symbol", "date", "t", "open", "close", "valid")
 
 
-def candidates(m):
-    return B.pair_candidates(B.qualifying(pairs(m), CONFIGS), panel(m), 20)
+def prices(m, *kinds):
+    """The panel's columns of these prices, written once: signals, exits and the last day are read apart."""
+    return cut_lineage(panel(m).select("symbol", "date", "t", *kinds))
 
 
-def ledger(m):
-    return B.pair_ledger(candidates(m))
+def candidates(m, rows=None):
+    rows = prices(m, "open", "close") if rows is None else rows
+    return B.pair_candidates(B.qualifying(pairs(m), CONFIGS), rows, 20)
+
+
+def ledger(m, rows=None):
+    return B.pair_ledger(candidates(m, rows))
 
 
 _TRADE = ("config", "leader", "follower", "lag_days", "signal_date", "buy_date", "sell_date", "buy_price", "sell_price")
@@ -152,8 +158,9 @@ def _(m):
     UNION ALL SELECT config, (SELECT min(date) FROM m_bp), 50000.0::DOUBLE FROM (VALUES {', '.join(f"('{c.id}')" for c in CONFIGS)}) c(config)""")
 def _(m):
     """Balance at the end of each day with a sale, after a row that opens every configuration."""
-    days = L.daily_balance(ledger(m), ["config"]).select("config", F.col("sell_date").alias("date"), r6("balance", "balance", 2))
-    opening = panel(m).agg(F.min("date").alias("date")).select(
+    rows = prices(m, "open", "close")
+    days = L.daily_balance(ledger(m, rows), ["config"]).select("config", F.col("sell_date").alias("date"), r6("balance", "balance", 2))
+    opening = rows.agg(F.min("date").alias("date")).select(
         F.explode(F.array(*[F.lit(c.id) for c in CONFIGS])).alias("config"), "date", F.lit(S.START_BALANCE).cast("double").alias("balance"))
     return days.unionByName(opening)
 
@@ -260,7 +267,7 @@ def _(m):
 
 @query("bkt_12")
 def _(m):
-    g = B.grid_sweep(pairs(m), panel(m), **_GRID)
+    g = B.grid_sweep(pairs(m), prices(m, "open", "close"), **_GRID)
     return g.select("min_train_r", "min_backtest_r", "min_lag_days", "n_pairs", "n_trades", r6("end_balance", "end_balance", 2),
                     r6("total_return_pct", "total_return_pct", 2), r6("win_rate", "win_rate", 1), r6("avg_pnl", "avg_pnl", 2), r6("total_fees", "total_fees", 2))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barograph.operators.calendar import trading_calendar, with_calendar_index
+from barograph.session import cut_lineage
 
 CUT = dt.date(2000, 7, 1)
 """Train / test cut of the derived tables."""
@@ -75,6 +76,14 @@ class Market:
             (100 * sold / F.sum("q")).alias("short_raw"),
         )
 
+    @cached_property
+    def daily(self) -> DataFrame:
+        """Smooth close and volume of a symbol's days, written once.
+
+        For queries that read them in several shapes, each of which would join all lines anew.
+        """
+        return cut_lineage(self.bars.select("symbol", "date", F.col("vwap").alias("close"), "volume"))
+
     @cached_property
     def trading_days(self) -> DataFrame:
         """Distinct (symbol, date) without the price join: prices do not decide trading."""
@@ -97,6 +106,11 @@ class Market:
             F.max("l_shipdate").cast("date").alias("as_of")
         ).scalar()
 
+    @cached_property
+    def industries(self) -> DataFrame:
+        """Industry of every nation, traded or not; no line is read."""
+        return self.nations.select(F.col("n_name").alias("symbol"), F.col("r_name").alias("industry"))
+
     @cached_property
     def symbols(self) -> DataFrame:
         last = self.trading_days.groupBy("symbol").agg(F.max("date").alias("last_date"))

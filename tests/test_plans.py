@@ -193,3 +193,25 @@ def test_table_version(spark, tmp_path):
     assert first == table_version(spark, path, "setting 1") != table_version(spark, path, "setting 2")
     spark.range(9).write.mode("append").parquet(path)
     assert table_version(spark, path, "setting 1") != first
+
+
+def _reads_lines(df):
+    return "l_shipdate" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_returns_of_pairs_read_written_prices(spark, market, monkeypatch):
+    """Members, own prices and the index each joined all lines anew, in both spans."""
+    from barograph.catalog import leadlag
+
+    cut, seen = leadlag.cut_lineage, []
+    monkeypatch.setattr(leadlag, "cut_lineage", lambda df: seen.append(_reads_lines(df)) or cut(df))
+    for part in ("train", "backtest"):
+        leadlag.returns(market, part)
+    assert seen == [False, False]
+
+
+def test_candidates_read_written_prices(spark, market):
+    """Signals and exits each joined all lines anew."""
+    from barograph.catalog import ledgers
+
+    assert not _reads_lines(ledgers.candidates(market))
