@@ -169,7 +169,7 @@ def _(m):
        f.close AS follower_last_close FROM m_q q JOIN m_bp s ON s.symbol = q.leader AND s.t = (SELECT max(t) FROM m_bp) JOIN m_bp p ON p.symbol = q.leader AND p.t = s.t - 1
        LEFT JOIN m_bp f ON f.symbol = q.follower AND f.t = s.t WHERE s.close / p.close - 1 > 0""")
 def _(m):
-    return B.recommendations(B.qualifying(pairs(m), CONFIGS), panel(m)).select(
+    return B.recommendations(B.qualifying(pairs(m), CONFIGS), prices(m, "close")).select(
         "config", "leader", "follower", "lag_days", "train_r", "backtest_r", "signal_date", "leader_return_pct", "follower_last_close")
 
 

@@ -215,3 +215,11 @@ def test_candidates_read_written_prices(spark, market):
     from barograph.catalog import ledgers
 
     assert not _reads_lines(ledgers.candidates(market))
+
+
+def test_recommendations_read_written_prices(spark):
+    """The last day, its signals and the followers' closes each joined all lines anew."""
+    from barograph import catalog
+    from conftest import FOLDER
+
+    assert not _reads_lines(catalog.queries()["bkt_09"](spark, FOLDER))
