@@ -362,3 +362,54 @@ def test_region_of_short_sets_around_a_long_one():
     assert root[0] == root[len(sets) - 1]
     assert all(root[1 + k] == root[151 + k] for k in range(150))
     assert len(set(root.values())) == 151
+
+
+def test_sketches_tell_long_sets_apart():
+    rng = np.random.default_rng(11)
+    draw = lambda n: np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    base, short = draw(12_000), draw(300)
+    sets = [base, draw(12_000), np.sort(np.append(base[300:], draw(200))), draw(11_000), short, short[:290], draw(3000), base[:10_400]]
+    size = np.array([len(s) for s in sets], float)
+    plain = [jaccard.pack_counts(jaccard.counts_of(s)) for s in sets]
+    group = jaccard.may_link(size, plain, np.full(len(sets), jaccard.SKETCH), 80)
+    assert len(set(group[[0, 1, 2, 3, 7]])) == 1 and group[0] >= 0  # too coarse for sets of this length
+    parts = np.array([jaccard.parts_of(len(s)) for s in sets])
+    assert sorted(set(parts)) == [256, 1024, 4096] and jaccard.parts_of(9000) == 4096
+    group = jaccard.may_link(size, [jaccard.pack_counts(jaccard.counts_of(s, int(k))) for s, k in zip(sets, parts, strict=True)], parts, 80)
+    assert group[0] == group[2] == group[7] >= 0 and group[4] == group[5] >= 0 and group[0] != group[4]
+    assert list(group[[1, 3, 6]]) == [-1] * 3
+
+
+def test_sketches_of_unlike_detail_lose_no_link():
+    rng = np.random.default_rng(12)
+    for n in (1024, 1025, 2040, 2048, 2060, 4100):  # beside the sizes at which detail doubles
+        base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        sets = [base, base[:-(n // 6)], np.append(base, rng.integers(0, 2**64, n // 6, dtype=np.uint64))]
+        parts = np.array([jaccard.parts_of(len(s)) for s in sets])
+        blobs = [jaccard.pack_counts(jaccard.counts_of(s, int(k))) for s, k in zip(sets, parts, strict=True)]
+        group = jaccard.may_link(np.array([len(s) for s in sets], float), blobs, parts, 80)
+        assert len(set(group)) == 1 and group[0] >= 0
+
+
+def test_first_regions_ship_a_group_of_copies_once(spark, monkeypatch):
+    """Two near copies that share many keys with third texts lie in many regions, and are joined in one."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base = [word() for _ in range(2000)]
+    near = base[:1000] + [word()] + base[1000:]
+    rows = [(1, " ".join(base)), (2, " ".join(near))]
+    for k in range(60):  # texts that hold a stretch of them, each a region's pivot now and then
+        rows.append((10 + k, " ".join(base[30 * k:30 * k + 30] + [word() for _ in range(1900)])))
+    sent = []
+    plain = jaccard.keep
+    monkeypatch.setattr(jaccard, "keep", lambda df: sent.append(plain(df)) or sent[-1])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: 1 if k == 2 else k for k, _ in rows}
+    listed = next(df for df in sent if df.columns[:2] == ["x", "regions"]).collect()
+    assert sum(len(r["regions"]) for r in listed) == 2
+
+
+def test_packed_keys():
+    keys = np.random.default_rng(1).integers(0, 2**64, 50, dtype=np.uint64)
+    blobs = [jaccard.pack_keys(part) for part in (keys[:7], keys[7:7], keys[7:])]
+    assert (jaccard.unpack_keys(blobs) == keys >> np.uint64(24)).all() and len(blobs[0]) == 7 * jaccard.KEY_BYTES
