@@ -413,3 +413,18 @@ def test_packed_keys():
     keys = np.random.default_rng(1).integers(0, 2**64, 50, dtype=np.uint64)
     blobs = [jaccard.pack_keys(part) for part in (keys[:7], keys[7:7], keys[7:])]
     assert (jaccard.unpack_keys(blobs) == keys >> np.uint64(24)).all() and len(blobs[0]) == 7 * jaccard.KEY_BYTES
+
+
+def test_representatives_ship_a_group_of_copies_once(spark, monkeypatch):
+    """The pipeline's near duplicates: two copies beside 60 texts that hold stretches of them are sent once each."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base = [word() for _ in range(2000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:700] + [word()] + base[700:]))]
+    rows += [(10 + k, " ".join(base[30 * k:30 * k + 30] + [word() for _ in range(1900)])) for k in range(60)]
+    sent, plain = [], jaccard.keep
+    monkeypatch.setattr(jaccard, "keep", lambda df: sent.append(plain(df)) or sent[-1])
+    left = {r["doc_id"] for r in jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {k for k, _ in rows} - {2}
+    listed = next(df for df in sent if df.columns[:2] == ["x", "regions"]).collect()
+    assert sum(len(r["regions"]) for r in listed) == 2
