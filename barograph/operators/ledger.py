@@ -17,17 +17,52 @@ from barograph.session import cut_lineage
 SPAN = 1024  # slots of one chunk
 
 
+def _follow(group: np.ndarray, begin: np.ndarray, until: np.ndarray, span: int) -> np.ndarray:
+    """Where a walk goes on from each slot, in its own group: the first that begins when it is over, or the group's end.
+
+    ``begin`` and ``until`` count from the start of the group's chunk, so a single search serves all groups.
+    """
+    at = np.searchsorted(group * (span + 1) + begin, group * (span + 1) + np.clip(until, 0, span))
+    return np.maximum(at, np.arange(1, len(begin) + 1))
+
+
 def _exits(span: int):
-    """Per chunk: its slots and, for a walk that enters at each of them, until when it is busy on leaving."""
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("b")
-        begin, until = pdf["b"].to_numpy(np.int64), pdf["u"].to_numpy(np.int64)
-        follow = np.maximum(np.searchsorted(begin, until), np.arange(1, len(begin) + 1))
-        busy = until.copy()
-        for i in range(len(begin) - 1, -1, -1):
-            if follow[i] < len(begin):
-                busy[i] = busy[follow[i]]
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "begins": [begin], "untils": [until], "exits": [busy]})
+    """Per chunk: its slots and, for a walk that enters at each of them, until when it is busy on leaving.
+
+    Rows come sorted by key, chunk and begin; all chunks of a batch are worked on together.
+    """
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        k, chunk = rows["k"].to_numpy(), rows["chunk"].to_numpy(np.int64)
+        begin, until = rows["b"].to_numpy(np.int64), rows["u"].to_numpy(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (k[1:] != k[:-1])]))
+        run = np.diff(np.append(start, len(k)))
+        group = np.repeat(np.arange(len(start)), run)
+        follow = _follow(group, begin - chunk * span, until - chunk * span, span)
+        last = np.where(follow >= (start + run)[group], np.arange(len(k)), follow)
+        while True:  # each pass doubles the steps taken
+            further = last[last]
+            if (further == last).all():
+                break
+            last = further
+        ends = start + run
+        blobs = ([x[i:j].tobytes() for i, j in zip(start, ends, strict=True)] for x in (begin, until, until[last]))
+        return pd.DataFrame(dict(zip(("begins", "untils", "exits"), blobs, strict=True)) | {"k": k[start], "chunk": chunk[start]})[
+            ["k", "chunk", "begins", "untils", "exits"]]
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            # the last chunk may go on in the next batch
+            other = np.flatnonzero((rows["chunk"] != rows["chunk"].iat[-1]) | (rows["k"] != rows["k"].iat[-1]))
+            cut = other[-1] + 1 if len(other) else 0
+            if cut:
+                yield whole(rows.iloc[:cut])
+            held = rows.iloc[cut:]
+        if held is not None and len(held):
+            yield whole(held)
 
     return kernel
 
@@ -36,42 +71,63 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Chunks of a key in order: only the busy time passes from one to the next."""
     key, busy = None, 0
     for batch in batches:
-        entered = []
-        for k, begins, exits in zip(batch["k"], batch["begins"], batch["exits"], strict=True):
-            if k != key:
-                key, busy = k, begins[0]
-            entered.append(busy)
-            at = np.searchsorted(begins, busy)
-            if at < len(begins):
-                busy = max(busy, exits[at])
-        yield batch[["k", "chunk", "begins", "untils"]].assign(busy=np.array(entered, np.int64))
-
-
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for k, begins, untils, busy in zip(batch["k"], batch["begins"], batch["untils"], batch["busy"], strict=True):
-            taken, at = [], int(np.searchsorted(begins, busy))
-            while at < len(begins):
-                taken.append(begins[at])
-                at = max(at + 1, int(np.searchsorted(begins, untils[at])))
-            yield pd.DataFrame({"k": k, "b": np.array(taken, np.int64)})
+        k = batch["k"].to_numpy()
+        entered = np.fromiter((int.from_bytes(x[:8], "little", signed=True) for x in batch["begins"]), np.int64, len(batch))
+        alone = np.append(k[1:] != k[:-1], False)  # the next chunk is another key's
+        for i, (begins, exits) in enumerate(zip(batch["begins"], batch["exits"], strict=True)):
+            if k[i] != key:
+                key = k[i]
+                busy = entered[i]
+                if alone[i]:
+                    continue
+            entered[i] = busy
+            at = np.searchsorted(np.frombuffer(begins, np.int64), busy)
+            if 8 * at < len(begins):
+                busy = max(busy, np.frombuffer(exits, np.int64)[at])
+        yield batch[["k", "chunk", "begins", "untils"]].assign(busy=entered)
+
+
+def _walk(span: int):
+    """The slots taken in each chunk, by the walks of all chunks of a batch step by step."""
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            size = np.fromiter(map(len, batch["begins"]), np.int64, len(batch)) // 8
+            begin, until = (np.frombuffer(b"".join(batch[c]), np.int64) for c in ("begins", "untils"))
+            group, ends = np.repeat(np.arange(len(batch)), size), np.cumsum(size)
+            zero = batch["chunk"].to_numpy(np.int64) * span
+            follow = _follow(group, begin - zero[group], until - zero[group], span)
+            every = np.arange(len(batch))
+            at = np.searchsorted(group * (span + 1) + begin - zero[group],
+                                 every * (span + 1) + np.clip(batch["busy"].to_numpy(np.int64) - zero, 0, span))
+            taken = np.zeros(len(begin), bool)
+            while len(at):
+                inside = at < ends[every]
+                at, every = at[inside], every[inside]
+                taken[at] = True
+                at = follow[at]
+            yield pd.DataFrame({"k": batch["k"].to_numpy()[group[taken]], "b": begin[taken]})
+
+    return kernel
 
 
 def accepted_slots(slots: DataFrame, key: list[str], begin: str, until: str, span: int = SPAN) -> DataFrame:
     """(key, begin) of the slots a greedy walk takes: the first, then always the next that begins when the last is over.
 
     ``slots`` has one row per key and ``begin``. A key's time is cut into chunks of ``span``, so
-    that a hot key is many tasks' work: each chunk finds, by pointers from its last slot
-    backwards, when a walk entering at any slot leaves it. One pass over the chunks of a key
-    hands the busy time on, and every chunk then walks from the entry it was given.
+    that a hot key is many tasks' work: each chunk finds, by pointers from slot to slot, when
+    a walk entering at any slot leaves it. One pass over the chunks of a key hands the busy
+    time on, and every chunk then walks from the entry it was given. Keys by the million have
+    few slots each, so a task works on the chunks of a whole batch at once.
     """
     name = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})
     rows = slots.select(name.alias("k"), F.floor(F.col(begin) / span).cast("long").alias("chunk"), F.col(begin).cast("long").alias("b"),
                         F.col(until).cast("long").alias("u"))
-    chunk = "k string, chunk long, begins array<long>, untils array<long>"
-    chunks = rows.groupBy("k", "chunk").applyInPandas(_exits(span), f"{chunk}, exits array<long>")
+    chunk = "k string, chunk long, begins binary, untils binary"
+    chunks = rows.repartition("k", "chunk").sortWithinPartitions("k", "chunk", "b").mapInPandas(_exits(span), f"{chunk}, exits binary")
     entered = chunks.repartition("k").sortWithinPartitions("k", "chunk").mapInPandas(_entries, f"{chunk}, busy long")
-    taken = entered.repartition("k", "chunk").mapInPandas(_walk, "k string, b long").toDF("_name", "_begin")
+    taken = entered.repartition("k", "chunk").mapInPandas(_walk(span), "k string, b long").toDF("_name", "_begin")
     named = slots.select(*key, begin, name.alias("_named"))
     return named.join(taken, (F.col("_name") == F.col("_named")) & (F.col("_begin") == F.col(begin))).select(*key, begin)
 

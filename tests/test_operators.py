@@ -130,6 +130,23 @@ def test_accepted_slots_of_a_hot_key(spark):
     assert got == want
 
 
+def test_accepted_slots_of_many_short_keys(spark):
+    """Keys by the ten thousand: their chunks share a batch, none is a call of its own."""
+    n = 30_000
+    rows = spark.range(n * 8).select(F.concat(F.lit("w"), F.col("id") % n).alias("k"), F.floor(F.col("id") / n).alias("j"),
+                                     F.pmod(F.xxhash64("id"), F.lit(5)).alias("r")).where("r > 0").select(
+        "k", (F.col("j") * 3 - 5).alias("b"), (F.col("j") * 3 - 5 + F.col("r") * 2 - 1).alias("u"))
+    frame = ledger.accepted_slots(rows, ["k"], "b", "u", 8)
+    assert "FlatMapGroupsInPandas" not in frame._jdf.queryExecution().toString()
+    got = {tuple(r) for r in frame.collect()}
+    busy, want = {}, set()
+    for k, b, u in sorted(map(tuple, rows.collect())):
+        if b >= busy.get(k, b):
+            want.add((k, b))
+            busy[k] = max(busy.get(k, b), u)
+    assert got == want and len(want) > n
+
+
 def test_tails_over_non_null_values(spark):
     from barograph.operators.rolling import with_tails
 
