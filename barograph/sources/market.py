@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from barograph.operators.calendar import trading_calendar, with_calendar_index
 from barograph.session import cut_lineage
 
+BROADCAST_SUPPLIERS = 1_000_000
 CUT = dt.date(2000, 7, 1)
 """Train / test cut of the derived tables."""
 
@@ -45,17 +46,16 @@ class Market:
     def ticks(self) -> DataFrame:
         lines = self.table("lineitem").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-            "l_discount", "l_returnflag", "l_shipdate",
+            "l_discount", "l_returnflag", "l_shipdate", glitched().alias("glitch"),
         )
         parts = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
-        glitch = F.when(F.col("l_orderkey") % 499 == 0, 10.0).otherwise(1.0)
         return (
             lines.join(parts, "l_partkey")
             .join(self.supplier_symbols, "l_suppkey")
             .select(
                 "symbol",
                 F.col("l_shipdate").cast("date").alias("date"),
-                (F.col("p_retailprice") * (1 - F.col("l_discount")) * glitch).alias("px"),
+                traded_price().alias("px"),
                 F.col("l_quantity").alias("q"),
                 "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
             )
@@ -211,7 +211,6 @@ class Market:
             F.max(F.col("l_shipdate").cast("date")).alias("last_ship"),
         )
         key = F.col("l_partkey")
-        note = F.when(key % 3 == 0, F.lit("C")).when(key % 3 == 1, F.lit("P"))
         return (
             per_part.join(self.supplier_symbols, "l_suppkey")
             .join(self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice"),
@@ -221,7 +220,7 @@ class Market:
                 F.col("symbol").alias("share_symbol"),
                 F.date_add("last_ship", 90).alias("expiry"),
                 F.col("p_retailprice").alias("exercise"),
-                note.alias("note"),
+                call_put_note(key).alias("note"),
                 F.date_add(F.lit(dt.date(1996, 1, 1)), (key % 1500).cast("int")).alias("fetched_at"),
             )
         )
@@ -232,6 +231,33 @@ class Market:
             (0.05 * volume_weighted()).alias("close")
         ).select(option_symbol(F.col("l_partkey")).alias("symbol"), "date", "close")
 
+    @cached_property
+    def option_days(self) -> DataFrame:
+        """``option_bars`` with the columns of ``options``, as all lines move once, by option.
+
+        An option's rows then lie together, and what is grouped or windowed by option moves no more. A row
+        whose suppliers are all unknown has no close. Keys of parts and suppliers are unique.
+        """
+        suppliers = self.table("supplier").join(
+            F.broadcast(self.table("nation")), F.col("s_nationkey") == F.col("n_nationkey")
+        ).select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
+        few = self.table("supplier").count() <= BROADCAST_SUPPLIERS
+        lines = self.table("lineitem").where(F.col("l_partkey").isNotNull()).select(
+            option_symbol(F.col("l_partkey")).alias("option_symbol"), "l_suppkey", F.col("l_quantity").alias("q"),
+            "l_discount", glitched().alias("glitch"), F.col("l_shipdate").cast("date").alias("date"))
+        parts = self.table("part").select(option_symbol(F.col("p_partkey")).alias("option_symbol"), "p_partkey", "p_retailprice")
+        priced = lines.join(F.broadcast(suppliers) if few else suppliers, "l_suppkey", "left").repartition("option_symbol").join(
+            parts, "option_symbol").withColumn("px", traded_price())
+        option = Window.partitionBy("option_symbol")
+        days = priced.groupBy("option_symbol", "date").agg(
+            (0.05 * volume_weighted(F.col("nation").isNotNull())).alias("close"), F.max("p_partkey").alias("p_partkey"),
+            F.max("p_retailprice").alias("exercise"), F.min("l_suppkey").alias("least"), F.min_by("nation", "l_suppkey").alias("nation"))
+        names = F.broadcast(self.table("nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("share_symbol")))
+        return days.withColumns({
+            "nation": F.min_by("nation", "least").over(option), "expiry": F.date_add(F.max("date").over(option), 90),
+            "note": call_put_note(F.col("p_partkey")),
+        }).join(names, "nation").select("option_symbol", "date", "close", "share_symbol", "expiry", "exercise", "note")
+
     @cached_property
     def panel(self) -> DataFrame:
         """Bars with calendar index; ``close`` is the daily vwap, ``valid`` the mask."""
@@ -251,11 +277,26 @@ class Market:
         )
 
 
-def volume_weighted() -> Column:
+def glitched() -> Column:
+    """Lines with a planted price glitch, told before they move, as the flag is smaller than the order's key."""
+    return F.col("l_orderkey") % 499 == 0
+
+
+def traded_price() -> Column:
+    return F.col("p_retailprice") * (1 - F.col("l_discount")) * F.when(F.col("glitch"), 10.0).otherwise(1.0)
+
+
+def volume_weighted(of: Column | None = None) -> Column:
     """Volume-weighted price from integer sums (ten-thousandths times lots), hence the same
-    to the last bit whatever the order in which partial sums are merged."""
-    value = F.round(F.col("px") * 10000).cast("long") * F.col("q").cast("long")
-    return F.sum(value) / (F.sum("q") * 10000.0)
+    to the last bit whatever the order in which partial sums are merged. ``of`` picks the rows."""
+    value, q = F.round(F.col("px") * 10000).cast("long") * F.col("q").cast("long"), F.col("q")
+    if of is not None:
+        value, q = F.when(of, value), F.when(of, q)
+    return F.sum(value) / (F.sum(q) * 10000.0)
+
+
+def call_put_note(part_key: Column) -> Column:
+    return F.when(part_key % 3 == 0, F.lit("C")).when(part_key % 3 == 1, F.lit("P"))
 
 
 def option_symbol(part_key: Column) -> Column:

@@ -1,6 +1,7 @@
 """Whole analyses: invariants and brute force on small fixtures."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -223,3 +224,36 @@ def test_recommendations_read_written_prices(spark):
     from conftest import FOLDER
 
     assert not _reads_lines(catalog.queries()["bkt_09"](spark, FOLDER))
+
+
+def test_option_rows_move_once(market):
+    """Bars, options and the windows behind them moved the lines by part, supplier, option and underlying in turn."""
+    from barograph.catalog import warrants
+
+    bars = market.option_bars.withColumnRenamed("symbol", "option_symbol")
+    want = bars.join(market.options.drop("fetched_at"), "option_symbol")
+    got = market.option_days.where("close is not null").select(*want.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > 1000
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)", warrants.scored(market)._jdf.queryExecution().executedPlan().toString())
+    assert 1 <= moved.count("option_symbol") <= 2  # of lines, and of parts that are joined to them
+    assert set(moved) <= {"option_symbol", "symbol", "date"}  # the others are of the underlyings' days
+
+
+def test_option_days_with_unknown_suppliers(spark, tmp_path):
+    """A line without a known supplier makes no price, but an option is its first supplier's and lasts to its last line."""
+    from barograph.sources.market import Market
+
+    day = lambda k: dt.datetime(1996, 1, k)
+    lines = [(1, 3, 10, 2.0, 0.1, "N", day(1)), (2, 3, 11, 1.0, 0.0, "R", day(1)), (499, 3, 99, 1.0, 0.0, "N", day(2)), (3, 3, 12, 4.0, 0.0, "N", day(3)),
+             (4, 5, 2, 1.0, 0.0, "N", day(1)), (5, 5, 10, 1.0, 0.0, "N", day(4)), (6, 77, 10, 1.0, 0.0, "N", day(1)), (7, None, 10, 1.0, 0.0, "N", day(1)), (8, 4, None, 1.0, 0.0, "N", day(1))]
+    tables = {
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_returnflag string, l_shipdate timestamp"),
+        "part": ([(3, 100.0), (4, 50.0), (5, 10.0)], "p_partkey long, p_retailprice double"),
+        "supplier": ([(10, 1), (11, 2), (12, 1), (13, 8)], "s_suppkey long, s_nationkey long"),
+        "nation": ([(1, "A"), (2, "B")], "n_nationkey long, n_name string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted(map(tuple, Market(spark, str(tmp_path)).option_days.collect()), key=str)
+    end = dt.date(1996, 1, 3) + dt.timedelta(90)
+    assert got == [("P3OD", dt.date(1996, 1, 1), 0.05 * 280 / 3, "A", end, 100.0, "C"), ("P3OD", dt.date(1996, 1, 2), None, "A", end, 100.0, "C"),
+                   ("P3OD", dt.date(1996, 1, 3), 5.0, "A", end, 100.0, "C")]
