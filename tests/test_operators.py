@@ -5,6 +5,7 @@ import random
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,3 +301,43 @@ def test_later_events_of_options_are_broadcast(spark, market):
         assert "SortMergeJoin [share_symbol" not in plan_of(catalog.queries()["joi_14"](spark, market.folder))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("range_rows", [7, 250_000])
+def test_rank_correlations(spark, range_rows):
+    """Against plain average ranks: ties, a hot value, nulls, pairs without rows, ranges of few rows."""
+    from barograph.operators.rankcorr import rank_correlations
+
+    rng = np.random.default_rng(3)
+    n = 900
+    a = rng.normal(size=n)
+    columns = {"a": a, "b": np.where(rng.random(n) < 0.7, 0.25, rng.normal(size=n).round(1)), "none": np.full(n, np.nan), "flat": np.full(n, 1.5),
+               "f": a * 0.3 + rng.normal(size=n), "g": np.where(rng.random(n) < 0.5, -1e-9, rng.normal(size=n).round(1) * 100)}
+    for name in "abfg":
+        columns[name][rng.random(n) < 0.2] = np.nan
+    columns["g"][:2] = [-30.0, 30.0]  # beyond 4 bytes of hundred millionths
+    frame = pd.DataFrame(columns)
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in frame.to_numpy()]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in frame)).repartition(3)
+    got = {(r.x, r.y): r for r in rank_correlations(df, ["a", "b", "none", "flat"], ["f", "g"], 8, range_rows).collect()}
+    assert set(got) == {(x, y) for x in ("a", "b", "flat") for y in "fg"}
+    for (x, y), r in got.items():
+        both = frame[[x, y]].round(8).dropna()
+        assert r.n == len(both) and r.spread == pytest.approx(both[x].std(), abs=1e-9)
+        want = both[x].rank().corr(both[y].rank()) if x != "flat" else None
+        assert r.ic is None if want is None else r.ic == pytest.approx(want, abs=1e-12)
+    assert rank_correlations(df.where("a > 1e6"), ["a"], ["f"]).collect() == []
+
+
+def test_rank_correlations_move_packed_rows(spark):
+    """Rows moved once a horizon and signal, their counts and ranks beside them; now they move packed, two values at a time."""
+    from barograph.plans import warrants as W
+
+    rows = spark.range(4000).select(
+        F.concat(F.lit("w"), F.col("id") % 40).alias("option_symbol"), F.date_add(F.lit("1999-01-01").cast("date"), (F.col("id") / 40).cast("int")).alias("date"),
+        *[(F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1000)) / 1000.0).alias(s) for s in [*W.SIGNALS, "w_ret"]])
+    frame = W.pooled_ic(rows, dt.date(2000, 1, 1))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "rangepartitioning" not in plan and "option_symbol" not in plan
+    got = {(r.signal, r.horizon): r for r in frame.collect()}
+    assert len(got) == 12 and got["delta_drift", "fwd_10"].n == 40 * 90
