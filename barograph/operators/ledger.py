@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barograph.functions import scalars as S
 from barograph.operators.ranking import running_total_by_day
-from barograph.session import cut_lineage
+from barograph.session import write_once
 
 
 SPAN = 1024  # slots of one chunk
@@ -142,7 +142,7 @@ def non_overlapping(candidates: DataFrame, key: list[str], begin: str, end: str,
     candidates share it, ``accepted_slots`` walks those, and the taken candidates are found
     by an equi-join.
     """
-    candidates = cut_lineage(candidates)  # read twice: for the slots and for the final join
+    candidates = write_once(candidates)  # read twice: for the slots and for the final join
     position = F.struct(*order)
     lasting = F.when(F.col(end) > F.col(begin), position)
     slots = candidates.groupBy(*key, begin).agg(

@@ -12,7 +12,6 @@ alone and may be dealt to any range.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barograph.session import release_shuffles, shared_folder
+from barograph.session import write_once
 
 RANGE_ROWS = 250_000  # of a range, about
 PACKED_ROWS = 1 << 20  # that are dealt out together
@@ -93,10 +92,7 @@ def rank_correlations(df: DataFrame, xs: list[str], ys: list[str], digits: int =
     spark, scale = df.sparkSession, 10.0 ** digits
     codes = df.select(*[F.round(F.round(c, digits) * scale).cast("long").alias(c) for c in [*xs, *ys]]).where(
         F.coalesce(*xs).isNotNull() & F.coalesce(*ys).isNotNull()).fillna(NONE)
-    path = f"{shared_folder(spark).rstrip('/')}/ranks-{uuid.uuid4().hex}"
-    codes.write.option("compression", "zstd").parquet(path)
-    release_shuffles(spark)
-    rows = spark.read.schema(codes.schema).parquet(path)
+    rows = write_once(codes)
 
     known = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c) != NONE).alias(c) for c in [*xs, *ys]],
                      *[F.max(F.when(F.col(c) != NONE, F.abs(c))).alias(f"most {c}") for c in [*xs, *ys]]).first().asDict()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from barograph.operators.calendar import trading_calendar, with_calendar_index
 from barograph.session import cut_lineage
 
-BROADCAST_SUPPLIERS = 1_000_000
+BROADCAST_SUPPLIERS = 500_000
 CUT = dt.date(2000, 7, 1)
 """Train / test cut of the derived tables."""
 
@@ -37,10 +37,16 @@ class Market:
         )
 
     @cached_property
-    def supplier_symbols(self) -> DataFrame:
-        return self.table("supplier").join(
+    def suppliers(self) -> DataFrame:
+        """Suppliers of known nations. Up to BROADCAST_SUPPLIERS, counted first, are broadcast, so that lines do not move for them."""
+        known = self.table("supplier").join(
             F.broadcast(self.table("nation")), F.col("s_nationkey") == F.col("n_nationkey")
-        ).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("symbol"))
+        ).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("symbol"), F.col("s_nationkey").alias("nation"))
+        return F.broadcast(known) if self.table("supplier").count() <= BROADCAST_SUPPLIERS else known
+
+    @cached_property
+    def supplier_symbols(self) -> DataFrame:
+        return self.suppliers.select("l_suppkey", "symbol")
 
     @cached_property
     def ticks(self) -> DataFrame:
@@ -238,15 +244,11 @@ class Market:
         An option's rows then lie together, and what is grouped or windowed by option moves no more. A row
         whose suppliers are all unknown has no close. Keys of parts and suppliers are unique.
         """
-        suppliers = self.table("supplier").join(
-            F.broadcast(self.table("nation")), F.col("s_nationkey") == F.col("n_nationkey")
-        ).select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
-        few = self.table("supplier").count() <= BROADCAST_SUPPLIERS
         lines = self.table("lineitem").where(F.col("l_partkey").isNotNull()).select(
             option_symbol(F.col("l_partkey")).alias("option_symbol"), "l_suppkey", F.col("l_quantity").alias("q"),
             "l_discount", glitched().alias("glitch"), F.col("l_shipdate").cast("date").alias("date"))
         parts = self.table("part").select(option_symbol(F.col("p_partkey")).alias("option_symbol"), "p_partkey", "p_retailprice")
-        priced = lines.join(F.broadcast(suppliers) if few else suppliers, "l_suppkey", "left").repartition("option_symbol").join(
+        priced = lines.join(self.suppliers.select("l_suppkey", "nation"), "l_suppkey", "left").repartition("option_symbol").join(
             parts, "option_symbol").withColumn("px", traded_price())
         option = Window.partitionBy("option_symbol")
         days = priced.groupBy("option_symbol", "date").agg(
